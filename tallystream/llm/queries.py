@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallystream.llm import bpe
+from tallystream.llm import archive, bpe, gif, language
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -14,10 +15,37 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through ARC and WARC archives and back; one row each."""
+    return archive.archived_pages(_table(spark, sf_dir, "pages"))
+
+
+def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document stored as an animation and read back; one row each."""
+    return gif.media_columns(_table(spark, sf_dir, "documents"))
+
+
+def held_out(doc_id: str = "doc_id"):
+    """Whether a document is kept from training: a quarter, by a checksum of its id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole document; one row each."""
+    docs = _table(spark, sf_dir, "documents")
+    net = language.fit(docs, usable=~held_out("id"))
+    return language.identify(docs, net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_bytes")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document encoded and decoded; one row each."""
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op7_bpe": op7_bpe}
+QUERIES = {
+    "op5_archive": op5_archive,
+    "op6_gif": op6_gif,
+    "op7_bpe": op7_bpe,
+    "op8_language": op8_language,
+}
 SQL: dict[str, str] = {}
