@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystream.llm import archive, bpe, gif, language
+from tallystream.llm import archive, bpe, decontaminate, gif, language, pii, toxicity
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -15,6 +15,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity categories of every whole document; one row each."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels"), F.col("toxic") == 1))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of benchmark items in every whole document; one row each."""
+    return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("uid")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole document; one row each."""
+    docs = _table(spark, sf_dir, "documents")
+    return pii.scan(docs, pii.fit(docs))
+
+
 def op5_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through ARC and WARC archives and back; one row each."""
     return archive.archived_pages(_table(spark, sf_dir, "pages"))
@@ -43,9 +60,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_decontaminate": op2_decontaminate,
+    "op4_pii": op4_pii,
     "op5_archive": op5_archive,
     "op6_gif": op6_gif,
     "op7_bpe": op7_bpe,
     "op8_language": op8_language,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_decontaminate": decontaminate.SQL}
