@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystream.llm import archive, bpe, decontaminate, gif, language, pii, toxicity
+from tallystream.llm import archive, bpe, decontaminate, gif, language, pii, secrets, toxicity
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -59,6 +59,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole document; one row each.  A source is an owner, and its documents of a language a repository."""
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.scan(docs, owner=F.col("source"), repo=F.concat_ws("/", "source", "lang")).drop("uid")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
@@ -67,5 +73,6 @@ QUERIES = {
     "op6_gif": op6_gif,
     "op7_bpe": op7_bpe,
     "op8_language": op8_language,
+    "op10_secrets": op10_secrets,
 }
 SQL: dict[str, str] = {"op2_decontaminate": decontaminate.SQL}
