@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystream.llm import archive, bpe, decontaminate, gif, language, pii, secrets, toxicity
+from tallystream.llm import archive, bpe, decontaminate, gif, language, neardup, pii, secrets, toxicity
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -26,6 +26,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("uid")
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents, on two-word shingles; one row each."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), k=2)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole document; one row each."""
     docs = _table(spark, sf_dir, "documents")
@@ -68,6 +73,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
+    "op3_neardup": op3_neardup,
     "op4_pii": op4_pii,
     "op5_archive": op5_archive,
     "op6_gif": op6_gif,
@@ -75,4 +81,4 @@ QUERIES = {
     "op8_language": op8_language,
     "op10_secrets": op10_secrets,
 }
-SQL: dict[str, str] = {"op2_decontaminate": decontaminate.SQL}
+SQL: dict[str, str] = {"op2_decontaminate": decontaminate.SQL, "op3_neardup": neardup.SQL}
