@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystream.llm import archive, bpe, decontaminate, gif, language, neardup, pii, secrets, toxicity
+from tallystream.llm import archive, bpe, decontaminate, gif, language, neardup, pii, quality, secrets, toxicity
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -64,6 +64,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every whole document and whether its language's limit keeps it; one row each."""
+    good = quality.trusted_ids(_table(spark, sf_dir, "labels"), F.col("quality") == 1)
+    return quality.classify(_table(spark, sf_dir, "documents"), good)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole document; one row each.  A source is an owner, and its documents of a language a repository."""
     docs = _table(spark, sf_dir, "documents")
@@ -79,6 +85,7 @@ QUERIES = {
     "op6_gif": op6_gif,
     "op7_bpe": op7_bpe,
     "op8_language": op8_language,
+    "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
 }
 SQL: dict[str, str] = {"op2_decontaminate": decontaminate.SQL, "op3_neardup": neardup.SQL}
