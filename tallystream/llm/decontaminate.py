@@ -51,23 +51,25 @@ def window_shingles(windows: DataFrame, sizes: list[int]) -> DataFrame:
     return windows.select("*", F.posexplode(hashes).alias("off", "hash")).filter(F.col("off") <= F.col("len") - F.col("size"))
 
 
-def shingle_places(docs: DataFrame, doc_id: str, text: str, grams: DataFrame, sizes: list[int], window: int = WINDOW, small: bool = True) -> DataFrame:
+def shingle_places(docs: DataFrame, doc_id: str, text: str, grams: DataFrame, sizes: list[int], window: int = WINDOW, small: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
     """The places of benchmark shingles in the documents, and a row with null ``hash`` for each document.
 
     Columns ``uid`` (of the row), ``doc_id``, ``n_words``, ``at`` (the place),
     ``hash``, ``around`` (the words that any window over the place can hold) and
-    ``first`` (the place of the first of them).
+    ``first`` (the place of the first of them); the columns ``extra`` stand in
+    the rows of documents.
     """
-    w = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w"))
+    w = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"), *extra, words(F.col(text)).alias("w"))
     hashes = F.concat(F.array(F.lit(None).cast("long")), *[shingle_hashes(F.col("w"), s) for s in sizes])
-    rows = w.select("uid", "doc_id", F.size("w").alias("n_words"), "w", hashes.alias("hashes")).select("uid", "doc_id", "n_words", "w", F.posexplode("hashes").alias("p", "hash"))
+    rows = w.select("uid", "doc_id", *extra, F.size("w").alias("n_words"), "w", hashes.alias("hashes")).select("uid", "doc_id", *extra, "n_words", "w", F.posexplode("hashes").alias("p", "hash"))
     known = grams.select(F.col("hash").alias("known"))
     if small:
         rows = rows.join(F.broadcast(known), F.col("hash") == F.col("known"), "left").filter((F.col("p") == 0) | F.col("known").isNotNull())
     at = F.when(F.col("p") > 0, F.pmod(F.col("p") - 1, F.col("n_words")))
     rows = rows.withColumn("at", at).withColumn("first", F.greatest(F.col("at") - window + 1, F.lit(0)))
     around = F.when(F.col("p") > 0, F.slice("w", F.col("first") + 1, F.col("at") - F.col("first") + window))
-    rows = rows.select("uid", "doc_id", "n_words", "at", "hash", around.alias("around"), "first")
+    carried = [F.when(F.col("p") == 0, F.col(c)).alias(c) for c in extra]
+    rows = rows.select("uid", "doc_id", *carried, "n_words", "at", "hash", around.alias("around"), "first")
     if not small:  # rows of documents, which have no hash, stay out of the shuffle
         found = rows.filter(F.col("hash").isNotNull()).join(known.hint("merge"), F.col("hash") == F.col("known"), "left_semi")
         rows = rows.filter(F.col("hash").isNull()).unionByName(found)
@@ -111,12 +113,12 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, guarded)["n"]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, extra: tuple[str, ...] = ()) -> DataFrame:
     """Windows of benchmark items in documents; one row a document row.
 
     Columns ``doc_id``, ``n_words``, ``n_hit`` (words inside any occurrence),
     ``n_items``, ``items_sha256`` (of the occurring items' ids, sorted as strings
-    and comma-joined) and ``contaminated``.  An item of fewer words than a
+    and comma-joined), ``contaminated`` and the columns ``extra``.  An item of fewer words than a
     window is one window; an item without words, or null, has none.  An item
     without id counts for ``n_hit`` and not for ``n_items``; items that share an
     id are one.  Repeated document rows each give a row.
@@ -125,7 +127,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     sizes = [r["size"] for r in windows.select("size").distinct().orderBy("size").collect()] or [shingle]
     grams = window_shingles(windows, sizes).select("hash").distinct()
     small = grams.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES
-    places = staged(shingle_places(docs, doc_id, text, grams, sizes, window, small), "places")
+    places = staged(shingle_places(docs, doc_id, text, grams, sizes, window, small, extra), "places")
     hits = occurrences(places, prefixes(windows, places, sizes))
     per_doc = hits.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
     per_doc = per_doc.select(F.col("uid").alias("hit_uid"), _covered(F.col("spans")).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("items"))
@@ -133,11 +135,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return rows.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
-        F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "uid",
+        F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), *extra,
     )
 
 
-#: DuckDB SQL with the rows of :func:`decontaminate`, without ``uid``, for distinct ids.
+#: DuckDB SQL with the rows of :func:`decontaminate`, for distinct ids.
 SQL = r"""
 WITH low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

@@ -166,9 +166,9 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def fingerprints(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
+def fingerprints(docs: DataFrame, doc_id: str, text: str, k: int, extra: tuple[str, ...] = ()) -> DataFrame:
     """Staged, one row a document row: ``uid``, ``doc_id``, ``n``, ``digest``, ``sig`` (low bytes) and ``bands``; null without shingles."""
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"), *extra, F.col(text).alias("text"))
     fields = [T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
 
     def compute(texts):
@@ -179,7 +179,7 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
             [None if x is None else x.astype(np.uint8).tobytes() for x in sigs], [None if x is None else band_keys(x).view(np.int64).tolist() for x in sigs],
         ]
 
-    return staged(map_texts(rows, "text", ["uid", "doc_id"], fields, lambda: compute), "fingerprints")
+    return staged(map_texts(rows, "text", ["uid", "doc_id", *extra], fields, lambda: compute), "fingerprints")
 
 
 def classes_of(prints: DataFrame) -> DataFrame:
@@ -349,25 +349,26 @@ def all_links(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, k: in
     return links
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, extra: tuple[str, ...] = ()) -> DataFrame:
     """Components of documents whose ``k``-word shingle sets are similar; one row a document row.
 
     Columns ``doc_id``, ``n_shingles``, ``component_id`` (the least id that can
     be reached over links with ``100 * |a & b| >= percent * |a | b|``, its own
-    included) and ``kept`` (whether that is its own).  A null text, or one
+    included), ``kept`` (whether that is its own), ``group`` (a number of the
+    component, null without shingles) and the columns ``extra``.  A null text, or one
     without words, has no shingles and no links.  Repeated rows have equal sets
     and are both kept if their id is the component's.  A null id is larger than
     any other; a component without ids has a null ``component_id`` and is kept.
     """
-    prints = fingerprints(docs, doc_id, text, k)
+    prints = fingerprints(docs, doc_id, text, k, extra)
     classes = classes_of(prints)
     labels = components(all_links(docs, doc_id, text, classes, k, percent))
     named = classes.select("digest", "node", "id").join(labels, "node", "left").select("digest", "id", F.coalesce("label", "node").alias("label"))
     least = named.groupBy(F.col("label").alias("of")).agg(F.min("id").alias("component"))
-    by_digest = staged(named.join(least, F.col("label") == F.col("of")).select(F.col("digest").alias("set"), "component"), "components")
-    rows = prints.select("doc_id", "n", "digest").join(by_digest, F.col("digest") == F.col("set"), "left")
+    by_digest = staged(named.join(least, F.col("label") == F.col("of")).select(F.col("digest").alias("set"), "component", F.col("label").alias("group")), "components")
+    rows = prints.select("doc_id", "n", "digest", *extra).join(by_digest, F.col("digest") == F.col("set"), "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "group", *extra)
 
 
 #: DuckDB SQL with the rows of ``near_duplicates(k=2)``, by comparing all documents that share a shingle, for distinct ids.

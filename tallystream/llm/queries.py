@@ -23,12 +23,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of benchmark items in every whole document; one row each."""
-    return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("uid")
+    return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents, on two-word shingles; one row each."""
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), k=2)
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), k=2).drop("group")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole document; one row each.  A source is an owner, and its documents of a language a repository."""
     docs = _table(spark, sf_dir, "documents")
-    return secrets.scan(docs, owner=F.col("source"), repo=F.concat_ws("/", "source", "lang")).drop("uid")
+    return secrets.scan(docs, owner=F.col("source"), repo=F.concat_ws("/", "source", "lang"))
 
 
 QUERIES = {

@@ -105,7 +105,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: Col
     Columns ``doc_id``, ``n_assign``, ``n_access`` and ``n_hex`` (base spans),
     ``base_sha256``, ``spans`` (base spans and the added ones), ``n_live`` and
     ``n_copied`` (listed spans whose value fewer than, or at least,
-    ``copied_owners`` owners or ``copied_repos`` repositories hold), and ``uid``.
+    ``copied_owners`` owners or ``copied_repos`` repositories hold).
     A null or empty text has no spans.  A null owner or repository is one of its
     own.  Repeated rows each give a row and count once for ownership.
     """
@@ -133,5 +133,5 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: Col
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     return found.select("uid", "doc_id").join(per_doc, F.col("uid") == F.col("of"), "left").select(
         "doc_id", *map(zero, counts), F.sha2(F.coalesce("base_spans", F.lit("")).cast("binary"), 256).alias("base_sha256"),
-        F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_copied"), "uid",
+        F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_copied"),
     )
