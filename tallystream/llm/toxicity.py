@@ -145,9 +145,9 @@ def fit_chain(samples: list[tuple[str, list[int]]], categories: list[str], folds
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The probability, between two rows', at which F1 is highest; 0.5 without positive rows."""
+    """The probability, between two rows', at which F1 is highest; beyond any without positive rows."""
     if not y.sum():
-        return 0.5
+        return 1.01
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(p) + 1) + y.sum())
@@ -195,7 +195,8 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", keep: tuple[str, ..
     """Columns ``keep``, ``p_<category>`` of each category and ``is_<category>``, of every row.
 
     The whole text is read.  A null or empty text has no feature and gets the
-    models' base rates.  Repeated rows are scored each, alike.
+    models' base rates.  A category without positive training rows is never
+    flagged.  Repeated rows are scored each, alike.
     """
     fields = [T.StructField(f"p_{c}", T.DoubleType()) for c in chain.categories] + [T.StructField(f"is_{c}", T.BooleanType()) for c in chain.categories]
 
