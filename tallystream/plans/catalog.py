@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from tallystream.plans import bus_queries, state_queries, stream_queries  # noqa: F401
+from tallystream.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
