@@ -28,6 +28,8 @@ CODES = SYMBOLS**3
 SALT_ROWS = 100_000
 #: Trusted ids up to which they are broadcast, at 8 bytes each.
 BROADCAST_IDS = 1_000_000
+#: Languages up to which their limits are broadcast.
+BROADCAST_LANGS = 10_000
 QUANTILE = 0.995
 _LONG = 1 << 23
 
@@ -280,6 +282,7 @@ def classify(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text:
     limits = good.groupBy(F.col("lang").alias("of")).agg(level.alias("own"))
     overall = good.agg(level.alias("overall")).collect()[0]["overall"]
     limit = F.coalesce("own", F.lit(overall).cast("double"))
+    limits = F.broadcast(limits) if limits.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS else limits
     out = scored.join(limits, F.col("lang") == F.col("of"), "left")
     kept = F.col("perplexity").isNotNull() & (F.col("perplexity") <= F.coalesce(limit, F.col("perplexity")))
     return out.select("doc_id", "n_bytes", "perplexity", limit.alias("limit"), kept.alias("kept"))
