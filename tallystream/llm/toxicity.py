@@ -13,11 +13,12 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallystream.llm._arrow import map_texts
+from tallystream.llm._sample import least_by_hash
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features.
@@ -159,13 +160,12 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 def training_rows(docs: DataFrame, labels: DataFrame, positive: Column, per_class: int, max_chars: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple[str, bool]]:
     """Labelled texts of up to ``max_chars`` characters, at most ``per_class`` positive and as many other ones.
 
-    The least by hash of their id are taken; each task passes on that many ids.
+    The least by hash of their id are taken.
     A document with conflicting labels counts as positive; rows without id,
     label or text are left out.
     """
     one = labels.filter(F.col(doc_id).isNotNull() & positive.isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(positive.cast("int")).alias("positive"))
-    rank = Window.partitionBy("positive").orderBy("mix", "id")
-    ids = one.withColumn("mix", F.xxhash64("id")).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= per_class).select("id", "positive", "mix").collect()
+    ids = least_by_hash(one, "positive", per_class).select("id", "positive", "mix").collect()
     if not ids:
         return []
     spark = docs.sparkSession
