@@ -13,11 +13,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallystream.llm._arrow import map_texts, utf8
+from tallystream.llm._sample import least_by_hash
 
 #: Bytes of a window, windows of a block, and units of each direction.
 WINDOW, BLOCK, HIDDEN = 96, 1024, 8
@@ -180,13 +181,10 @@ def training_sample(docs: DataFrame, text: str, label: str, doc_id: str, usable:
 
     Of each a run of at most ``max_chars`` characters is taken, at a place that
     depends on the id, so the sample's size is bounded by the number of labels.
-    Only ids and labels are ranked, and each task passes on ``per_label`` rows
-    of a label.
+    Only ids and labels are ranked.
     """
     ids = docs.select(F.col(doc_id).alias("id"), F.col(label).alias("label")).filter(usable & F.col(label).isNotNull() & F.col(doc_id).isNotNull())
-    rank = Window.partitionBy("label").orderBy("mix", "id")
-    chosen = ids.withColumn("mix", F.xxhash64("id")).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= per_label)
-    keys = [r["id"] for r in chosen.select("id").distinct().collect()]
+    keys = [r["id"] for r in least_by_hash(ids, "label", per_label).select("id").distinct().collect()]
     if not keys:
         return []
     kind = docs.schema[doc_id].dataType
