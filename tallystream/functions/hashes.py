@@ -12,7 +12,12 @@ TWO_64 = "18446744073709551616"
 
 
 def utf8_bytes(text: Column) -> Column:
-    """The bytes of a string as an array of bigints."""
+    """The bytes of a string as an array of bigints; characters of ASCII are their own."""
+    short = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("bigint"))
+    return F.when((F.octet_length(text) == F.char_length(text)) & (text != ""), short).otherwise(_long_bytes(text))
+
+
+def _long_bytes(text: Column) -> Column:
     digits = F.hex(F.encode(text, "UTF-8"))
     count = F.octet_length(text)
     places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))

@@ -6,26 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_total(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, bucket: Column | None = None, newest_first: bool = False) -> DataFrame:
-    """Adds ``out``, the sum of ``value`` over the rows of a key up to each row.
+def running_totals(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], bucket: Column | None = None, newest_first: bool = False) -> DataFrame:
+    """Adds a column for each of ``values``: its sum over the rows of a key up to each row.
 
     ``order`` must be total within a key.  With ``bucket``, which must not
     decrease along the first column of ``order``, rows are only sorted within
     their bucket and the totals of earlier buckets are added, so a large key is
-    spread over tasks; without it a key is one task's.
+    spread over tasks; the totals read ``df`` once more, in their columns only.
+    Without it a key is one task's.
     """
+    if not values:
+        return df
     by = [F.col(c).desc() if newest_first else F.col(c).asc() for c in order]
     if bucket is None:
         window = Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum(value).over(window))
+        return df.select("*", *[F.sum(v).over(window).alias(c) for c, v in values.items()])
     rows = df.withColumn("_bucket", bucket)
     local = Window.partitionBy(*keys, "_bucket").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-    totals = rows.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_total"))
+    totals = rows.groupBy(*keys, "_bucket").agg(*[F.sum(v).alias(f"_total_{c}") for c, v in values.items()])
     step = F.col("_bucket").desc() if newest_first else F.col("_bucket").asc()
     across = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*keys, "_bucket", F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_before"))
-    joined = rows.withColumn("_local", F.sum(value).over(local)).join(before, [*keys, "_bucket"])
-    return joined.withColumn(out, F.col("_local") + F.col("_before")).drop("_bucket", "_local", "_before")
+    before = totals.select(*keys, "_bucket", *[F.coalesce(F.sum(f"_total_{c}").over(across), F.lit(0)).alias(f"_before_{c}") for c in values])
+    joined = rows.select("*", *[F.sum(v).over(local).alias(f"_local_{c}") for c, v in values.items()]).join(before, [*keys, "_bucket"])
+    summed = joined.select("*", *[(F.col(f"_local_{c}") + F.col(f"_before_{c}")).alias(c) for c in values])
+    return summed.drop("_bucket", *[f"_local_{c}" for c in values], *[f"_before_{c}" for c in values])
+
+
+def running_total(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, bucket: Column | None = None, newest_first: bool = False) -> DataFrame:
+    """:func:`running_totals` of one value."""
+    return running_totals(df, keys, order, {out: value}, bucket, newest_first)
 
 
 def dense_number(df: DataFrame, keys: list[str], order: list[str], out: str, start: int = 0, bucket: Column | None = None) -> DataFrame:

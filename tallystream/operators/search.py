@@ -26,11 +26,16 @@ def vector_search(rows: DataFrame, vector: list[float], limit: int, text: str |
     Only each task's best rows are shuffled.
     """
     score = matching.cosine(F.col("vector"), vector) * weight
-    if text is not None:
-        wanted = F.array(*[F.lit(t) for t in sorted({w for w in _split(text)})]) if _split(text) else F.array().cast("array<string>")
-        score = score + matching.jaccard(matching.tokens(F.col("text")), wanted) * (1 - weight)
     found = rows.filter(condition) if condition is not None else rows
-    return found.withColumn("score", F.round(score, digits)).orderBy(F.desc("score"), "id").limit(_checked(limit))
+    if text is not None:
+        found = found.withColumn("_tokens", matching.tokens(F.col("text")))  # a step of its own, so that they are made once
+        score = score + matching.jaccard(F.col("_tokens"), _token_array(text)) * (1 - weight)
+    return found.withColumn("score", F.round(score, digits)).drop("_tokens").orderBy(F.desc("score"), "id").limit(_checked(limit))
+
+
+def _token_array(text: str) -> Column:
+    wanted = sorted(set(_split(text)))
+    return F.array(*[F.lit(t) for t in wanted]) if wanted else F.array().cast("array<string>")
 
 
 def _split(text: str) -> list[str]:
@@ -41,8 +46,9 @@ def _split(text: str) -> list[str]:
 
 def text_search(rows: DataFrame, text: str, limit: int, digits: int = 6) -> DataFrame:
     """The rows whose tokens are most similar to those of a text."""
-    wanted = F.array(*[F.lit(t) for t in sorted(set(_split(text)))])
-    return rows.withColumn("score", F.round(matching.jaccard(matching.tokens(F.col("text")), wanted), digits)).filter("score > 0").orderBy(F.desc("score"), "id").limit(_checked(limit))
+    made = rows.withColumn("_tokens", matching.tokens(F.col("text")))
+    scored = made.withColumn("score", F.round(matching.jaccard(F.col("_tokens"), _token_array(text)), digits)).drop("_tokens")
+    return scored.orderBy(F.desc("score"), "id").limit(_checked(limit)).filter("score > 0")
 
 
 def geo_radius(points: DataFrame, lon: float, lat: float, radius: float, limit: int, digits: int = 3) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallystream.functions.hashes import partition_for
-from tallystream.operators.ordered import dense_number, first_per, running_total
+from tallystream.operators.ordered import dense_number, first_per, running_totals
 
 #: Milliseconds of log whose rows are numbered in one task.
 BUCKET_MS = 3_600_000
@@ -101,13 +101,12 @@ def retained(records: DataFrame, policy: Retention, now_ms: int, bucket_ms: int
     Equal to retention after every append if append times don't decrease.
     """
     bucket = F.floor(F.col("appended_at_ms") / bucket_ms) if bucket_ms else None
-    rows, kept = records, F.lit(True)
-    if policy.max_records is not None:
-        rows = running_total(rows, ["partition"], ["offset"], F.lit(1), "_records", bucket, newest_first=True)
-        kept = kept & (F.col("_records") <= policy.max_records)
-    if policy.max_bytes is not None:
-        rows = running_total(rows, ["partition"], ["offset"], payload_bytes(), "_bytes", bucket, newest_first=True)
-        kept = kept & (F.col("_bytes") <= policy.max_bytes)
+    limits = {"_records": (F.lit(1), policy.max_records), "_bytes": (payload_bytes(), policy.max_bytes)}
+    limits = {c: x for c, x in limits.items() if x[1] is not None}
+    rows = running_totals(records, ["partition"], ["offset"], {c: value for c, (value, _) in limits.items()}, bucket, newest_first=True)
+    kept = F.lit(True)
+    for c, (_, most) in limits.items():
+        kept = kept & (F.col(c) <= most)
     if policy.max_age_ms is not None and now_ms >= policy.max_age_ms:
         kept = kept & (F.col("appended_at_ms") > now_ms - policy.max_age_ms)
     return rows.withColumn("kept", kept).drop("_records", "_bytes")
