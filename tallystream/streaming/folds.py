@@ -870,6 +870,13 @@ class CacheFold(Fold):
         _need(ttl is None or ttl > 0, "invalid_argument")
         return None if ttl is None else now + ttl
 
+    def do_multiplex(self, c: dict) -> dict:
+        """Independent transactions, each with an ``id``; every one has its own outcome."""
+        parts = c["mutations"]
+        names = [p.get("id") for p in parts]
+        _need(1 <= len(parts) <= 128 and len(set(names)) == len(names) and None not in names, "invalid_argument")
+        return {"outcomes": [{"id": p["id"], **self.apply({"op": "transact", "now_ms": c["now_ms"], "operations": p["operations"]})} for p in parts]}
+
     def do_sweep(self, c: dict) -> dict:
         over = heapq.nsmallest(min(c.get("max") or 1_000, 1_000), [(e["expires"], k) for k, e in self.entries.items() if e["expires"] is not None and e["expires"] <= c["now_ms"]])
         if over:
@@ -1015,3 +1022,83 @@ class ForwardFold(Fold):
         _need(f["status"] != "pending" and f["destination"] == c["destination"], "conflict")
         f["status"] = "completed"
         return {"status": "completed"}
+
+
+class SubscriptionFold(Fold):
+    """The subscriptions of a bus: upsert and remove; every change of the routes has a version."""
+
+    MAX = 1_024
+
+    def __init__(self):
+        self.subscriptions: dict[str, dict] = {}
+        self.version = 0
+        self.history: list[list] = []
+
+    def do_upsert(self, c: dict) -> dict:
+        _need(c["name"] in self.subscriptions or len(self.subscriptions) < self.MAX, "capacity")
+        self.subscriptions[c["name"]] = c["spec"]
+        return self._changed(c)
+
+    def do_remove(self, c: dict) -> dict:
+        if self.subscriptions.pop(c["name"], None) is None:
+            return {"version": self.version, "removed": False}
+        return {**self._changed(c), "removed": True}
+
+    def _changed(self, c: dict) -> dict:
+        self.version += 1
+        self.history.append([c["now_ms"], self.version])
+        return {"version": self.version}
+
+
+class CaptureFold(Fold):
+    """Scheduled captures of a partition: configure and maintain.
+
+    A capture takes what lies between the cursor and the end, or the first
+    record of a pending transaction; what retention has taken before is
+    reported as skipped.  A late capture moves the next one beyond now.
+    """
+
+    MAX = 32
+
+    def __init__(self):
+        self.schedules: dict[str, dict] = {}
+        self.captures: dict[str, list] = {}
+
+    def do_configure(self, c: dict) -> dict:
+        _need(1_000 <= c["interval_ms"] <= 31 * 86_400_000, "invalid_argument")
+        self.schedules[c["id"]] = {"interval": c["interval_ms"], "next_offset": c.get("first_offset") or 0, "next_at": c["now_ms"] + c["interval_ms"]}
+        return {"next_at_ms": self.schedules[c["id"]]["next_at"]}
+
+    def due(self, now_ms: int) -> list[str]:
+        """Schedules that are due, by deadline and name."""
+        return [i for _, i in sorted((s["next_at"], i) for i, s in self.schedules.items() if s["next_at"] <= now_ms)]
+
+    def do_maintain(self, c: dict) -> dict:
+        s = self.schedules.get(c["id"])
+        _need(s is not None, "not_found")
+        _need(c["now_ms"] >= s["next_at"], "not_due")
+        first = max(s["next_offset"], c["base_offset"])
+        end = min(c["end_offset"], c["pending_offset"]) if c.get("pending_offset") is not None else c["end_offset"]
+        name = f"auto-{c['id']}-{s['next_at']:020d}"
+        if len(self.captures) >= self.MAX:
+            own = sorted(k for k in self.captures if k.startswith(f"auto-{c['id']}-"))
+            _need(bool(own), "capacity")
+            del self.captures[own[0]]
+        self.captures[name] = [first, max(end, first)]
+        skipped = first - s["next_offset"]
+        periods = (c["now_ms"] - s["next_at"]) // s["interval"] + 1
+        s.update(next_offset=max(end, first), next_at=s["next_at"] + periods * s["interval"])
+        return {"capture": name, "first_offset": first, "end_offset": max(end, first), "skipped": skipped, "next_at_ms": s["next_at"]}
+
+
+class DigestFold(Fold):
+    """A running digest over everything that was applied, to compare copies of a log."""
+
+    def __init__(self):
+        self.digest, self.commands = "0" * 64, 0
+
+    def apply(self, command: dict) -> dict:
+        body = json.dumps(command, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
+        self.digest = hashlib.sha256(bytes.fromhex(self.digest) + len(body).to_bytes(8, "big") + body).hexdigest()
+        self.commands += 1
+        return {"ok": True, "digest": self.digest}
