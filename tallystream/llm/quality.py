@@ -25,7 +25,7 @@ from tallystream.llm._scratch import staged
 SYMBOLS, SHARDS = 64, 8
 CODES = SYMBOLS**3
 #: Documents of a shard that one salt takes.
-SALT_ROWS = 100_000
+SALT_ROWS = 25_000
 #: Trusted ids up to which they are broadcast, at 8 bytes each.
 BROADCAST_IDS = 1_000_000
 #: Languages up to which their limits are broadcast.
@@ -240,7 +240,7 @@ def sharded_sums(rows: DataFrame, model: np.ndarray) -> DataFrame:
     shards = spark.createDataFrame([(k, parts[k].tobytes()) for k in range(SHARDS)], "shard int, body binary")
     salted = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(None).cast("long").alias("uid"), "body")
     mine = rows.select("uid", F.posexplode("segments").alias("shard", "body")).select("shard", F.pmod(F.xxhash64("uid"), F.lit(salts)).cast("int").alias("salt"), "uid", "body")
-    both = mine.unionByName(salted).repartition(SHARDS * salts, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("uid").asc_nulls_first())
+    both = mine.unionByName(salted).repartition(2 * SHARDS * salts, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("uid").asc_nulls_first())
 
     def run(batches):
         held = None
