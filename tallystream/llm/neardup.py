@@ -364,7 +364,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = classes_of(prints)
     labels = components(all_links(docs, doc_id, text, classes, k, percent))
     named = classes.select("digest", "node", "id").join(labels, "node", "left").select("digest", "id", F.coalesce("label", "node").alias("label"))
-    least = named.groupBy(F.col("label").alias("of")).agg(F.min("id").alias("component"))
+    # A table of its own: joined with what it was counted from, a large component would be one task's.
+    least = staged(named.groupBy(F.col("label").alias("of")).agg(F.min("id").alias("component")), "least-ids")
     by_digest = staged(named.join(least, F.col("label") == F.col("of")).select(F.col("digest").alias("set"), "component", F.col("label").alias("group")), "components")
     rows = prints.select("doc_id", "n", "digest", *extra).join(by_digest, F.col("digest") == F.col("set"), "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
