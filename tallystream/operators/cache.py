@@ -49,6 +49,11 @@ def entry_bytes() -> Column:
     return F.octet_length("key") + F.octet_length("value") + ENTRY_BYTES
 
 
+def of_class(entries: DataFrame, storage_class: str) -> DataFrame:
+    """All entries of a storage class, expired ones too, by key."""
+    return entries.filter(F.col("storage_class") == storage_class).orderBy("key")
+
+
 def class_bytes(entries: DataFrame) -> DataFrame:
     """Entries and charged bytes of each storage class."""
     return entries.groupBy("storage_class").agg(F.count("*").alias("entries"), F.sum(entry_bytes().cast("bigint")).alias("bytes"))

@@ -18,6 +18,17 @@ def listed(resources: DataFrame, equal: dict[str, str] | None = None, tags: dict
     return rows.orderBy(*NAME_PARTS)
 
 
+def route(catalog: DataFrame, name: dict[str, str], shard: int) -> DataFrame:
+    """The tablet of a shard of a resource that is named by all its parts (columns, ``shard``, ``tablet``)."""
+    missing = set(NAME_PARTS) - set(name)
+    if missing:
+        raise ValueError(f"the name lacks {sorted(missing)}")
+    rows = catalog
+    for part in NAME_PARTS:
+        rows = rows.filter(F.col(part) == name[part])
+    return rows.filter(F.col("shard") == shard)
+
+
 def cost_attribution(resources: DataFrame) -> DataFrame:
     """Resources and shards of each cost center and classification; ungoverned ones are unassigned."""
     center, kind = F.coalesce("cost_center", F.lit("unassigned")), F.coalesce("classification", F.lit("unspecified"))

@@ -67,6 +67,12 @@ def dead_letters(messages: DataFrame, limit: int) -> DataFrame:
     return messages.filter("state = 'dead_lettered'").orderBy("dead_at_ms", "id").limit(limit)
 
 
+def dead_letter(messages: DataFrame, letters: DataFrame, message_id: str) -> DataFrame:
+    """The last letter (``id``, ``dead_at_ms``) of a message, if it is a dead letter now."""
+    now = messages.filter((F.col("id") == message_id) & (F.col("state") == "dead_lettered")).select("id")
+    return letters.join(now, "id", "left_semi").orderBy(F.desc("dead_at_ms")).limit(1)
+
+
 def reconciled_letters(history: DataFrame, letters: DataFrame) -> DataFrame:
     """Dead-letter history with ``current``: whether the message is a dead letter now; letters without history are new rows."""
     known = letters.select(F.col("id").alias("_id")).distinct()

@@ -63,6 +63,20 @@ def fetch_each(records: DataFrame, starts: DataFrame, limit: int) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= limit).drop("_rank", "start")
 
 
+def fetch_for_group(records: DataFrame, offsets: DataFrame, group: str, limit: int, owner: tuple[str, int] | None = None, claimed: tuple[str, int] | None = None) -> DataFrame:
+    """Records of every partition from a group's committed offset, or the base, on.
+
+    If ``claimed`` names who owns the group and of which generation, ``owner``
+    must be the same, or Conflict is raised.
+    """
+    if claimed is not None and owner != claimed:
+        raise Conflict(f"{group} is owned by {claimed}")
+    mine = offsets.filter(F.col("group") == group).select("partition", "committed")
+    base = records.groupBy("partition").agg(F.min("offset").alias("base"))
+    starts = base.join(mine, "partition", "left").select("partition", F.greatest(F.coalesce("committed", "base"), "base").alias("start"))
+    return fetch_each(records, F.broadcast(starts), limit)  # a row a partition
+
+
 def visible(records: DataFrame, transactions: DataFrame, committed: bool = True) -> DataFrame:
     """Records that a reader sees: with ``committed``, those without transaction or of a committed one; unknown ones are hidden."""
     if not committed:

@@ -390,6 +390,12 @@ class QueueFold(Fold):
         self._touch(c["now_ms"])
         return {"id": i, "position": m["position"]}
 
+    def observation(self) -> dict:
+        """Counts and flow state."""
+        states = ("ready", "scheduled", "leased", "acknowledged", "dead_lettered", "expired")
+        counts = {s: sum(m["state"] == s for m in self.messages.values()) for s in states}
+        return {**counts, "active": self.active, "active_bytes": self.active_bytes, "deferred": len(self.deferred), "locks": len(self.locks), "circuit": self.circuit["state"], "queue_expired": self.expired}
+
     # Flow control: tokens are kept in thousandths.
 
     def _allowance(self, wanted: int, now: int) -> int:
@@ -1102,3 +1108,140 @@ class DigestFold(Fold):
         self.digest = hashlib.sha256(bytes.fromhex(self.digest) + len(body).to_bytes(8, "big") + body).hexdigest()
         self.commands += 1
         return {"ok": True, "digest": self.digest}
+
+
+class KeyValueFold(Fold):
+    """A cache whose entries have versions of their own, and events of their own.
+
+    Operations: set (with ``condition``, ``expected_version``), get, delete,
+    increment, expire, hash_put, hash_remove, list_push, list_pop, set_add,
+    set_remove, sorted_set_add, sorted_set_remove, purge.  Reading touches an
+    entry and drops it if it is over; only sets, deletes, expiries and evictions
+    are events.  A collection that an operation makes is set first and then
+    changed, so its version is 2.  Among equal candidates the least key goes.
+    """
+
+    def __init__(self, config: CacheConfig | None = None):
+        self.config = config or CacheConfig()
+        self.entries: dict[str, dict] = {}
+        self.sequence = 0
+        self.events: list[dict] = []
+
+    def _event(self, key: str, kind: str, now: int) -> None:
+        self.events.append({"sequence": len(self.events) + 1, "key": key, "kind": kind, "at_ms": now})
+
+    def _fresh(self, key: str, now: int) -> dict | None:
+        e = self.entries.get(key)
+        if e is not None and e["expires"] is not None and e["expires"] <= now:
+            del self.entries[key]
+            self._event(key, "expire", now)
+            return None
+        return e
+
+    def _evict(self, now: int) -> None:
+        policy = self.config.policy
+        _need(policy != "no_eviction", "capacity")
+        kind = policy.removeprefix("all_keys_").removeprefix("volatile_")
+        rank = {"lru": lambda e: (e["seen"],), "lfu": lambda e: (e["count"], e["seen"]), "ttl": lambda e: (e["expires"],), "random": lambda e: (e["order"],)}[kind]
+        pool = [(rank(e), k) for k, e in self.entries.items() if policy.startswith("all_keys_") or e["expires"] is not None]
+        _need(bool(pool), "capacity")
+        victim = min(pool)[1]
+        del self.entries[victim]
+        self._event(victim, "evict", now)
+
+    def do_set(self, c: dict) -> dict:
+        key, now = c.get("key"), c["now_ms"]
+        _need(bool(key), "invalid_argument")
+        known = self._fresh(key, now)
+        _need(c.get("condition") != "absent" or known is None, "conflict")
+        _need(c.get("condition") != "present" or known is not None, "not_found")
+        version = known["version"] if known else 0
+        _need(c.get("expected_version") in (None, version), "conflict")
+        if known is None and len(self.entries) >= self.config.max_entries:
+            self._evict(now)
+        ttl = c.get("ttl_ms", self.config.default_ttl_ms)
+        self.sequence += 1
+        self.entries[key] = {"kind": c.get("kind", "string"), "value": c["value"], "version": version + 1, "expires": None if ttl is None else now + ttl, "seen": now, "count": 0, "order": self.sequence, "class": c.get("class", "memory")}
+        self._event(key, "set", now)
+        return {"version": version + 1}
+
+    def do_get(self, c: dict) -> dict:
+        e = self._fresh(c["key"], c["now_ms"])
+        if e is None:
+            return {"found": False}
+        e["seen"], e["count"] = c["now_ms"], e["count"] + 1
+        return {"found": True, "value": e["value"], "version": e["version"]}
+
+    def do_delete(self, c: dict) -> dict:
+        deleted = self.entries.pop(c["key"], None) is not None
+        if deleted:
+            self._event(c["key"], "delete", c["now_ms"])
+        return {"deleted": deleted}
+
+    def do_expire(self, c: dict) -> dict:
+        e = self._fresh(c["key"], c["now_ms"])
+        _need(e is not None, "not_found")
+        e["expires"], e["version"] = c["now_ms"] + c["ttl_ms"], e["version"] + 1
+        return {"version": e["version"]}
+
+    def do_increment(self, c: dict) -> dict:
+        delta = c.get("delta", 1)
+        e = self._fresh(c["key"], c["now_ms"])
+        if e is None:
+            self.do_set({"key": c["key"], "now_ms": c["now_ms"], "kind": "counter", "value": delta})
+            return {"value": delta}
+        _need(e["kind"] == "counter", "conflict")
+        _need(-(2**63) <= e["value"] + delta < 2**63, "overflow")
+        e.update(value=e["value"] + delta, version=e["version"] + 1, seen=c["now_ms"])
+        return {"value": e["value"]}
+
+    def _collection(self, c: dict, kind: str) -> dict:
+        e = self._fresh(c["key"], c["now_ms"])
+        if e is None:
+            self.do_set({"key": c["key"], "now_ms": c["now_ms"], "kind": kind, "value": CacheFold.EMPTY[kind]()})
+            e = self.entries[c["key"]]
+        _need(e["kind"] == kind, "conflict")
+        e.update(version=e["version"] + 1, seen=c["now_ms"])
+        return e
+
+    def do_hash_put(self, c: dict) -> dict:
+        e = self._collection(c, "hash")
+        e["value"][c["field"]] = c["value"]
+        return {"version": e["version"]}
+
+    def do_hash_remove(self, c: dict) -> dict:
+        return {"removed": self._collection(c, "hash")["value"].pop(c["field"], None) is not None}
+
+    def do_list_push(self, c: dict) -> dict:
+        e = self._collection(c, "list")
+        e["value"].insert(0 if c.get("side") == "front" else len(e["value"]), c["value"])
+        return {"length": len(e["value"])}
+
+    def do_list_pop(self, c: dict) -> dict:
+        value = self._collection(c, "list")["value"]
+        return {"value": value.pop(0 if c.get("side") == "front" else -1) if value else None}
+
+    def do_set_add(self, c: dict) -> dict:
+        e = self._collection(c, "set")
+        e["value"] = sorted({*e["value"], c["member"]})
+        return {"version": e["version"]}
+
+    def do_set_remove(self, c: dict) -> dict:
+        e = self._collection(c, "set")
+        e["value"] = sorted({*e["value"]} - {c["member"]})
+        return {"version": e["version"]}
+
+    def do_sorted_set_add(self, c: dict) -> dict:
+        _need(abs(c["score"]) < float("inf"), "invalid_argument")
+        e = self._collection(c, "sorted_set")
+        e["value"][c["member"]] = float(c["score"])
+        return {"version": e["version"]}
+
+    def do_sorted_set_remove(self, c: dict) -> dict:
+        return {"removed": self._collection(c, "sorted_set")["value"].pop(c["member"], None) is not None}
+
+    def do_purge(self, c: dict) -> dict:
+        over = sorted(k for k, e in self.entries.items() if e["expires"] is not None and e["expires"] <= c["now_ms"])[: c.get("max") or 1_000]
+        for key in over:
+            self._fresh(key, c["now_ms"])
+        return {"purged": over}

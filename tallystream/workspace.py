@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from tallystream.sources.envelopes import validated
 from tallystream.streaming import drivers, folds
 
 KINDS = ("bus", "cache", "queue", "stream")
+#: What answers a kind's commands.
 _MAKERS = {"queue": folds.QueueFold, "cache": folds.CacheFold, "bus": folds.SubscriptionFold}
 
 
@@ -90,6 +92,17 @@ class Workspace:
         """Records of a partition from an offset on."""
         return stream.fetch(self.records(name), partition, offset, limit)
 
+    def poll(self, name: str, partition: int, offset: int, limit: int, wait_ms: int = 1_000) -> list:
+        """Records from an offset on, waited for up to ``wait_ms`` (1 to 30,000); none if the time runs out."""
+        if not 1 <= wait_ms <= 30_000:
+            raise ValueError("a wait is 1 to 30,000 ms")
+        end = time.monotonic() + wait_ms / 1_000
+        while True:
+            found = self.fetch(name, partition, offset, limit).collect() if self._exists(f"{self._folder('stream', name)}/records") else []
+            if found or time.monotonic() >= end:
+                return found
+            time.sleep(min(0.1, max(0.0, end - time.monotonic())))
+
     def consume(self, name: str) -> DataFrame:
         """A stream's records as they come, for Structured Streaming."""
         return self.spark.readStream.schema(self.records(name).schema).parquet(f"{self._folder('stream', name)}/records")

@@ -218,6 +218,30 @@ def test_cache_history_and_restore():
         assert {k: e["value"] for k, e in c.entries.items()} == states[reached[0]]
 
 
+def test_entries_with_their_own_versions():
+    k = folds.KeyValueFold(folds.CacheConfig(max_entries=2, policy="all_keys_lru"))
+    put = lambda now, key, **more: k.apply({"op": "set", "now_ms": now, "key": key, "value": 1, **more})
+    do = lambda op, now, key, **more: k.apply({"op": op, "now_ms": now, "key": key, **more})
+    assert put(0, "a")["version"] == 1 and put(1, "a")["version"] == 2 and put(1, "a", condition="absent")["error"] == "conflict"
+    assert put(1, "z", condition="present")["error"] == "not_found" and put(1, "a", expected_version=1)["error"] == "conflict" and put(1, "a", expected_version=2)["version"] == 3
+    assert do("increment", 2, "n", delta=5)["value"] == 5 and do("increment", 2, "a")["error"] == "conflict"
+    do("get", 9, "a")
+    assert put(10, "c", ttl_ms=0)["ok"] and "n" not in k.entries  # the least seen leaves
+    assert do("get", 10, "c") == {"ok": True, "found": False} and do("expire", 10, "c", ttl_ms=5)["error"] == "not_found"
+    assert do("list_push", 11, "l", value=1)["length"] == 1 and k.entries["l"]["version"] == 2
+    assert do("expire", 12, "l", ttl_ms=3)["version"] == 3 and do("delete", 99, "l")["deleted"] is True
+    assert [e["kind"] for e in k.events] == ["set", "set", "set", "set", "evict", "set", "expire", "set", "delete"]
+    put(20, "t", ttl_ms=1)
+    assert k.apply({"op": "purge", "now_ms": 30})["purged"] == ["t"]
+    assert folds.KeyValueFold(k.config).load(k.dump()).dump() == k.dump()
+
+
+def test_observation():
+    q = folds.QueueFold()
+    run(q, ("enqueue", 0, {"id": "a", "bytes": 3}), ("enqueue", 0, {"id": "b", "deliver_at_ms": 9}))
+    assert {k: v for k, v in q.observation().items() if v} == {"ready": 1, "scheduled": 1, "active": 2, "active_bytes": 3, "circuit": "closed"}
+
+
 def test_locks_registry_and_forwards():
     k = folds.LockFold()
     take = {"op": "acquire", "lock": "l", "owner": "a", "owner_epoch": 2, "lease_ms": 10}

@@ -53,6 +53,26 @@ def test_fetch_and_lag(spark):
     assert found == {"g": (3, False), "h": (4, False), "i": (4, True), "j": (0, False)}
 
 
+def test_group_fetch_and_lookups(spark):
+    records = log(spark, [(p, o, f"{p}{o}", "k", "{}", None, o) for p in range(2) for o in range(3, 8)])
+    offsets = spark.createDataFrame([("g", 0, 6), ("h", 1, 1)], "group string, partition int, committed long")
+    found = stream.fetch_for_group(records, offsets, "g", 2)
+    assert sorted(r.id for r in found.collect()) == ["06", "07", "13", "14"]
+    assert stream.fetch_for_group(records, offsets, "h", 1).filter("partition = 1").first().id == "13"
+    with pytest.raises(stream.Conflict):
+        stream.fetch_for_group(records, offsets, "g", 2, ("m", 1), ("m", 2))
+    messages = spark.createDataFrame([("a", "dead_lettered"), ("b", "ready")], "id string, state string")
+    letters = spark.createDataFrame([("a", 1), ("a", 5), ("b", 2)], "id string, dead_at_ms long")
+    assert queue.dead_letter(messages, letters, "a").first().dead_at_ms == 5 and queue.dead_letter(messages, letters, "b").first() is None
+    name = dict.fromkeys(inventory.NAME_PARTS, "x")
+    catalog = spark.createDataFrame([(*name.values(), s, f"t{s}") for s in range(3)], [*name, "shard", "tablet"])
+    assert inventory.route(catalog, name, 2).first().tablet == "t2"
+    with pytest.raises(ValueError):
+        inventory.route(catalog, {"name": "x"}, 0)
+    entries = spark.createDataFrame([("b", "cold"), ("a", "cold"), ("c", "memory")], "key string, storage_class string")
+    assert [r.key for r in cache.of_class(entries, "cold").collect()] == ["a", "b"]
+
+
 @pytest.mark.parametrize("bucket", [None, 5])
 def test_retention_equals_appending(spark, bucket):
     r = random.Random(7)

@@ -23,6 +23,7 @@ def test_stream_resources(spark, tmp_path):
     w = Workspace(spark, f"{tmp_path}/w")
     assert w.health() == {"status": "ok", "resources": 0, "kinds": []}
     w.create("stream", "orders", partitions=3)
+    assert w.poll("orders", 0, 0, 5, 10) == []
     for bad in (("stream", "orders"), ("table", "x"), ("queue", "a b")):
         with pytest.raises(ValueError):
             w.create(*bad)
@@ -43,6 +44,7 @@ def test_stream_resources(spark, tmp_path):
     assert lag.lag == ends[p] - 1
     assert w.health() == {"status": "ok", "resources": 1, "kinds": ["stream"]}
     assert w.consume("orders").isStreaming
+    assert [r.offset for r in w.poll("orders", p, 1, 2)] == [1, 2]
 
 
 def test_stateful_resources(spark, tmp_path):
