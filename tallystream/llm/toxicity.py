@@ -185,7 +185,7 @@ def weak_labels(rows: list[tuple[str, bool]], marks: dict[str, tuple[str, ...]]
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, positive: Column, per_class: int = 2500, max_chars: int = 20_000) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, positive: Column, per_class: int = 1500, max_chars: int = 20_000) -> Chain:
     """The chain of the categories and ``toxic``, from a bounded sample of labelled documents."""
     rows = training_rows(docs, labels, positive, per_class, max_chars)
     return fit_chain(weak_labels(rows), [*CATEGORIES, "toxic"])
