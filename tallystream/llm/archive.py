@@ -184,6 +184,13 @@ def read_warc(data: bytes) -> Iterator[WarcRecord]:
         yield WarcRecord(fields, rest[:length])
 
 
+def warcinfo(archive: str, date: str = "2000-01-01T00:00:00Z") -> WarcRecord:
+    """The record that an archive starts with; it describes the converter."""
+    body = b"software: tallystream\r\nformat: WARC File Format 1.1\r\ndescription: converted from ARC\r\n"
+    fields = {"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(_NAMESPACE, archive)}>", "WARC-Date": date, "WARC-Filename": archive, "Content-Type": "application/warc-fields"}
+    return WarcRecord(fields, body)
+
+
 def http_field(headers: bytes, name: str) -> str | None:
     """The first value of an HTTP header field."""
     m = re.search(rb"(?mi)^" + re.escape(name.encode()) + rb": ?([^\r\n]*)", headers)
@@ -296,33 +303,40 @@ def to_warc(archives: DataFrame, key_type: str = "string", min_bytes: int = 0, s
     )
 
     def run(batches):
-        part, n, held, total = TaskContext.get().partitionId(), 0, [], 0
+        part, n, held, total = TaskContext.get().partitionId(), 1, [], 0
+        name = lambda: f"part-{part:06d}-{n:06d}.warc.gz"
+
+        def archive() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"archive": [name()], "content": pa.array([b"".join([warc_bytes(warcinfo(name())), *held])], pa.binary())})
+
         for batch in batches:
             for r in batch.to_pylist():
-                if r["error"] is not None:
-                    fields = {"WARC-Type": "metadata", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{part}-{n}-{len(held)}')}>", "Content-Type": "text/plain"}
-                    held.append(warc_bytes(WarcRecord(fields, r["error"].encode())))
-                    continue
-                block = r["headers"] if r["revisit"] else r["headers"] + r["payload"]
-                fields = {
-                    "WARC-Type": "revisit" if r["revisit"] else r["record_type"], "WARC-Record-ID": r["record_id"], "WARC-Date": r["warc_date"],
-                    "WARC-Target-URI": r["target_uri"], "WARC-Payload-Digest": f"sha1:{r['payload_digest']}", "WARC-Block-Digest": f"sha1:{digest(block)}",
-                    "Content-Type": "application/http; msgtype=response" if r["headers"] else "application/octet-stream",
-                }
-                if r["revisit"]:
-                    fields |= {"WARC-Profile": PROFILE, "WARC-Refers-To": r["refers_id"]} | ({"X-Refers-To-Key": quote(r["refers_key"])} if r["refers_key"] is not None else {})
-                held.append(warc_bytes(WarcRecord(fields, block)))
+                held.append(warc_bytes(_written(r, f"{name()}#{len(held)}")))
                 total += len(held[-1])
                 if total > size:
-                    n += 1
-                    yield pa.RecordBatch.from_pydict({"archive": [f"part-{part:06d}-{n:06d}.warc.gz"], "content": pa.array([b"".join(held)], pa.binary())})
-                    held, total = [], 0
+                    yield archive()
+                    n, held, total = n + 1, [], 0
         if held:
-            yield pa.RecordBatch.from_pydict({"archive": [f"part-{part:06d}-{n + 1:06d}.warc.gz"], "content": pa.array([b"".join(held)], pa.binary())})
+            yield archive()
 
     return staged(chosen.mapInArrow(run, ARCHIVE_SCHEMA), "warc")
 
 
+def _written(r: dict, place: str) -> WarcRecord:
+    """The WARC record of a converted row; an error becomes a metadata record."""
+    if r["error"] is not None:
+        return WarcRecord({"WARC-Type": "metadata", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(_NAMESPACE, place)}>", "Content-Type": "text/plain"}, r["error"].encode())
+    block = r["headers"] if r["revisit"] else r["headers"] + r["payload"]
+    fields = {
+        "WARC-Type": "revisit" if r["revisit"] else r["record_type"], "WARC-Record-ID": r["record_id"], "WARC-Date": r["warc_date"],
+        "WARC-Target-URI": r["target_uri"], "WARC-Payload-Digest": f"sha1:{r['payload_digest']}", "WARC-Block-Digest": f"sha1:{digest(block)}",
+        "Content-Type": "application/http; msgtype=response" if r["headers"] else "application/octet-stream",
+    }
+    if r["revisit"]:
+        fields |= {"WARC-Profile": PROFILE, "WARC-Refers-To": r["refers_id"]} | ({"X-Refers-To-Key": quote(r["refers_key"])} if r["refers_key"] is not None else {})
+    return WarcRecord(fields, block)
+
+
 def warc_records(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records of WARC archives (``RECORD_SCHEMA`` and ``refers_to``, the key that a revisit refers to).
 
@@ -337,6 +351,8 @@ def warc_records(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                 try:
                     for record in read_warc(content or b""):
                         kind = record.fields.get("WARC-Type")
+                        if kind == "warcinfo":
+                            continue
                         if kind == "metadata":
                             yield (*[None] * 9, record.block.decode("utf-8", "replace"), None)
                             continue

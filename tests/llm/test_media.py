@@ -148,3 +148,13 @@ def test_archived_pages(spark, monkeypatch, bound):
     found = [tuple(r)[:5] for r in archive.archived_pages(df).collect()]
     assert sorted(found, key=repr) == sorted(want, key=repr)
     assert archive.archived_pages(df.limit(0)).collect() == []
+    archives = archive.to_warc(archive.write_arcs(df, "page_id", "url", "html"), "bigint").collect()
+    records = [x for a in archives for x in archive.read_warc(a.content)]
+    assert all(next(archive.read_warc(a.content)).fields["WARC-Filename"] == a.archive for a in archives)
+    assert len(records) == len(pages) + len(archives) and len({x.fields["WARC-Record-ID"] for x in records}) == len(records)
+
+
+def test_errors_stay_with_the_archive(spark):
+    good = archive.arc_header("a", 1, "20010203040506") + archive.arc_record("u", "20010203040506", "t", b"b", 1)
+    out = archive.warc_records(archive.to_warc(spark.createDataFrame([("a", good + b"broken\n")], archive.ARCHIVE_SCHEMA))).collect()
+    assert sorted((r.record_type or "", r.error is None) for r in out) == [("", False), ("resource", True)]
