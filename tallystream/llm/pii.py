@@ -14,7 +14,9 @@ overlap one that does, and only those are run.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -312,12 +314,14 @@ def find(net: Tagger, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
     added: dict[int, list[Span]] = {}
     for i, tags in zip(active, tagged(net, [texts[i] for i in active]), strict=True):
         text, known = texts[i], base[i]
+        starts, reach = [a for a, _, _ in known], list(itertools.accumulate((b for _, _, b in known), max))
         for start, kind, end in spans_of(tags):
             while start < end and text[start].isspace():
                 start += 1
             while end > start and text[end - 1].isspace():
                 end -= 1
-            if any(a < end and start < b for a, _, b in known) or not _plausible(kind, text[start:end]):
+            before = bisect.bisect_left(starts, end)  # base spans that begin before its end
+            if (before and reach[before - 1] > start) or not _plausible(kind, text[start:end]):
                 continue
             added.setdefault(i, []).append((start, kind, end))
     return [(b, sorted(b + added.get(i, []))) for i, b in enumerate(base)]
