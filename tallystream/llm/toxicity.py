@@ -116,7 +116,7 @@ def select_features(rows: list[set[str]], y: np.ndarray, size: int, least: int)
     return [names[i] for i in sorted(set(best))]
 
 
-def fit_chain(samples: list[tuple[str, list[int]]], categories: list[str], folds: int = 5, size: int = 300, least: int = 3, l2: float = 1e-3) -> Chain:
+def fit_chain(samples: list[tuple[str, list[int]]], categories: list[str], folds: int = 5, size: int = 300, least: int = 3, l2: float = 1e-4) -> Chain:
     """A chain for (text, labels) rows; a row's fold is its place in the list modulo ``folds``.
 
     Thresholds maximise F1 of the out-of-fold probabilities.
@@ -154,7 +154,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     f1 = 2 * hits / (np.arange(1, len(p) + 1) + y.sum())
     k = int(f1.argmax())
     after = p[order[k + 1]] if k + 1 < len(p) else 0.0
-    return float(min(max((p[order[k]] + after) / 2, 0.05), 0.95))
+    return float(min(max((p[order[k]] + after) / 2, 0.1), 0.95))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, positive: Column, per_class: int, max_chars: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple[str, bool]]:
