@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,21 +16,46 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
+#: Lists of the folders that open scopes have staged.
+_OPEN: list[list[str]] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
     The written table survives lost executors and cuts the lineage, so rows
-    that later steps read several times are computed once.  It stays until
-    :func:`release` or the folder's own cleaning removes it.
+    that later steps read several times are computed once.  It stays until its
+    :func:`scope` ends, or :func:`release` or the folder's own cleaning removes it.
     """
-    path = f"{shared_folder(df.sparkSession)}/tallystream-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = f"{shared_folder(df.sparkSession)}/tallystream-{uuid.uuid4().hex}"
+    for opened in _OPEN:
+        opened.append(folder)
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what was staged within it, which must not be read any more."""
+    mine: list[str] = []
+    _OPEN.append(mine)
+    try:
+        yield
+    finally:
+        _OPEN[:] = [x for x in _OPEN if x is not mine]
+        for folder in mine:
+            remove(spark, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Removes a folder, in whatever store it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
