@@ -232,4 +232,4 @@ def hybrid_clock(ticks: DataFrame, node: str, order: str, physical: str) -> Data
     window = Window.partitionBy(node).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     rows = ticks.withColumn("clock_ms", F.max(physical).over(window))
     run = Window.partitionBy(node, "clock_ms").orderBy(order)
-    return rows.withColumn("logical", F.row_number().over(run) - 1)
+    return rows.withColumn("logical", (F.row_number().over(run) - 1).cast("bigint"))
