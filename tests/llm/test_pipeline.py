@@ -1,6 +1,7 @@
 """The pipeline's stages on awkward rows, and the registered queries."""
 
 import re
+from pathlib import Path
 
 import cases
 import pytest
@@ -47,7 +48,11 @@ def test_stages(spark, folder, tmp_path):
 
 
 def test_run_is_the_stages(spark, folder):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("tallystream-*"))
     assert corpus_pipeline.run(spark, folder).count() > 0
+    left = set(shared.glob("tallystream-*")) - before
+    assert [p.name for x in left for p in x.iterdir()] == ["stage-4"]  # all else is removed as it goes
     assert corpus_pipeline.ORACLE_SQL is None
 
 
