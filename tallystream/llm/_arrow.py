@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one call of a kernel sees, unless a single row is longer.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
+#: Bytes of an Arrow batch between an executor and its Python worker, and Spark's setting for them.
+BATCH_BYTES = 1 << 21
+_SETTING, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 26
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -26,6 +29,19 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64), raw[offsets[0] : offsets[-1]]
 
 
+def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)``, with smaller batches than Spark's.
+
+    Both sides hold a batch several times over, beside the executor's heap, and
+    texts gain nothing from large ones.  A setting that isn't Spark's default is
+    left as it is.
+    """
+    conf = df.sparkSession.conf
+    if (conf.get(_SETTING, None) or "").rstrip("bB") == str(_DEFAULT):
+        conf.set(_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def pieces(batch: pa.RecordBatch, column: int, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch cut into runs of rows with about ``limit`` bytes of text each."""
     offsets, _ = utf8(batch.column(column))
@@ -63,7 +79,7 @@ def map_texts(
                 out = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(compute(part.column(k)), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:k], *out], names)
 
-    return chosen.mapInArrow(run, schema)
+    return arrow_map(chosen, run, schema)
 
 
 def pa_type(kind: T.DataType) -> pa.DataType:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallystream.llm._arrow import pieces, utf8
+from tallystream.llm._arrow import arrow_map, pieces, utf8
 from tallystream.llm._scratch import staged
 
 #: Field names by version (fixed values of the format).
@@ -225,7 +225,7 @@ def write_arcs(pages: DataFrame, key: str, url: str, payload: str, date: str = "
                     at += len(out[-1])
                 yield pa.RecordBatch.from_pydict({"archive": [name], "content": pa.array([b"".join(out)], pa.binary())})
 
-    return chosen.mapInArrow(run, ARCHIVE_SCHEMA)
+    return arrow_map(chosen, run, ARCHIVE_SCHEMA)
 
 
 def _row(record: WarcRecord, payload: bytes, headers: bytes, with_payload: bool) -> tuple:
@@ -272,7 +272,7 @@ def converted(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                 except (ValueError, KeyError) as error:
                     yield (*[None] * 9, str(error))
 
-    return archives.select("archive", "content").mapInArrow(lambda b: _emit(rows(b), _RECORD_NAMES, _RECORD_TYPES), RECORD_SCHEMA)
+    return arrow_map(archives.select("archive", "content"), lambda b: _emit(rows(b), _RECORD_NAMES, _RECORD_TYPES), RECORD_SCHEMA)
 
 
 def repeated_payloads(records: DataFrame, key_type: str, min_bytes: int = 0) -> DataFrame:
@@ -319,7 +319,7 @@ def to_warc(archives: DataFrame, key_type: str = "string", min_bytes: int = 0, s
         if held:
             yield archive()
 
-    return staged(chosen.mapInArrow(run, ARCHIVE_SCHEMA), "warc")
+    return staged(arrow_map(chosen, run, ARCHIVE_SCHEMA), "warc")
 
 
 def _written(r: dict, place: str) -> WarcRecord:
@@ -365,7 +365,7 @@ def warc_records(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                 except (ValueError, KeyError) as error:
                     yield (*[None] * 9, str(error), None)
 
-    return archives.select("archive", "content").mapInArrow(lambda b: _emit(rows(b), names, types), RECORD_SCHEMA + ", refers_to string")
+    return arrow_map(archives.select("archive", "content"), lambda b: _emit(rows(b), names, types), RECORD_SCHEMA + ", refers_to string")
 
 
 def archived_pages(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:

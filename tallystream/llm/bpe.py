@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tallystream.llm._arrow import map_texts
+from tallystream.llm._arrow import arrow_map, map_texts
 
 #: Characters above which a text is cut at safe places.
 CHUNK = 1 << 16
@@ -147,7 +147,7 @@ def decode_ids(df: DataFrame, path: str, pattern: str, ids: str = "ids", keep: t
                 raw = pa.array([coder.decode(x or []) for x in part.column(len(keep)).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], raw], schema.names)
 
-    return chosen.mapInArrow(run, schema)
+    return arrow_map(chosen, run, schema)
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

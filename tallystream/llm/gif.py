@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tallystream.llm._arrow import map_texts
+from tallystream.llm._arrow import arrow_map, map_texts
 from tallystream.llm._scratch import staged
 
 #: Pixels of a stored payload's row, and rows of a frame at most.
@@ -370,7 +370,7 @@ def frames_of(media: DataFrame, content: str = "media", keep: tuple[str, ...] =
                 columns = [pa.array(x) if t is None else pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(),) * 5 + (pa.binary(), pa.list_(pa.int64()), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(k, 1).take(pa.array([0] * len(rows))) for c in batch.columns[: len(keep)]), *columns], schema.names)
 
-    return chosen.mapInArrow(run, schema)
+    return arrow_map(chosen, run, schema)
 
 
 def media_columns(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -402,4 +402,4 @@ def media_columns(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
                 columns = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], schema.names)
 
-    return chosen.mapInArrow(run, schema)
+    return arrow_map(chosen, run, schema)

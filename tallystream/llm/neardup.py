@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallystream.llm._arrow import map_texts, utf8
+from tallystream.llm._arrow import arrow_map, map_texts, utf8
 from tallystream.llm._scratch import staged
 
 #: Bands of a signature and hashes of a band; a pair at 0.8 shares no band with probability 5e-6.
@@ -54,7 +54,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least ``n`` of each."""
     if len(_POWERS[0]) < n:
-        n = max(n, 1 << 21)
+        n = max(n, 1 << 19)
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             x = np.full(n, base, np.uint64)
             x[0] = 1
@@ -179,7 +179,7 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str, k: int, extra: tuple[s
             [None if x is None else x.astype(np.uint8).tobytes() for x in sigs], [None if x is None else band_keys(x).view(np.int64).tolist() for x in sigs],
         ]
 
-    return staged(map_texts(rows, "text", ["uid", "doc_id", *extra], fields, lambda: compute), "fingerprints")
+    return staged(map_texts(rows, "text", ["uid", "doc_id", *extra], fields, lambda: compute, 1 << 18), "fingerprints")
 
 
 def classes_of(prints: DataFrame) -> DataFrame:
@@ -216,7 +216,7 @@ def _bayes(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(surviving(x, y, percent / 100))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return arrow_map(both, run, "a long, b long")
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -238,7 +238,7 @@ def _texts(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, nodes: D
                 part = part.filter(pa.array(same, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2)], ["node", "text"])
 
-    return staged(rows.mapInArrow(run, "node long, text string").dropDuplicates(["node"]), "texts")
+    return staged(arrow_map(rows, run, "node long, text string").dropDuplicates(["node"]), "texts")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -257,7 +257,7 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, classes:
                 keep = pa.array([linked(x, y, percent) for x, y in zip(left, right, strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
 
-    return staged(both.mapInArrow(run, "a long, b long"), "links")
+    return staged(arrow_map(both, run, "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallystream.llm._arrow import map_texts, utf8
+from tallystream.llm._arrow import arrow_map, map_texts, utf8
 from tallystream.llm._scratch import staged
 
 SYMBOLS, SHARDS = 64, 8
@@ -226,7 +226,7 @@ def trusted_counts(rows: DataFrame) -> np.ndarray:
         at = np.flatnonzero(dense)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(dense[at], pa.int64())], ["code", "n"])
 
-    found = rows.filter("trusted").select("segments").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    found = arrow_map(rows.filter("trusted").select("segments"), run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     dense = np.zeros(CODES, np.int64)
     dense[found["code"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return dense
@@ -258,7 +258,7 @@ def sharded_sums(rows: DataFrame, model: np.ndarray) -> DataFrame:
                     loss = np.bincount(segment, held[local] * count, end - at) if len(local) else np.zeros(end - at)
                     yield pa.RecordBatch.from_arrays([uid.slice(at, end - at), pa.array(loss)], ["uid", "loss"])
 
-    return both.mapInArrow(run, "uid long, loss double").groupBy("uid").agg(F.sum("loss").alias("loss"))
+    return arrow_map(both, run, "uid long, loss double").groupBy("uid").agg(F.sum("loss").alias("loss"))
 
 
 def classify(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
