@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallystream.llm import ngrams
 from tallystream.llm._arrow import arrow_map, map_texts, utf8
 from tallystream.llm._scratch import staged
 
@@ -277,6 +278,28 @@ def classify(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text:
     sums = sharded_sums(rows.filter("n_bytes > 0"), model).select(F.col("uid").alias("of"), "loss")
     scored = rows.select("uid", "doc_id", "lang", "trusted", "n_bytes").join(sums, F.col("uid") == F.col("of"), "left")
     scored = staged(scored.select("doc_id", "lang", "trusted", "n_bytes", F.round(F.exp(F.col("loss") / F.col("n_bytes")), 4).alias("perplexity")), "scores")
+    return _decided(scored, quantile)
+
+
+def assess(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
+    """As :func:`classify`, by a model of n-grams of unfolded bytes that is a table and grows with the trusted text.
+
+    The decision rule is the same.  ``docs`` is read several times and must give
+    the same rows in the same order.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
+    ids = trusted.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("known")).distinct()
+    side = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids.hint("merge")
+    on = F.col("doc_id") == F.col("known")
+    table = ngrams.model(rows.join(side, on, "left_semi").select("text"))
+    found = ngrams.scores(rows, table).join(side, on, "left")
+    perplexity = F.when(F.col("n_bytes") > 0, F.round(F.exp(F.col("loss") / F.col("n_bytes")), 4))
+    scored = found.select("doc_id", "lang", F.col("known").isNotNull().alias("trusted"), "n_bytes", perplexity.alias("perplexity"))
+    return _decided(staged(scored, "scores"), quantile)
+
+
+def _decided(scored: DataFrame, quantile: float) -> DataFrame:
+    """Limits of the languages, and the decision of each row."""
     good = scored.filter("trusted AND perplexity IS NOT NULL")
     level = F.percentile_approx("perplexity", quantile, 10_000)
     limits = good.groupBy(F.col("lang").alias("of")).agg(level.alias("own"))

@@ -67,7 +67,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every whole document and whether its language's limit keeps it; one row each."""
     good = quality.trusted_ids(_table(spark, sf_dir, "labels"), F.col("quality") == 1)
-    return quality.classify(_table(spark, sf_dir, "documents"), good)
+    return quality.assess(_table(spark, sf_dir, "documents"), good)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
