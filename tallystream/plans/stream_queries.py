@@ -216,6 +216,17 @@ def transaction_status(spark, sf_dir):
     return stream.transaction_status(e.select(F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("transaction_id"), F.col("event_id").alias("seq"), action.alias("action")))
 
 
+@query("""WITH c AS (SELECT 't' || (event_id // 4) AS transaction_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'commit' WHEN 'error' THEN 'abort' ELSE 'append' END AS action FROM events),
+e AS (SELECT transaction_id, arg_min(action, seq) FILTER (action <> 'append') AS fin, count(*) FILTER (action = 'append') AS records FROM c GROUP BY 1)
+SELECT transaction_id, CASE fin WHEN 'commit' THEN 'committed' WHEN 'abort' THEN 'aborted' ELSE 'pending' END AS status, records FROM e""")
+def transaction_status_all(spark, sf_dir):
+    """The status of transactions from the commands of all events, four to a transaction."""
+    e = table(spark, sf_dir, "events")
+    action = F.when(F.col("event_type") == "purchase", "commit").when(F.col("event_type") == "error", "abort").otherwise("append")
+    ids = F.concat(F.lit("t"), F.floor(F.col("event_id") / 4).cast("string"))
+    return stream.transaction_status(e.select(ids.alias("transaction_id"), F.col("event_id").alias("seq"), action.alias("action")))
+
+
 @query("""WITH a AS (SELECT event_id AS seq, user_id AS producer, event_id // 2000 AS epoch, row_number() OVER (PARTITION BY user_id, event_id // 2000 ORDER BY event_id) + CASE WHEN event_id % 13 = 0 THEN 2 WHEN event_id % 17 = 0 THEN -1 ELSE 0 END AS sequence FROM events),
 b AS (SELECT *, max(sequence) OVER (PARTITION BY producer, epoch ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM a)
 SELECT seq, producer, CASE WHEN prev IS NULL THEN 'first' WHEN sequence = prev + 1 THEN 'next' WHEN sequence <= prev THEN 'repeat' ELSE 'gap' END AS kind FROM b""")
