@@ -26,9 +26,9 @@ from tallystream.llm._scratch import staged
 
 ORDER = 5
 #: Bytes of text that one call of a kernel sees, and after which a chunk ends.
-WINDOW, CHUNK_BYTES = 1 << 21, 1 << 26
+WINDOW, CHUNK_BYTES = 1 << 19, 1 << 26
 #: Distinct n-grams that a task holds before it hands on counts, or sorts anew.
-HELD = 1 << 21
+HELD = 1 << 19
 _SHIFT = 8 * ORDER
 
 

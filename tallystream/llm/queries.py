@@ -65,9 +65,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Perplexity of every whole document and whether its language's limit keeps it; one row each."""
-    good = quality.trusted_ids(_table(spark, sf_dir, "labels"), F.col("quality") == 1)
-    return quality.assess(_table(spark, sf_dir, "documents"), good)
+    """Perplexity of every whole document and whether its language's limit keeps it; one row each.  A quarter of the low labels is held out."""
+    labels = _table(spark, sf_dir, "labels")
+    good, low = (quality.trusted_ids(labels, x) for x in (F.col("quality") == 1, (F.col("quality") == 0) & ~held_out()))
+    return quality.assess(_table(spark, sf_dir, "documents"), good, low=low)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,3 +102,15 @@ def test_model_grows_with_the_trusted_text(spark, tmp_path):
     docs = stored(spark, str(tmp_path / "docs"), [(i, "".join(chr(r.randrange(33, 0x3000)) for _ in range(500)), "en") for i in range(300)])
     few, many = (ngrams.model(docs.filter(F.col("doc_id") < n).select("text")).count() for n in (30, 300))
     assert many > 5 * few and many > quality.CODES
+
+
+def test_low_labels_choose_the_quantile(spark):
+    """Low-quality rows inside the trusted range: the 0.995 quantile keeps them, the one they choose doesn't."""
+    rows = [(i, x, True, 9, float(i % 1000 + 1)) for x, start in (("en", 0), ("de", 1000), ("fr", 2000)) for i in range(start, start + 1000)]
+    rows += [(5000 + i, "en", False, 9, 983.0 + i) for i in range(10)] + [(6000 + i, "de", False, 9, 5000.0) for i in range(10)] + [(7000, "fr", False, 9, 990.0)]
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, trusted boolean, n_bytes long, perplexity double")
+    low = spark.createDataFrame([(i,) for i, *_ in rows if 5000 <= i < 7000], "bad long")
+    found = {r.doc_id: r for r in quality._decided(scored, 0.995, low).collect()}
+    assert len(found) == len(rows) and not any(r.kept for i, r in found.items() if 5000 <= i < 7000)
+    assert [found[i].limit for i in (0, 1000, 2000)] == [980.0, 995.0, 995.0] and found[7000].kept
+    assert sum(r.kept for r in quality._decided(scored, 0.995).collect() if r.doc_id < 6000 and r.doc_id >= 5000) == 10
