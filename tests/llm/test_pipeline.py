@@ -1,5 +1,6 @@
 """The pipeline's stages on awkward rows, and the registered queries."""
 
+import random
 import re
 from pathlib import Path
 
@@ -68,3 +69,15 @@ def test_registered():
     names = set(__spark_entry__.queries())
     assert {re.match(r"op\d+", n)[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 11)} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= names
+
+
+def test_other_languages_go(spark, tmp_path):
+    r = random.Random(4)
+    parts = {"en": ["the", "tion", "and", "ing"], "de": ["der", "ung", "sch", "ich"], "fr": ["eau", "que", "oi", "é"]}
+    make = lambda bits: " ".join("".join(r.choices(bits, k=r.randrange(1, 4))) for _ in range(30))
+    rows = [(i, make(parts[x]), x, "s", 9) for i in range(3000) for x in [list(parts)[i % 3]]]
+    rows += [(9000 + i, make(["zzkw", "olo", "wwa", "ybb", "привет", "мир"]), None, "s", 9) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = {x.doc_id for x in corpus_pipeline.keep_languages(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()}
+    assert sum(i < 9000 for i in kept) >= 2970
+    assert sum(i >= 9000 for i in kept) <= 2, sum(i >= 9000 for i in kept)
