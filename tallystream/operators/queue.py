@@ -46,8 +46,8 @@ def state_counts(messages: DataFrame) -> DataFrame:
 
 
 def consumer_flow(messages: DataFrame) -> DataFrame:
-    """Leased messages of each consumer and its latest epoch."""
-    return messages.filter("state = 'leased'").groupBy("consumer").agg(F.count("*").alias("in_flight"), F.max("consumer_epoch").alias("epoch"))
+    """Leased messages of each consumer and its latest term."""
+    return messages.filter("state = 'leased'").groupBy("consumer").agg(F.count("*").alias("in_flight"), F.max("consumer_term").alias("term"))
 
 
 def next_deadline(messages: DataFrame, max_age_ms: int | None) -> DataFrame:

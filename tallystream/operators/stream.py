@@ -217,11 +217,11 @@ def transaction_status(commands: DataFrame) -> DataFrame:
 
 
 def sequence_report(appends: DataFrame) -> DataFrame:
-    """How each producer's appends follow each other within an epoch: ``first``, ``next``, ``repeat`` or ``gap``.
+    """How each producer's appends follow each other within a term: ``first``, ``next``, ``repeat`` or ``gap``.
 
     For reports only; what is accepted is decided by the producer fold.
     """
-    window = Window.partitionBy("producer", "epoch").orderBy("seq")
+    window = Window.partitionBy("producer", "term").orderBy("seq")
     before = F.max("sequence").over(window.rowsBetween(Window.unboundedPreceding, -1))
     kind = F.when(before.isNull(), "first").when(F.col("sequence") == before + 1, "next").when(F.col("sequence") <= before, "repeat").otherwise("gap")
     return appends.withColumn("kind", kind)

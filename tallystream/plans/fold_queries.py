@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallystream.functions.retry import RetryPolicy
 from tallystream.functions.sketches import CuckooFilter
 from tallystream.plans.registry import query
-from tallystream.sources.envelopes import epoch_ms, table
+from tallystream.sources.envelopes import table, unix_ms
 from tallystream.streaming import drivers, folds
 
 SHARDS = 16
@@ -20,7 +20,7 @@ def _log(rows: DataFrame, shard: Column, seq: Column, **fields: Column) -> DataF
 
 
 def _events(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "events").withColumn("now", epoch_ms(F.col("ts")))
+    return table(spark, sf_dir, "events").withColumn("now", unix_ms(F.col("ts")))
 
 
 def _counted(log: DataFrame, make) -> DataFrame:
@@ -88,15 +88,15 @@ def producer_fold(spark, sf_dir):
     e = _events(spark, sf_dir)
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     e = e.withColumn("n", n)
-    log = _log(e, F.col("user_id") % SHARDS, F.col("event_id"), op=F.lit("append"), now_ms=F.col("now"), producer=F.col("user_id").cast("string"), epoch=F.lit(1), sequence=F.when(F.col("event_id") % 29 == 0, F.greatest(F.col("n") - 1, F.lit(0))).otherwise(F.col("n")), digest=F.col("event_type"))
+    log = _log(e, F.col("user_id") % SHARDS, F.col("event_id"), op=F.lit("append"), now_ms=F.col("now"), producer=F.col("user_id").cast("string"), term=F.lit(1), sequence=F.when(F.col("event_id") % 29 == 0, F.greatest(F.col("n") - 1, F.lit(0))).otherwise(F.col("n")), digest=F.col("event_type"))
     return _counted(log, folds.ProducerFold)
 
 
 @query()
 def lock_fold(spark, sf_dir):
-    """Locks that owners of several epochs try to take."""
+    """Locks that owners of several terms try to take."""
     e = _events(spark, sf_dir)
-    log = _log(e, F.col("user_id") % SHARDS, F.col("event_id"), op=F.lit("acquire"), now_ms=F.col("now"), lock=F.col("event_type"), owner=F.col("user_id").cast("string"), owner_epoch=1 + F.col("event_id") % 3, lease_ms=F.lit(7_200_000))
+    log = _log(e, F.col("user_id") % SHARDS, F.col("event_id"), op=F.lit("acquire"), now_ms=F.col("now"), lock=F.col("event_type"), owner=F.col("user_id").cast("string"), owner_term=1 + F.col("event_id") % 3, lease_ms=F.lit(7_200_000))
     return _counted(log, folds.LockFold)
 
 

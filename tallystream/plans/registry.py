@@ -31,7 +31,7 @@ def fnv_sql(text: str, n: int) -> str:
 
 #: The envelope view of events.
 ENVELOPES = """
-env AS (SELECT event_id, user_id, value, event_id::VARCHAR AS id, 'events' AS source, event_type AS type, epoch_us(ts) // 1000 AS time_ms, user_id::VARCHAR AS key,
+env AS (SELECT event_id, user_id, value, event_id::VARCHAR AS id, 'events' AS source, event_type AS type, date_diff('microsecond', TIMESTAMP '1970-01-01', ts::TIMESTAMP) // 1000 AS time_ms, user_id::VARCHAR AS key,
   't' || (user_id % 3) AS tenant, CASE WHEN event_type <> 'error' THEN props END AS payload, (event_id % 10)::INTEGER AS priority,
   user_id || ':' || event_type AS dedupe_id, CASE WHEN event_id % 7 <> 0 THEN 'tx' || (event_id % 7) END AS transaction_id FROM events)"""
 #: Events appended to eight partitions.

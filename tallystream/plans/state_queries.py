@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallystream.functions import hashes, matching, retry, sketches
 from tallystream.operators import cache, inventory, queue, search
 from tallystream.plans.registry import ENVELOPES, query
-from tallystream.sources.envelopes import epoch_ms, event_envelopes, table
+from tallystream.sources.envelopes import event_envelopes, table, unix_ms
 
 NOW = 1_706_000_000_000
 
@@ -56,13 +56,13 @@ def cdc_diff(spark, sf_dir):
 def entries(spark, sf_dir):
     """Users as entries, with how often and when they were last seen."""
     e = table(spark, sf_dir, "events")
-    rows = e.groupBy(F.col("user_id").cast("string").alias("key")).agg(F.max("event_id").alias("last_access_revision"), F.count("*").alias("access_count"), F.max_by("event_type", "event_id").alias("value"), F.max(epoch_ms(F.col("ts"))).alias("seen_ms"))
+    rows = e.groupBy(F.col("user_id").cast("string").alias("key")).agg(F.max("event_id").alias("last_access_revision"), F.count("*").alias("access_count"), F.max_by("event_type", "event_id").alias("value"), F.max(unix_ms(F.col("ts"))).alias("seen_ms"))
     uid = F.col("key").cast("bigint")
     return rows.select("*", F.when(uid % 3 != 0, F.col("seen_ms") + uid % 7 * 1_000_000).alias("expires_at_ms"), F.when(uid % 2 == 0, "memory").otherwise("cold").alias("storage_class"))
 
 
 _ENTRIES = """en AS (SELECT *, CASE WHEN key::BIGINT % 3 <> 0 THEN seen_ms + key::BIGINT % 7 * 1000000 END AS expires_at_ms, CASE WHEN key::BIGINT % 2 = 0 THEN 'memory' ELSE 'cold' END AS storage_class
-FROM (SELECT user_id::VARCHAR AS key, max(event_id) AS last_access_revision, count(*) AS access_count, arg_max(event_type, event_id) AS value, max(epoch_us(ts) // 1000) AS seen_ms FROM events GROUP BY 1))"""
+FROM (SELECT user_id::VARCHAR AS key, max(event_id) AS last_access_revision, count(*) AS access_count, arg_max(event_type, event_id) AS value, max(date_diff('microsecond', TIMESTAMP '1970-01-01', ts::TIMESTAMP) // 1000) AS seen_ms FROM events GROUP BY 1))"""
 
 
 def _evicted(name, policy, order, where="true"):
@@ -152,18 +152,18 @@ def messages(spark, sf_dir):
     k = F.col("o_orderkey")
     state = F.when(F.col("o_orderstatus") == "F", "acknowledged").when(k % 6 == 0, "leased").when(k % 6 == 1, "scheduled").when(k % 13 == 0, "dead_lettered").when(k % 17 == 0, "expired").otherwise("ready")
     return o.select(
-        k.cast("string").alias("id"), k.alias("commit_position"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), state.alias("state"), epoch_ms(F.col("o_orderdate")).alias("enqueued_at_ms"),
-        F.octet_length("o_orderpriority").cast("bigint").alias("bytes"), F.concat(F.lit("c"), (F.col("o_custkey") % 11).cast("string")).alias("consumer"), (k % 4).alias("consumer_epoch"),
+        k.cast("string").alias("id"), k.alias("commit_position"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), state.alias("state"), unix_ms(F.col("o_orderdate")).alias("enqueued_at_ms"),
+        F.octet_length("o_orderpriority").cast("bigint").alias("bytes"), F.concat(F.lit("c"), (F.col("o_custkey") % 11).cast("string")).alias("consumer"), (k % 4).alias("consumer_term"),
         F.when(k % 5 == 0, F.concat(F.lit("s"), (F.col("o_custkey") % 20).cast("string"))).alias("session_id"), F.when(k % 4 == 0, F.concat(F.lit("k"), (F.col("o_custkey") % 9).cast("string"))).alias("correlation_id"),
-        (epoch_ms(F.col("o_orderdate")) + k % 1000).alias("eligible_at_ms"), (epoch_ms(F.col("o_orderdate")) + k % 3000).alias("deadline_ms"), F.when(k % 3 == 0, k % 5000 + 10).alias("ttl_ms"),
-        (epoch_ms(F.col("o_orderdate")) + 5).alias("dead_at_ms"), (1 + k % 8).cast("int").alias("attempt"),
+        (unix_ms(F.col("o_orderdate")) + k % 1000).alias("eligible_at_ms"), (unix_ms(F.col("o_orderdate")) + k % 3000).alias("deadline_ms"), F.when(k % 3 == 0, k % 5000 + 10).alias("ttl_ms"),
+        (unix_ms(F.col("o_orderdate")) + 5).alias("dead_at_ms"), (1 + k % 8).cast("int").alias("attempt"),
     )
 
 
-_MESSAGES = """ms AS (SELECT o_orderkey::VARCHAR AS id, o_orderkey AS commit_position, o_orderpriority[1]::INTEGER AS priority, epoch_us(o_orderdate) // 1000 AS enqueued_at_ms, strlen(o_orderpriority) AS bytes, 'c' || (o_custkey % 11) AS consumer, o_orderkey % 4 AS consumer_epoch,
+_MESSAGES = """ms AS (SELECT o_orderkey::VARCHAR AS id, o_orderkey AS commit_position, o_orderpriority[1]::INTEGER AS priority, date_diff('microsecond', TIMESTAMP '1970-01-01', o_orderdate::TIMESTAMP) // 1000 AS enqueued_at_ms, strlen(o_orderpriority) AS bytes, 'c' || (o_custkey % 11) AS consumer, o_orderkey % 4 AS consumer_term,
 CASE WHEN o_orderstatus = 'F' THEN 'acknowledged' WHEN o_orderkey % 6 = 0 THEN 'leased' WHEN o_orderkey % 6 = 1 THEN 'scheduled' WHEN o_orderkey % 13 = 0 THEN 'dead_lettered' WHEN o_orderkey % 17 = 0 THEN 'expired' ELSE 'ready' END AS state,
-CASE WHEN o_orderkey % 5 = 0 THEN 's' || (o_custkey % 20) END AS session_id, CASE WHEN o_orderkey % 4 = 0 THEN 'k' || (o_custkey % 9) END AS correlation_id, epoch_us(o_orderdate) // 1000 + o_orderkey % 1000 AS eligible_at_ms, epoch_us(o_orderdate) // 1000 + o_orderkey % 3000 AS deadline_ms,
-CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 5000 + 10 END AS ttl_ms, epoch_us(o_orderdate) // 1000 + 5 AS dead_at_ms, (1 + o_orderkey % 8)::INTEGER AS attempt FROM orders)"""
+CASE WHEN o_orderkey % 5 = 0 THEN 's' || (o_custkey % 20) END AS session_id, CASE WHEN o_orderkey % 4 = 0 THEN 'k' || (o_custkey % 9) END AS correlation_id, date_diff('microsecond', TIMESTAMP '1970-01-01', o_orderdate::TIMESTAMP) // 1000 + o_orderkey % 1000 AS eligible_at_ms, date_diff('microsecond', TIMESTAMP '1970-01-01', o_orderdate::TIMESTAMP) // 1000 + o_orderkey % 3000 AS deadline_ms,
+CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 5000 + 10 END AS ttl_ms, date_diff('microsecond', TIMESTAMP '1970-01-01', o_orderdate::TIMESTAMP) // 1000 + 5 AS dead_at_ms, (1 + o_orderkey % 8)::INTEGER AS attempt FROM orders)"""
 _ACTIVE = "state IN ('ready', 'scheduled', 'leased')"
 
 
@@ -193,7 +193,7 @@ def queue_state_counts(spark, sf_dir):
     return queue.state_counts(messages(spark, sf_dir))
 
 
-@query(f"WITH {_MESSAGES} SELECT consumer, count(*) AS in_flight, max(consumer_epoch) AS epoch FROM ms WHERE state = 'leased' GROUP BY 1")
+@query(f"WITH {_MESSAGES} SELECT consumer, count(*) AS in_flight, max(consumer_term) AS term FROM ms WHERE state = 'leased' GROUP BY 1")
 def in_flight_by_consumer(spark, sf_dir):
     """Leased messages of each consumer."""
     return queue.consumer_flow(messages(spark, sf_dir))

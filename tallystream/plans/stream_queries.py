@@ -206,20 +206,10 @@ def replication_ingest(spark, sf_dir):
     return stream.replicated(batch, "west", "here", 10).select("event_id", "dedupe_id", F.col("extensions")["traversed"].alias("traversed"))
 
 
-@query("""WITH c AS (SELECT 'u' || (user_id % 40) AS transaction_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'commit' WHEN 'error' THEN 'abort' ELSE 'append' END AS action FROM events WHERE event_id % 11 < 6),
-e AS (SELECT transaction_id, arg_min(action, seq) FILTER (action <> 'append') AS fin, count(*) FILTER (action = 'append') AS records FROM c GROUP BY 1)
-SELECT transaction_id, CASE fin WHEN 'commit' THEN 'committed' WHEN 'abort' THEN 'aborted' ELSE 'pending' END AS status, records FROM e""")
-def transaction_status(spark, sf_dir):
-    """The status of transactions from their commands."""
-    e = table(spark, sf_dir, "events").filter("event_id % 11 < 6")
-    action = F.when(F.col("event_type") == "purchase", "commit").when(F.col("event_type") == "error", "abort").otherwise("append")
-    return stream.transaction_status(e.select(F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("transaction_id"), F.col("event_id").alias("seq"), action.alias("action")))
-
-
 @query("""WITH c AS (SELECT 't' || (event_id // 4) AS transaction_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'commit' WHEN 'error' THEN 'abort' ELSE 'append' END AS action FROM events),
 e AS (SELECT transaction_id, arg_min(action, seq) FILTER (action <> 'append') AS fin, count(*) FILTER (action = 'append') AS records FROM c GROUP BY 1)
 SELECT transaction_id, CASE fin WHEN 'commit' THEN 'committed' WHEN 'abort' THEN 'aborted' ELSE 'pending' END AS status, records FROM e""")
-def transaction_status_all(spark, sf_dir):
+def transaction_status(spark, sf_dir):
     """The status of transactions from the commands of all events, four to a transaction."""
     e = table(spark, sf_dir, "events")
     action = F.when(F.col("event_type") == "purchase", "commit").when(F.col("event_type") == "error", "abort").otherwise("append")
@@ -227,22 +217,22 @@ def transaction_status_all(spark, sf_dir):
     return stream.transaction_status(e.select(ids.alias("transaction_id"), F.col("event_id").alias("seq"), action.alias("action")))
 
 
-@query("""WITH a AS (SELECT event_id AS seq, user_id AS producer, event_id // 2000 AS epoch, row_number() OVER (PARTITION BY user_id, event_id // 2000 ORDER BY event_id) + CASE WHEN event_id % 13 = 0 THEN 2 WHEN event_id % 17 = 0 THEN -1 ELSE 0 END AS sequence FROM events),
-b AS (SELECT *, max(sequence) OVER (PARTITION BY producer, epoch ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM a)
+@query("""WITH a AS (SELECT event_id AS seq, user_id AS producer, event_id // 2000 AS term, row_number() OVER (PARTITION BY user_id, event_id // 2000 ORDER BY event_id) + CASE WHEN event_id % 13 = 0 THEN 2 WHEN event_id % 17 = 0 THEN -1 ELSE 0 END AS sequence FROM events),
+b AS (SELECT *, max(sequence) OVER (PARTITION BY producer, term ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM a)
 SELECT seq, producer, CASE WHEN prev IS NULL THEN 'first' WHEN sequence = prev + 1 THEN 'next' WHEN sequence <= prev THEN 'repeat' ELSE 'gap' END AS kind FROM b""")
 def producer_sequences(spark, sf_dir):
     """How producers' appends follow each other."""
     from pyspark.sql import Window
 
     e = table(spark, sf_dir, "events")
-    epoch = F.floor(F.col("event_id") / 2000)
-    order = Window.partitionBy("user_id", epoch).orderBy("event_id")
+    term = F.floor(F.col("event_id") / 2000)
+    order = Window.partitionBy("user_id", term).orderBy("event_id")
     slip = F.when(F.col("event_id") % 13 == 0, 2).when(F.col("event_id") % 17 == 0, -1).otherwise(0)
-    rows = e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("producer"), epoch.alias("epoch"), (F.row_number().over(order) + slip).alias("sequence"))
+    rows = e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("producer"), term.alias("term"), (F.row_number().over(order) + slip).alias("sequence"))
     return stream.sequence_report(rows).select("seq", "producer", "kind")
 
 
-@query("""WITH t AS (SELECT event_id, user_id % 5 AS node, epoch_us(ts) // 1000 - CASE WHEN event_id % 4 = 0 THEN 7200000 ELSE 0 END AS p FROM events),
+@query("""WITH t AS (SELECT event_id, user_id % 5 AS node, date_diff('microsecond', TIMESTAMP '1970-01-01', ts::TIMESTAMP) // 1000 - CASE WHEN event_id % 4 = 0 THEN 7200000 ELSE 0 END AS p FROM events),
 m AS (SELECT *, max(p) OVER (PARTITION BY node ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS clock_ms FROM t)
 SELECT event_id, node, clock_ms, row_number() OVER (PARTITION BY node, clock_ms ORDER BY event_id) - 1 AS logical FROM m""")
 def hybrid_clock(spark, sf_dir):

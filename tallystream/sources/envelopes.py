@@ -22,7 +22,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def epoch_ms(ts: Column) -> Column:
+def unix_ms(ts: Column) -> Column:
     """Milliseconds since 1970 of a time without zone."""
     return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
 
@@ -32,7 +32,7 @@ def event_envelopes(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
     return e.select(
         F.col("event_id").cast("string").alias("id"), F.lit("events").alias("source"), F.col("event_type").alias("type"), F.lit(None).cast("string").alias("subject"),
-        epoch_ms(F.col("ts")).alias("time_ms"), F.col("user_id").cast("string").alias("key"), F.create_map(F.lit("tenant"), F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string"))).alias("headers"),
+        unix_ms(F.col("ts")).alias("time_ms"), F.col("user_id").cast("string").alias("key"), F.create_map(F.lit("tenant"), F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string"))).alias("headers"),
         F.lit("application/json").alias("content_type"), F.lit(None).cast("string").alias("schema_ref"), F.lit(None).cast("string").alias("traceparent"),
         F.when(F.col("event_type") != "error", F.col("props")).alias("payload"), F.lit(None).cast("bigint").alias("deliver_at_ms"), F.lit(None).cast("bigint").alias("ttl_ms"),
         (F.col("event_id") % 10).cast("int").alias("priority"), F.concat_ws(":", "user_id", "event_type").alias("dedupe_id"),

@@ -98,7 +98,7 @@ class QueueFold(Fold):
         self.deferred: dict[str, str] = {}
         self.locks: dict[str, dict] = {}
         self.lock_generation = 0
-        self.epochs: dict[str, int] = {}
+        self.terms: dict[str, int] = {}
         self.active, self.active_bytes = 0, 0
         self.circuit = {"state": "closed", "failures": 0, "open_until": None, "probe": None, "milli": None, "refilled": None}
         self.last_activity, self.expired = None, False
@@ -267,10 +267,10 @@ class QueueFold(Fold):
     def _accept(self, c: dict) -> None:
         _need(bool(c.get("consumer")), "invalid_argument")
         _need((c.get("visibility_ms") or 1) > 0, "invalid_argument")
-        epoch = c.get("consumer_epoch")
-        if epoch is not None:
-            _need(epoch >= self.epochs.get(c["consumer"], 0), "fenced")
-            self.epochs[c["consumer"]] = epoch
+        term = c.get("consumer_term")
+        if term is not None:
+            _need(term >= self.terms.get(c["consumer"], 0), "fenced")
+            self.terms[c["consumer"]] = term
 
     def do_acquire(self, c: dict) -> dict:
         self._accept(c)
@@ -452,7 +452,7 @@ class DeliveryFold(Fold):
         self.pending: dict[str, list] = {}
         self.in_flight: dict[str, int] = {}
         self.leases: list[list] = []
-        self.epochs: dict[str, int] = {}
+        self.terms: dict[str, int] = {}
         self.generation = 0
 
     def counts(self) -> dict:
@@ -476,7 +476,7 @@ class DeliveryFold(Fold):
         _, window, timeout, _ = self.config
         now, s, limit = c["now_ms"], c["subscription"], c.get("max") or 1
         _need(1 <= limit <= 100, "invalid_argument")
-        self._epoch(c)
+        self._term(c)
         waiting, later, out = self.pending.get(s, []), [], []
         while waiting and len(out) < limit:
             entry = heapq.heappop(waiting)
@@ -498,15 +498,15 @@ class DeliveryFold(Fold):
             heapq.heappush(waiting, entry)
         return {"leased": out}
 
-    def _epoch(self, c: dict) -> None:
-        epoch = c.get("dispatcher_epoch") or 1
-        _need(epoch >= self.epochs.get(c["dispatcher"], 0), "fenced")
-        self.epochs[c["dispatcher"]] = epoch
+    def _term(self, c: dict) -> None:
+        term = c.get("dispatcher_term") or 1
+        _need(term >= self.terms.get(c["dispatcher"], 0), "fenced")
+        self.terms[c["dispatcher"]] = term
 
     def _held(self, c: dict) -> dict:
         r = self.records.get(c.get("id"))
         _need(r is not None, "not_found")
-        self._epoch(c)
+        self._term(c)
         _need(r["state"] == "in_flight" and r["dispatcher"] == c["dispatcher"] and r["token"] == c.get("token"), "fenced")
         return r
 
@@ -649,7 +649,7 @@ class ProducerFold(Fold):
     """Idempotent appends and transactions of producers to one partition.
 
     Operations: append (with ``sequence`` and ``digest``), begin, commit, abort.
-    An append that repeats one of the last 256 is a duplicate; a higher epoch
+    An append that repeats one of the last 256 is a duplicate; a higher term
     starts anew and aborts what was pending.
     """
 
@@ -661,19 +661,19 @@ class ProducerFold(Fold):
         self.next_offset = 0
 
     def _producer(self, c: dict) -> dict:
-        name, epoch = c["producer"], c["epoch"]
-        _need(epoch > 0, "invalid_argument")
+        name, term = c["producer"], c["term"]
+        _need(term > 0, "invalid_argument")
         p = self.producers.get(name)
         if p is None:
             _need(len(self.producers) < self.PRODUCERS, "capacity")
         else:
-            _need(epoch >= p["epoch"], "fenced")
-            if epoch == p["epoch"]:
+            _need(term >= p["term"], "fenced")
+            if term == p["term"]:
                 return p
             for t in self.transactions.values():
                 if t["producer"] == name and t["status"] == "pending":
                     t["status"] = "aborted"
-        self.producers[name] = p = {"epoch": epoch, "next": 0, "history": {}}
+        self.producers[name] = p = {"term": term, "next": 0, "history": {}}
         return p
 
     def do_append(self, c: dict) -> dict:
@@ -703,16 +703,16 @@ class ProducerFold(Fold):
         self._producer(c)
         t = self.transactions.get(c["transaction_id"])
         if t is not None:
-            _need(t["producer"] == c["producer"] and t["epoch"] == c["epoch"], "conflict")
+            _need(t["producer"] == c["producer"] and t["term"] == c["term"], "conflict")
             return {"status": t["status"]}
         _need(len(self.transactions) < self.TRANSACTIONS, "capacity")
-        self.transactions[c["transaction_id"]] = {"producer": c["producer"], "epoch": c["epoch"], "status": "pending", "records": 0}
+        self.transactions[c["transaction_id"]] = {"producer": c["producer"], "term": c["term"], "status": "pending", "records": 0}
         return {"status": "pending"}
 
     def _pending(self, c: dict) -> dict:
         t = self.transactions.get(c["transaction_id"])
         _need(t is not None, "not_found")
-        _need(t["producer"] == c["producer"] and t["epoch"] == c["epoch"], "fenced")
+        _need(t["producer"] == c["producer"] and t["term"] == c["term"], "fenced")
         _need(t["status"] == "pending", t["status"])
         return t
 
@@ -720,7 +720,7 @@ class ProducerFold(Fold):
         self._producer(c)
         t = self.transactions.get(c["transaction_id"])
         _need(t is not None, "not_found")
-        _need(t["producer"] == c["producer"] and t["epoch"] == c["epoch"], "fenced")
+        _need(t["producer"] == c["producer"] and t["term"] == c["term"], "fenced")
         _need(t["status"] in ("pending", status), t["status"])
         replayed, t["status"] = t["status"] == status, status
         return {"status": status, "replayed": replayed}
@@ -921,7 +921,7 @@ class LockFold(Fold):
     def __init__(self, max_locks: int = 1_024):
         self.config = max_locks
         self.locks: dict[str, dict] = {}
-        self.epochs: dict[str, int] = {}
+        self.terms: dict[str, int] = {}
         self.index = 0
 
     def apply(self, command: dict) -> dict:
@@ -929,15 +929,15 @@ class LockFold(Fold):
         now = command["now_ms"]
         self.locks = {k: v for k, v in self.locks.items() if v["deadline"] > now}
         owners = {v["owner"] for v in self.locks.values()}
-        self.epochs = {k: v for k, v in self.epochs.items() if k in owners}
+        self.terms = {k: v for k, v in self.terms.items() if k in owners}
         return super().apply(command)
 
     def do_acquire(self, c: dict) -> dict:
-        _need(c["owner_epoch"] >= self.epochs.get(c["owner"], 0), "fenced")
+        _need(c["owner_term"] >= self.terms.get(c["owner"], 0), "fenced")
         _need(c["lock"] not in self.locks, "conflict")
         _need(len(self.locks) < self.config, "capacity")
-        self.epochs[c["owner"]] = c["owner_epoch"]
-        self.locks[c["lock"]] = lock = {"owner": c["owner"], "epoch": c["owner_epoch"], "fence": self.index, "generation": 1, "deadline": c["now_ms"] + c["lease_ms"]}
+        self.terms[c["owner"]] = c["owner_term"]
+        self.locks[c["lock"]] = lock = {"owner": c["owner"], "term": c["owner_term"], "fence": self.index, "generation": 1, "deadline": c["now_ms"] + c["lease_ms"]}
         return {"fencing_token": lock["fence"], "token": self._token(c["lock"], lock)}
 
     @staticmethod
@@ -946,7 +946,7 @@ class LockFold(Fold):
 
     def _held(self, c: dict) -> dict:
         lock = self.locks.get(c["lock"])
-        _need(lock is not None and lock["owner"] == c["owner"] and lock["epoch"] == c["owner_epoch"] and self._token(c["lock"], lock) == c["token"], "fenced")
+        _need(lock is not None and lock["owner"] == c["owner"] and lock["term"] == c["owner_term"] and self._token(c["lock"], lock) == c["token"], "fenced")
         return lock
 
     def do_renew(self, c: dict) -> dict:

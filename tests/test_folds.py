@@ -92,12 +92,12 @@ def test_bucket_and_breaker():
     assert q.apply({"op": "acquire", "now_ms": 12, "consumer": "x"})["leased"] == []
 
 
-def test_credit_epochs_and_idleness():
+def test_credit_terms_and_idleness():
     q = folds.QueueFold(folds.QueueConfig(idle_ms=50))
     run(q, *[("enqueue", 0, {"id": str(n)}) for n in range(5)])
-    assert len(q.apply({"op": "acquire", "now_ms": 1, "consumer": "x", "max": 9, "credit": 2, "consumer_epoch": 3})["leased"]) == 2
+    assert len(q.apply({"op": "acquire", "now_ms": 1, "consumer": "x", "max": 9, "credit": 2, "consumer_term": 3})["leased"]) == 2
     assert q.apply({"op": "acquire", "now_ms": 1, "consumer": "x", "max": 9, "credit": 2})["leased"] == []
-    assert q.apply({"op": "acquire", "now_ms": 1, "consumer": "x", "consumer_epoch": 2})["error"] == "fenced"
+    assert q.apply({"op": "acquire", "now_ms": 1, "consumer": "x", "consumer_term": 2})["error"] == "fenced"
     idle = folds.QueueFold(folds.QueueConfig(idle_ms=50))
     got = run(idle, ("enqueue", 0, {"id": "a"}), ("acquire", 1, {"consumer": "x"}))[1]
     run(idle, ("ack", 2, {"token": token(got)}), ("maintain", 52, {}))
@@ -147,18 +147,18 @@ def test_sessions():
 
 def test_producers_and_transactions():
     p = folds.ProducerFold()
-    put = lambda seq, digest="d", epoch=1, **more: p.apply({"op": "append", "now_ms": 0, "producer": "p", "epoch": epoch, "sequence": seq, "digest": digest, **more})
+    put = lambda seq, digest="d", term=1, **more: p.apply({"op": "append", "now_ms": 0, "producer": "p", "term": term, "sequence": seq, "digest": digest, **more})
     assert put(0)["offsets"] == [0] and put(1, records=3)["offsets"] == [1, 2, 3]
     assert put(1)["disposition"] == "duplicate" and put(1, "other")["error"] == "conflict" and put(5)["error"] == "sequence_gap"
-    assert p.apply({"op": "begin", "now_ms": 0, "producer": "p", "epoch": 1, "transaction_id": "t"})["status"] == "pending"
+    assert p.apply({"op": "begin", "now_ms": 0, "producer": "p", "term": 1, "transaction_id": "t"})["status"] == "pending"
     assert put(2, transaction_id="t")["ok"] and put(3, records=128, transaction_id="t")["error"] == "capacity"
-    assert put(0, epoch=2)["disposition"] == "new" and p.transactions["t"]["status"] == "aborted"
-    assert put(9, epoch=1)["error"] == "fenced"
-    end = lambda op, tx, epoch=2: p.apply({"op": op, "now_ms": 0, "producer": "p", "epoch": epoch, "transaction_id": tx})
+    assert put(0, term=2)["disposition"] == "new" and p.transactions["t"]["status"] == "aborted"
+    assert put(9, term=1)["error"] == "fenced"
+    end = lambda op, tx, term=2: p.apply({"op": op, "now_ms": 0, "producer": "p", "term": term, "transaction_id": tx})
     assert end("begin", "u")["ok"] and end("commit", "u")["replayed"] is False and end("commit", "u")["replayed"] is True and end("abort", "u")["error"] == "committed"
     for n in range(1, 300):
-        put(n, epoch=2)
-    assert put(43, epoch=2)["error"] == "history_expired" and put(44, epoch=2)["disposition"] == "duplicate"
+        put(n, term=2)
+    assert put(43, term=2)["error"] == "history_expired" and put(44, term=2)["disposition"] == "duplicate"
 
 
 def test_offsets():
@@ -244,12 +244,12 @@ def test_observation():
 
 def test_locks_registry_and_forwards():
     k = folds.LockFold()
-    take = {"op": "acquire", "lock": "l", "owner": "a", "owner_epoch": 2, "lease_ms": 10}
+    take = {"op": "acquire", "lock": "l", "owner": "a", "owner_term": 2, "lease_ms": 10}
     held = k.apply({**take, "now_ms": 0})
     assert held["fencing_token"] == 1 and k.apply({**take, "now_ms": 5, "owner": "b"})["error"] == "conflict"
-    assert k.apply({**take, "now_ms": 5, "lock": "m", "owner_epoch": 1})["error"] == "fenced"
-    renewed = k.apply({"op": "renew", "now_ms": 6, "lock": "l", "owner": "a", "owner_epoch": 2, "token": held["token"], "lease_ms": 10})
-    assert renewed["fencing_token"] == 1 and k.apply({"op": "release", "now_ms": 7, "lock": "l", "owner": "a", "owner_epoch": 2, "token": held["token"]})["error"] == "fenced"
+    assert k.apply({**take, "now_ms": 5, "lock": "m", "owner_term": 1})["error"] == "fenced"
+    renewed = k.apply({"op": "renew", "now_ms": 6, "lock": "l", "owner": "a", "owner_term": 2, "token": held["token"], "lease_ms": 10})
+    assert renewed["fencing_token"] == 1 and k.apply({"op": "release", "now_ms": 7, "lock": "l", "owner": "a", "owner_term": 2, "token": held["token"]})["error"] == "fenced"
     assert k.apply({**take, "now_ms": 16, "owner": "b"})["fencing_token"] > 1
     g = folds.RegistryFold()
     put = {"op": "apply", "name": "n", "spec": {"x": 1}, "token": "t1"}

@@ -50,6 +50,6 @@ def test_entry(spark):
 
 def test_every_command_counts(spark):
     events = spark.read.parquet(f"{FOLDER}/events.parquet")
-    rows = QUERIES["transaction_status_all"](spark, FOLDER).collect()
+    rows = QUERIES["transaction_status"](spark, FOLDER).collect()
     assert sum(r.records for r in rows) == events.filter("event_type NOT IN ('purchase', 'error')").count()
     assert {r.status for r in rows} == {"committed", "aborted", "pending"}
