@@ -113,7 +113,7 @@ class ByteGru:
         return grad
 
 
-def train(samples: list[tuple[str, str]], hidden: int = HIDDEN, epochs: int = 6, batch: int = 64, rate: float = 0.02, seed: int = 7) -> ByteGru:
+def train(samples: list[tuple[str, str]], hidden: int = HIDDEN, passes: int = 6, batch: int = 64, rate: float = 0.02, seed: int = 7) -> ByteGru:
     """Fits the network on (text, label) pairs by Adam; the same samples give the same weights."""
     labels = sorted({x for _, x in samples})
     net = ByteGru(labels or [UNDETERMINED], hidden, seed)
@@ -129,8 +129,8 @@ def train(samples: list[tuple[str, str]], hidden: int = HIDDEN, epochs: int = 6,
     rng = np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in net.weights.items()}
     second = {k: np.zeros_like(v) for k, v in net.weights.items()}
-    step, total = 0, epochs * -(-len(x) // batch)
-    for _ in range(epochs):
+    step, total = 0, passes * -(-len(x) // batch)
+    for _ in range(passes):
         order = rng.permutation(len(x))
         for at in range(0, len(x), batch):
             pick = order[at : at + batch]

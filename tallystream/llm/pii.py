@@ -210,7 +210,7 @@ def tags_of(length: int, spans: list[Span]) -> np.ndarray:
     return out
 
 
-def train(texts: list[str], windows: int = 1500, epochs: int = 6, batch: int = 48, rate: float = 0.02, seed: int = 3) -> Tagger:
+def train(texts: list[str], windows: int = 1500, passes: int = 6, batch: int = 48, rate: float = 0.02, seed: int = 3) -> Tagger:
     """A tagger from the base spans of the texts, with at most ``windows`` training windows.
 
     Windows are drawn around spans and other digits; digits and, in addresses,
@@ -244,8 +244,8 @@ def train(texts: list[str], windows: int = 1500, epochs: int = 6, batch: int = 4
     x, y = np.array(xs)[order], np.array(ys)[order]
     first = {k: np.zeros_like(v) for k, v in net.weights.items()}
     second = {k: np.zeros_like(v) for k, v in net.weights.items()}
-    step, total = 0, epochs * -(-len(x) // batch)
-    for _ in range(epochs):
+    step, total = 0, passes * -(-len(x) // batch)
+    for _ in range(passes):
         order = rng.permutation(len(x))
         for at in range(0, len(x), batch):
             pick = order[at : at + batch]
