@@ -32,7 +32,7 @@ from tallystream.llm._arrow import map_texts
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, and from one window's start to the next; windows of a block, which all have one shape.
 WINDOW, STRIDE = 128, 104
-BLOCK = 1024
+BLOCK = 512
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # Digits before the match can't start one, as their own run would have matched; so the scan is linear.
@@ -218,18 +218,34 @@ class Tagger:
             grad["embed"][:, k] = np.bincount(codes, drive[:, k].ravel(), len(w["embed"]))
         return grad
 
+    @staticmethod
+    def _may_leave(e: np.ndarray, gain: float) -> np.ndarray:
+        """Whether a path of each column could score more than one that is outside throughout.
+
+        ``gain`` is the most that a move can score more than staying outside.  A
+        run of other tags begins with a kind's first tag and goes on with its
+        inside tag or another kind's first; the best run that ends at each place
+        is bounded with the gain at every place, and once more for its end.
+        """
+        over = e[:, 1:] - e[:, :1] + e.dtype.type(gain)
+        best = np.full((len(KINDS), e.shape[2]), -np.inf, e.dtype)
+        top = np.full(e.shape[2], -np.inf, e.dtype)
+        for t in range(len(e)):
+            before = np.maximum(best.max(0), 0)
+            best += over[t, 1::2]
+            np.maximum(best, over[t, ::2] + before, out=best)
+            np.maximum(top, best.max(0), out=top)
+        return top + gain >= 0
+
     def decode(self, windows: np.ndarray) -> np.ndarray:
         """The best path (B, T) of each window; ties go to the lower tag.
 
-        A path that leaves "outside" at n places changes at most 2n moves, so
-        where "outside" wins everywhere by twice the most that a move can gain,
-        all of it is outside, and no path is sought.
+        Where a bound shows that all of a window is outside, no path is sought.
         """
         e, moves = self.emissions(windows), self.moves()
         b, steps = windows.shape
         path = np.zeros((b, steps), np.int8)
-        gain = max(0.0, float(moves.max() - moves[0, 0]))
-        open_ = np.flatnonzero((e[:, 0] - e[:, 1:].max(1)).min(0) <= 2 * gain)
+        open_ = np.flatnonzero(self._may_leave(e, max(0.0, float(moves.max() - moves[0, 0]))))
         if not len(open_):
             return path
         e = np.ascontiguousarray(e[:, :, open_])
