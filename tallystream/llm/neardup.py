@@ -9,9 +9,12 @@ miss probability.  What survives is verified on the full sets.
 Pairs within a bucket of equal bands are never listed.  Every member is first
 compared with one pivot of its bucket; verified links are contracted to
 components; then only members of different components are compared, in small
-buckets as pairs and in large ones in blocks, of which only verified links
-leave the worker.  So no link between candidates is lost, and the work beyond
-the pivots follows the members that are still apart.
+buckets as pairs.  Members of large ones are first bucketed anew by their
+rarest shingles, of which similar sets share one (so nothing is lost, and pages
+that only share a template part); where such a bucket is large too, its sets are
+compared in blocks of bounded bytes, of which a spanning forest of links leaves
+the worker.  So no link between candidates is lost, and the work beyond the
+pivots follows the members that are still apart.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallystream.llm._arrow import arrow_map, map_texts, utf8
+from tallystream.llm._filter import by_weight, within
 from tallystream.llm._scratch import staged
 
 #: Bands of a signature and hashes of a band; a pair at 0.8 shares no band with probability 5e-6.
@@ -34,8 +38,10 @@ BANDS, ROWS = 40, 6
 HASHES = BANDS * ROWS
 #: Hashes compared before each posterior bound, and the probability at which a pair is dropped.
 BATCH, MISS = 24, 1e-7
-#: Members up to which a bucket's remaining pairs are listed, and members of a block beyond.
-SMALL, BLOCK = 32, 256
+#: Members up to which a bucket's remaining pairs are listed, and members and bytes of a block beyond.
+SMALL, BLOCK, BLOCK_BYTES = 32, 256, 1 << 21
+#: Places of the table of counts by which shingles are ordered; it is 1 MB.
+COUNTERS = 1 << 18
 #: Classes, of under 100 bytes each, up to which those whose texts are wanted are broadcast.
 BROADCAST_CLASSES = 100_000
 
@@ -166,9 +172,14 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _place(doc_id: str, text: str):
+    """A hash by which a document is found again; equal rows share it."""
+    return F.xxhash64(F.col(doc_id), F.col(text).cast("string"))
+
+
 def fingerprints(docs: DataFrame, doc_id: str, text: str, k: int, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Staged, one row a document row: ``uid``, ``doc_id``, ``n``, ``digest``, ``sig`` (low bytes) and ``bands``; null without shingles."""
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"), *extra, F.col(text).alias("text"))
+    """Staged, one row a document row: ``uid``, ``place``, ``doc_id``, ``n``, ``digest``, ``sig`` (low bytes) and ``bands``; null without shingles."""
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), _place(doc_id, text).alias("place"), F.col(doc_id).alias("doc_id"), *extra, F.col(text).alias("text"))
     fields = [T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
 
     def compute(texts):
@@ -179,13 +190,13 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str, k: int, extra: tuple[s
             [None if x is None else x.astype(np.uint8).tobytes() for x in sigs], [None if x is None else band_keys(x).view(np.int64).tolist() for x in sigs],
         ]
 
-    return staged(map_texts(rows, "text", ["uid", "doc_id", *extra], fields, lambda: compute, 1 << 18), "fingerprints")
+    return staged(map_texts(rows, "text", ["uid", "place", "doc_id", *extra], fields, lambda: compute, 1 << 18), "fingerprints")
 
 
 def classes_of(prints: DataFrame) -> DataFrame:
-    """Staged, one row a distinct set: ``node`` (the least uid), ``id`` (the least doc_id), ``count``, ``digest``, ``n``, ``sig``, ``bands``."""
+    """Staged, one row a distinct set: ``node`` (the least uid) and its ``place``, ``id`` (the least doc_id), ``count``, ``digest``, ``n``, ``sig``, ``bands``."""
     groups = prints.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("uid").alias("node"), F.min("doc_id").alias("id"), F.count("*").alias("count"))
-    rows = prints.select(F.col("uid").alias("node"), "n", "sig", "bands")
+    rows = prints.select(F.col("uid").alias("node"), "place", "n", "sig", "bands")
     return staged(groups.join(rows, "node"), "classes")
 
 
@@ -219,26 +230,27 @@ def _bayes(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return arrow_map(both, run, "a long, b long")
 
 
-def _texts(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Staged: ``node`` and ``text`` of one document of each wanted class.
+def _texts(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, nodes: DataFrame, k: int, sets: bool = False) -> DataFrame:
+    """Staged: ``node`` and ``text`` of one document of each wanted class, or its sorted shingle hashes as ``set``.
 
-    Documents are found by id, and kept if their set has the class's digest, as
-    an id may stand for several texts.
+    Documents are found by a hash of id and text, and kept if their set has the
+    class's digest.
     """
-    wanted = staged(classes.join(nodes.select("node").distinct(), "node", "left_semi").select("node", "id", "digest"), "wanted")
-    side = F.broadcast(wanted) if wanted.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES else wanted.hint("merge")
-    rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
-    rows = rows.join(side, F.col("doc").eqNullSafe(F.col("id"))).select("node", "digest", "text")
+    wanted = staged(classes.join(nodes.select("node").distinct(), "node", "left_semi").select("node", F.col("place").alias("at"), "digest"), "wanted")
+    rows = docs.select(_place(doc_id, text).alias("place"), F.col(text).cast("string").alias("text"))
+    rows = within(rows, "place", wanted, "at", BROADCAST_CLASSES).select("node", "digest", "text")
+    out = "set" if sets else "text"
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                same = [digest(s) == d for s, d in zip(shingle_sets(part.column(2), k), part.column(1).to_pylist(), strict=True)]
-                part = part.filter(pa.array(same, pa.bool_()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2)], ["node", "text"])
+                found = shingle_sets(part.column(2), k)
+                same = [digest(s) == d for s, d in zip(found, part.column(1).to_pylist(), strict=True)]
+                wide = pa.array([s.tobytes() for s in found], pa.binary()) if sets else part.column(2)
+                yield pa.RecordBatch.from_arrays([part.column(0), wide], ["node", out]).filter(pa.array(same, pa.bool_()))
 
-    return staged(arrow_map(rows, run, "node long, text string").dropDuplicates(["node"]), "texts")
+    return staged(arrow_map(rows, run, f"node long, {out} {'binary' if sets else 'string'}").dropDuplicates(["node"]), out)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -263,25 +275,30 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, classes:
 def components(links: DataFrame) -> DataFrame:
     """Staged: ``node`` and ``label`` (equal within a component) of every node of the links ``a``, ``b``.
 
-    In each round every node takes its least neighbour, and the graph is
-    contracted; it is done when no link is left.
+    In each round nodes have an order of their own, by a hash; every node takes
+    its first neighbour, or stays if it comes before all, and the graph is
+    contracted until no link is left.  On a path about half of the nodes go in a
+    round, on a star nearly all, so rounds follow the logarithm of the length.
+    The rounds' tables shrink alike and are put together from the last one back.
     """
     edges = staged(links.filter("a <> b").select("a", "b").distinct(), "edges")
-    labels = None
-    while True:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = staged(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("low")), "least")
-        if labels is None:
-            labels = least.select(F.col("u").alias("node"), F.col("low").alias("label"))
-        else:
-            moved = labels.join(least, F.col("label") == F.col("u"), "left")
-            labels = staged(moved.select("node", F.coalesce("low", "label").alias("label")), "labels")
-        a = least.select(F.col("u").alias("a"), F.col("low").alias("low_a"))
-        b = least.select(F.col("u").alias("b"), F.col("low").alias("low_b"))
+    rounds: list[DataFrame] = []
+    while not edges.isEmpty():
+        ranked = lambda c, seed=len(rounds): F.struct(F.xxhash64(F.col(c), F.lit(seed)).alias("rank"), F.col(c).alias("node"))
+        both = edges.select(F.col("a").alias("u"), ranked("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), ranked("a").alias("v")))
+        first = staged(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least(ranked("u"), "v")["node"].alias("low")), "first")
+        rounds.append(first)
+        a = first.select(F.col("u").alias("a"), F.col("low").alias("low_a"))
+        b = first.select(F.col("u").alias("b"), F.col("low").alias("low_b"))
         contracted = edges.join(a, "a").join(b, "b").filter("low_a <> low_b")
         edges = staged(contracted.select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b")).distinct(), "edges")
-        if edges.isEmpty():
-            return labels
+    if not rounds:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = rounds[-1].select(F.col("u").alias("node"), F.col("low").alias("label"))
+    for first in reversed(rounds[:-1]):
+        later = labels.select(F.col("node").alias("of"), F.col("label").alias("later"))
+        labels = first.join(later, F.col("low") == F.col("of"), "left").select(F.col("u").alias("node"), F.coalesce("later", "low").alias("label"))
+    return staged(labels, "labels")
 
 
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -290,63 +307,96 @@ def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     per_label = known.groupBy("key", "label").agg(F.count("*").alias("m"))
     per_key = per_label.groupBy(F.col("key").alias("bucket")).agg(F.count("*").alias("labels"), F.max(F.struct("m", "label")).alias("top")).filter("labels > 1")
     joined = known.join(per_key, F.col("key") == F.col("bucket"))
-    return staged(joined.select("key", "node", "size", "label", (F.col("label") == F.col("top.label")).alias("top"), (F.col("size") - F.col("top.m")).alias("others")), "apart")
+    return staged(joined.select("key", "node", "size", "label", (F.col("label") == F.col("top.label")).alias("top")), "apart")
+
 
+def _prefix_members(sets: DataFrame, percent: int) -> DataFrame:
+    """Staged ``key``, ``node`` and ``size``: the buckets of several classes whose sets share one of their rarest shingles.
+
+    Two sets that reach the threshold share one of the first
+    ``n - ceil(percent * n / 100) + 1`` shingles of either in any common order.
+    Here it is by a hashed count over all the sets, then by hash.
+    """
+
+    def tokens(batches):
+        for batch in batches:
+            for body in batch.column(0).to_pylist():
+                place, n = np.unique(np.frombuffer(body, np.uint64) % np.uint64(COUNTERS), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), pa.array(n)], ["place", "n"])
 
-def _block_links(apart: DataFrame, docs: DataFrame, doc_id: str, text: str, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    counts = np.zeros(COUNTERS, np.int64)
+    for r in arrow_map(sets.select("set"), tokens, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r["place"]] = r["n"]
+
+    def prefixes(batches):
+        for batch in batches:
+            for node, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(body, np.uint64)
+                first = np.lexsort((x, counts[(x % np.uint64(COUNTERS)).astype(np.int64)]))[: len(x) - -(-percent * len(x) // 100) + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(x[first].view(np.int64)), pa.array(np.full(len(first), node))], ["key", "node"])
+
+    rows = staged(arrow_map(sets.select("node", "set"), prefixes, "key long, node long"), "prefixes")
+    sizes = rows.groupBy(F.col("key").alias("bucket")).agg(F.count("*").alias("size")).filter("size > 1")
+    return staged(rows.join(sizes, F.col("key") == F.col("bucket")).select("key", "node", "size"), "prefix-members")
+
+
+def _block_links(apart: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links between members of different components of large buckets, found block by block.
 
-    A block holds about ``BLOCK`` members of a bucket and as many outside its
-    largest component.  A pair is verified in the first band it shares.
+    A block holds about ``BLOCK`` members of a bucket, or ``BLOCK_BYTES`` of
+    their sets if that are fewer, and as many outside its largest component.  Of
+    its links those are kept that join what isn't joined yet.
     """
-    large = apart.filter(F.col("size") > SMALL)
-    texts = _texts(docs, doc_id, text, classes, large, k)
-    members, others = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil(F.col("others") / BLOCK).cast("int")
-    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    rows = large.select("key", "node", "label", own(members).alias("i"), all_of(others).alias("j"), F.lit(False).alias("probe")).unionByName(
-        large.filter(~F.col("top")).select("key", "node", "label", all_of(members).alias("i"), own(others).alias("j"), F.lit(True).alias("probe"))
+    large = apart.join(classes.select("node", "sig", F.col("n").alias("bytes")), "node").withColumn("bytes", 8 * F.col("bytes") + HASHES)
+    parts = lambda members, size: F.greatest(F.ceil(members / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    per_key = large.groupBy(F.col("key").alias("bucket")).agg(parts(F.count("*"), F.sum("bytes")).alias("members"), parts(F.count_if(~F.col("top")), F.sum(F.when(~F.col("top"), F.col("bytes")))).alias("others"))
+    large = large.join(per_key, F.col("key") == F.col("bucket"))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = large.select("key", "node", "label", "sig", own("members").alias("i"), all_of("others").alias("j"), F.lit(False).alias("probe")).unionByName(
+        large.filter(~F.col("top")).select("key", "node", "label", "sig", all_of("members").alias("i"), own("others").alias("j"), F.lit(True).alias("probe"))
     )
-    rows = rows.join(classes.select("node", "sig", "bands"), "node").join(texts, "node").select("key", "i", "j", "probe", "node", "label", "sig", "bands", "text")
+    rows = rows.join(sets, "node").select("key", "i", "j", "probe", "node", "label", "sig", "set")
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        key = table.column("key")[0].as_py()
-        probe = np.array(table.column("probe").to_pylist())
-        node, label = np.array(table.column("node").to_pylist()), np.array(table.column("label").to_pylist())
+        probe, node, label = (np.array(table.column(c).to_pylist()) for c in ("probe", "node", "label"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
-        bands = np.array(table.column("bands").to_pylist(), np.int64)
-        sets = [shingle_sets(pa.array([t]), k)[0] for t in table.column("text").to_pylist()]
-        size = np.array([len(s) for s in sets])
-        found = []
-        rest = np.flatnonzero(~probe)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        group = np.unique(label, return_inverse=True)[1]
+        found, rest = [], np.flatnonzero(~probe)
         for p in np.flatnonzero(probe).tolist():
-            with_ = rest[(label[rest] != label[p]) & (100 * np.minimum(size[rest], size[p]) >= percent * np.maximum(size[rest], size[p]))]
-            with_ = with_[surviving(sig[with_], np.broadcast_to(sig[p], (len(with_), HASHES)), percent / 100)]
-            if not len(with_):
-                continue
-            same = bands[with_] == bands[p]
-            with_ = with_[bands[p][same.argmax(1)] == key]
-            found += [(min(node[p], node[q]), max(node[p], node[q])) for q in with_.tolist() if linked(sets[p], sets[q], percent)]
-        pairs = sorted(set(found))
-        return pa.table({"a": pa.array([int(x) for x, _ in pairs], pa.int64()), "b": pa.array([int(y) for _, y in pairs], pa.int64())})
+            near = rest[(group[rest] != group[p]) & (100 * np.minimum(size[rest], size[p]) >= percent * np.maximum(size[rest], size[p]))]
+            for q in near[surviving(sig[near], np.broadcast_to(sig[p], (len(near), HASHES)), percent / 100)].tolist():
+                if group[q] != group[p] and linked(sets[p], sets[q], percent):
+                    found.append((min(node[p], node[q]), max(node[p], node[q])))
+                    group[group == group[q]] = group[p]
+        return pa.table({"a": pa.array([int(x) for x, _ in found], pa.int64()), "b": pa.array([int(y) for _, y in found], pa.int64())})
 
     return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def _cross(apart: DataFrame) -> DataFrame:
+    """The pairs ``a``, ``b`` of members of different components of small buckets."""
+    one, two = (apart.select("key", F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in ("a", "b"))
+    return one.join(two, "key").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))).select("a", "b").distinct()
+
+
 def all_links(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """Verified links ``a``, ``b`` that join every component of the candidate graph."""
     members = bucket_members(classes)
     star = members.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     links = verified(star, docs, doc_id, text, classes, k, percent)
-    apart = _apart(members, components(links))
-    low = apart.filter(F.col("size") <= SMALL)
-    one, two = (low.select("key", F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in ("a", "b"))
-    cross = one.join(two, "key").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))).select("a", "b").distinct()
-    links = links.unionByName(verified(cross.join(star, ["a", "b"], "left_anti"), docs, doc_id, text, classes, k, percent))
-    if not apart.filter(F.col("size") > SMALL).isEmpty():
-        links = links.unionByName(staged(_block_links(apart, docs, doc_id, text, classes, k, percent), "block-links"))
-    return links
+    labels = components(links)
+    apart = _apart(members, labels)
+    cross = _cross(apart.filter(F.col("size") <= SMALL))
+    large = staged(apart.filter(F.col("size") > SMALL).select("node").distinct(), "large")
+    if not large.isEmpty():
+        sets = _texts(docs, doc_id, text, classes, large, k, sets=True)
+        again = _apart(_prefix_members(sets, percent), labels)
+        cross = cross.unionByName(_cross(again.filter(F.col("size") <= SMALL))).distinct()
+        links = links.unionByName(staged(_block_links(again.filter(F.col("size") > SMALL), sets, classes, percent), "block-links"))
+    return links.unionByName(verified(cross.join(star, ["a", "b"], "left_anti"), docs, doc_id, text, classes, k, percent))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -363,11 +413,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prints = fingerprints(docs, doc_id, text, k, extra)
     classes = classes_of(prints)
     labels = components(all_links(docs, doc_id, text, classes, k, percent))
-    named = classes.select("digest", "node", "id").join(labels, "node", "left").select("digest", "id", F.coalesce("label", "node").alias("label"))
+    named = classes.select("digest", "node", "id", "count").join(labels, "node", "left").select("digest", "id", "count", F.coalesce("label", "node").alias("label"))
     # A table of its own: joined with what it was counted from, a large component would be one task's.
     least = staged(named.groupBy(F.col("label").alias("of")).agg(F.min("id").alias("component")), "least-ids")
-    by_digest = staged(named.join(least, F.col("label") == F.col("of")).select(F.col("digest").alias("set"), "component", F.col("label").alias("group")), "components")
-    rows = prints.select("doc_id", "n", "digest", *extra).join(by_digest, F.col("digest") == F.col("set"), "left")
+    by_digest = staged(named.join(least, F.col("label") == F.col("of")).select(F.col("digest").alias("set"), "component", F.col("label").alias("group"), "count"), "components")
+    total = by_digest.agg(F.sum("count")).collect()[0][0] or 0
+    rows = by_weight(prints.select("doc_id", "n", "digest", *extra), "digest", by_digest, "set", "count", total)
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "group", *extra)
 

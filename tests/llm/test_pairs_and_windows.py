@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tallystream.llm import decontaminate, neardup
+from tallystream.llm import _filter, decontaminate, neardup
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -65,6 +65,69 @@ def test_near_duplicates_of_a_large_group(spark, monkeypatch):
     assert near(spark, rows, 2) == brute_components([x[:2] for x in rows], 2)
 
 
+def changed(r, words, share, mark):
+    """The words with about that share of them replaced by others."""
+    return [w if r.random() > share else f"{mark}.{r.randrange(10**6)}" for w in words]
+
+
+def test_near_duplicates_of_unlike_pages_of_a_template(spark, monkeypatch):
+    """Pages that share much, but not enough, and chains and pairs among them; large buckets everywhere."""
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 4000)
+    r = random.Random(11)
+    template = [f"t{k}" for k in range(120)]
+    rows = [(i, " ".join([*template, *(f"p{i}.{k}" for k in range(40))]), 0, 0) for i in range(40)]
+    chain = [*template, *(f"q{k}" for k in range(40))]
+    for i in range(25):  # each is near the one before, and soon not near the first
+        chain = [*chain[:120], *changed(r, chain[120:], 0.2, f"c{i}")]
+        rows.append((100 + i, " ".join(chain), 0, 0))
+    rows += [(200 + i, " ".join(changed(r, template, 0.12, f"v{i}")), 0, 0) for i in range(20)]
+    r.shuffle(rows)
+    assert near(spark, rows, 2) == brute_components([x[:2] for x in rows], 2)
+
+
+def test_near_duplicates_without_ids_and_beyond_the_broadcast(spark, monkeypatch):
+    r = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(None if i % 3 else i, " ".join(changed(r, base, 0.08, f"x{i}")), 0, 0) for i in range(60)]
+    rows += [(None, f"other text {i} of its own", 0, 0) for i in range(40)] + rows[:9]
+    wanted = brute_components([x[:2] for x in rows], 2)
+    assert near(spark, rows, 2) == wanted
+    monkeypatch.setattr(neardup, "BROADCAST_CLASSES", 0)
+    monkeypatch.setattr(neardup, "SMALL", 4)
+    assert near(spark, rows, 2) == wanted
+
+
+def test_components_of_a_path_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    written = neardup.staged
+    monkeypatch.setattr(neardup, "staged", lambda df, name: (rounds.append(name), written(df, name))[1])
+    path = spark.range(499).selectExpr("id AS a", "id + 1 AS b")
+    star = spark.range(200).selectExpr("1000L AS a", "id + 1001 AS b")
+    found = {r.node: r.label for r in neardup.components(path.union(star).union(spark.createDataFrame([(5, 5), (7000, 7001)], "a long, b long"))).collect()}
+    assert rounds.count("first") <= 16
+    assert len({found[k] for k in range(500)}) == 1 and len({found[k] for k in range(1000, 1201)}) == 1
+    assert len(found) == 500 + 201 + 2 and len(set(found.values())) == 3
+    assert neardup.components(path.limit(0)).collect() == []
+
+
+def test_bitmaps_and_heavy_keys(spark, monkeypatch):
+    rows = spark.createDataFrame([(k if k % 50 else None, f"t{k}") for k in range(2000)], "k long, t string")
+    gone = spark.createDataFrame([(k,) for k in range(0, 2000, 7)] + [(None,)], "gone long")
+    wanted = {f"t{k}" for k in range(2000) if k % 7 or k % 50 == 0}
+    for small in (0, 10**6):
+        assert {r.t for r in _filter.without(rows, "k", gone, small).collect()} == wanted
+        assert {r.t for r in _filter.within(rows, "k", gone, "gone", small).collect()} == {f"t{k}" for k in range(0, 2000, 7) if k % 50}
+    plan = _filter.without(rows, "k", gone, 0)._jdf.queryExecution().toString()
+    assert "__maybe" in plan or "__bits" in plan
+    keys = spark.createDataFrame([(k % 3 if k < 900 else k if k < 990 else None, k) for k in range(1000)], "k long, v long")
+    side = keys.filter("k IS NOT NULL").groupBy("k").count().selectExpr("k AS of", "count AS n", "k * 2 AS w")
+    monkeypatch.setattr(_filter, "HEAVY", 10)
+    found = _filter.by_weight(keys, "k", side.filter("of <> 950"), "of", "n", 1000).collect()
+    assert {(r.v, r.w) for r in found} == {(r.v, None if r.k is None or r.k == 950 else 2 * r.k) for r in keys.collect()} and len(found) == 1000
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near(spark, [], 2) == []
     assert near(spark, [(1, None, 0, 0), (None, "", 0, 0)], 2) == [(1, 0, 1, True), (None, 0, None, True)]
