@@ -179,21 +179,22 @@ def pooled(net: ByteGru, texts: pa.Array, block: int = BLOCK) -> np.ndarray:
 def training_sample(docs: DataFrame, text: str, label: str, doc_id: str, usable: Column, per_label: int, max_chars: int) -> list[tuple[str, str]]:
     """At most ``per_label`` usable documents of each label, the least by hash of their id.
 
-    Of each a run of at most ``max_chars`` characters is taken, at a place that
+    ``usable`` is a condition on the column ``id``.  Of rows that share an id one
+    is taken, the least.  Of each a run of at most ``max_chars`` characters is taken, at a place that
     depends on the id, so the sample's size is bounded by the number of labels.
     Only ids and labels are ranked.
     """
-    ids = docs.select(F.col(doc_id).alias("id"), F.col(label).alias("label")).filter(usable & F.col(label).isNotNull() & F.col(doc_id).isNotNull())
-    keys = [r["id"] for r in least_by_hash(ids, "label", per_label).select("id").distinct().collect()]
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(label).alias("label"), F.col(text).cast("string").alias("text"))
+    ids = rows.select("id", "label").filter(usable & F.col("label").isNotNull() & F.col("id").isNotNull())
+    keys = [r["id"] for r in least_by_hash(ids.distinct(), "label", per_label).select("id").distinct().collect()]
     if not keys:
         return []
-    kind = docs.schema[doc_id].dataType
-    wanted = docs.sparkSession.createDataFrame([(k,) for k in keys], T.StructType([T.StructField("id", kind)]))
-    picked = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).join(F.broadcast(wanted), F.col(doc_id) == F.col("id"), "left_semi")
-    room = F.greatest(F.char_length(text) - max_chars + 1, F.lit(1))
-    start = (F.pmod(F.xxhash64(F.col(doc_id)), room) + 1).cast("int")
-    rows = picked.select(F.col(doc_id).alias("id"), F.substring(F.col(text), start, F.lit(max_chars)).alias("t"), F.col(label).alias("l")).collect()
-    return [(t, x) for _, t, x in sorted({(r["id"], r["t"], r["l"]) for r in rows})]
+    wanted = docs.sparkSession.createDataFrame([(k,) for k in keys], T.StructType([T.StructField("wanted", docs.schema[doc_id].dataType)]))
+    picked = rows.filter(F.col("label").isNotNull() & F.col("text").isNotNull()).join(F.broadcast(wanted), F.col("id") == F.col("wanted"), "left_semi")
+    room = F.greatest(F.char_length("text") - max_chars + 1, F.lit(1))
+    start = (F.pmod(F.xxhash64("id"), room) + 1).cast("int")
+    one = picked.select("id", "label", F.substring("text", start, F.lit(max_chars)).alias("t")).groupBy("id").agg(F.min(F.struct("t", "label")).alias("first"))
+    return [(r["first"]["t"], r["first"]["label"]) for r in sorted(one.collect(), key=lambda r: (r["id"], r["first"]))]
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", doc_id: str = "doc_id", usable: Column | None = None, per_label: int = 160, max_chars: int = 1000) -> ByteGru:

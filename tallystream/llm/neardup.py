@@ -275,16 +275,16 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, classes:
 def components(links: DataFrame) -> DataFrame:
     """Staged: ``node`` and ``label`` (equal within a component) of every node of the links ``a``, ``b``.
 
-    In each round nodes have an order of their own, by a hash; every node takes
-    its first neighbour, or stays if it comes before all, and the graph is
-    contracted until no link is left.  On a path about half of the nodes go in a
-    round, on a star nearly all, so rounds follow the logarithm of the length.
+    In each round every node takes its first neighbour by a hash, or stays if it
+    comes before all, and the graph is contracted until no link is left.  On a
+    path half of the nodes or more go in a round, whatever their numbers are,
+    and a star goes in two, so rounds follow the logarithm of the length.
     The rounds' tables shrink alike and are put together from the last one back.
     """
     edges = staged(links.filter("a <> b").select("a", "b").distinct(), "edges")
     rounds: list[DataFrame] = []
     while not edges.isEmpty():
-        ranked = lambda c, seed=len(rounds): F.struct(F.xxhash64(F.col(c), F.lit(seed)).alias("rank"), F.col(c).alias("node"))
+        ranked = lambda c: F.struct(F.xxhash64(F.col(c)).alias("rank"), F.col(c).alias("node"))
         both = edges.select(F.col("a").alias("u"), ranked("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), ranked("a").alias("v")))
         first = staged(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least(ranked("u"), "v")["node"].alias("low")), "first")
         rounds.append(first)

@@ -1,32 +1,20 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model.
 
-Texts are read as symbols, one of 64 a byte, and the model is of trigrams of
-them.  Counts come from all trusted documents.  Every document's own trigram
-counts are packed, cut into shards by the middle symbol, and joined with the
-model's shards: rows of a shard, dealt over salts, are streamed behind the
-shard's probabilities, so a task holds one shard of the model at a time.  The
-partial sums give the document's perplexity, and a quantile over the trusted
-documents of its language the limit.
+The model is a table of the n-grams of all trusted documents
+(:mod:`tallystream.llm.ngrams`), which grows with them.  A document's loss
+comes from joining its n-grams with that table in shards, and the limit is a
+quantile of the trusted documents of its language.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallystream.llm import ngrams
-from tallystream.llm._arrow import arrow_map, map_texts, utf8
+from tallystream.llm._filter import within
 from tallystream.llm._scratch import staged
 
-SYMBOLS, SHARDS = 64, 8
-CODES = SYMBOLS**3
-#: Documents of a shard that one salt takes.
-SALT_ROWS = 25_000
 #: Trusted ids up to which they are broadcast, at 8 bytes each.
 BROADCAST_IDS = 1_000_000
 #: Languages up to which their limits are broadcast.
@@ -34,270 +22,27 @@ BROADCAST_LANGS = 10_000
 QUANTILE = 0.995
 #: Quantiles that labelled low-quality rows choose among for a language.
 CHOICES = [0.98, 0.985, 0.99, 0.995]
-_LONG = 1 << 23
-
-
-def _symbols() -> np.ndarray:
-    t = np.zeros(256, np.int64)
-    t[97:123] = np.arange(1, 27)
-    t[65:91] = 27
-    t[48:58] = 28
-    t[[32, 10, 13, 9]] = 29, 30, 30, 31
-    marks = b".,;:!?'\"-()"
-    t[list(marks)] = np.arange(32, 32 + len(marks))
-    rest = [c for c in range(33, 127) if not t[c]]
-    t[rest] = 43 + np.arange(len(rest)) % 5
-    t[128:192] = 48 + np.arange(64) % 8
-    t[192:256] = 56 + np.arange(64) % 7
-    t[:9] = 63
-    return t
-
-
-_TABLE = _symbols()
-
-
-def trigrams(raw: np.ndarray) -> np.ndarray:
-    """The code of the trigram that ends at each byte; two line ends stand before the first."""
-    s = np.full(len(raw) + 2, _TABLE[10])
-    s[2:] = _TABLE[raw]
-    return place(s[:-2], s[1:-1], s[2:])
-
-
-def place(u, v, w):
-    """A trigram's code: the shard (by the middle symbol) in the upper 3 bits, then 15 of the trigram in it."""
-    return (v & 7) << 15 | u << 9 | (v >> 3) << 6 | w
-
-
-def packed(texts: pa.Array) -> tuple[list[int], list[list[bytes]]]:
-    """Bytes of each text, and its trigram counts of each shard, packed.
-
-    A shard's segment holds the number of its trigrams, the gap from each to
-    the next (doubled, odd if it occurs again), and how often those that do
-    occur beyond twice, all in groups of 7 bits.
-    """
-    offsets, raw = utf8(texts)
-    lengths = np.diff(offsets)
-    n = len(lengths)
-    keys, counts = [], []
-    if lengths.size and lengths.max() > _LONG:
-        for d, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-            dense = np.zeros(CODES, np.int64)
-            for at in range(a, b, _LONG):
-                before = max(at - 2, a)
-                part = trigrams(raw[before : min(at + _LONG, b)])
-                dense += np.bincount(part[at - before :], minlength=CODES)
-            at = np.flatnonzero(dense)
-            keys.append(at + (d << 18))
-            counts.append(dense[at])
-        key, count = np.concatenate(keys), np.concatenate(counts)
-    else:
-        s = np.full(len(raw) + 2 * n, _TABLE[10])
-        s[np.arange(len(raw)) + 2 * np.repeat(np.arange(1, n + 1), lengths)] = _TABLE[raw]
-        codes = place(s[:-2], s[1:-1], s[2:]) if len(s) > 2 else np.zeros(0, np.int64)
-        real = np.ones(len(codes), bool)  # a trigram may not end in the line ends before the next text
-        for back in (1, 2):
-            ends = (offsets[1:-1] + 2 * np.arange(1, n)) - 2 + back - 1
-            real[ends[ends < len(codes)]] = False
-        key = np.sort(codes[real] + (np.repeat(np.arange(n), lengths) << 18))
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        count = np.diff(np.append(first, len(key)))
-        key = key[first]
-    segment = key >> 15
-    starts = np.searchsorted(segment, np.arange(n * SHARDS))
-    sizes = np.diff(np.append(starts, len(key)))
-    local = key & 0x7FFF
-    gap = np.diff(local, prepend=0)
-    at = starts[sizes > 0]
-    gap[at] = local[at]
-    again = count > 1
-    extras = np.bincount(segment[again], minlength=n * SHARDS)
-    width = 1 + sizes + extras
-    base = np.cumsum(width) - width
-    values = np.zeros(int(width.sum()), np.int64)
-    values[base] = sizes
-    inside = np.arange(len(key)) - np.repeat(starts, sizes)
-    values[np.repeat(base, sizes) + 1 + inside] = gap * 2 + again
-    within = np.arange(int(extras.sum())) - np.repeat(np.cumsum(extras) - extras, extras)
-    values[np.repeat(base + 1 + sizes, extras) + within] = count[again] - 2
-    stream, ends = varints(values)
-    cuts = [0, *ends[np.cumsum(width) - 1].tolist()] if len(width) else [0]
-    whole = stream.tobytes()
-    segments = [whole[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return lengths.tolist(), [segments[k : k + SHARDS] for k in range(0, n * SHARDS, SHARDS)]
-
-
-def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers below 2**35 in groups of 7 bits, the lowest first, and the end of each."""
-    size = np.ones(len(values), np.int64)
-    for k in range(1, 5):
-        size += values >= 1 << (7 * k)
-    ends = np.cumsum(size)
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-    start = ends - size
-    for k in range(5):
-        has = size > k
-        out[start[has] + k] = (values[has] >> (7 * k) & 127) | (size[has] > k + 1).astype(np.int64) << 7
-    return out, ends
-
-
-def unpacked(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segment, place in the shard, and count of every packed trigram."""
-    lengths = np.array([len(s) for s in segments], np.int64)
-    raw = np.frombuffer(b"".join(segments), np.uint8).astype(np.int64)
-    if not len(raw):
-        return (np.zeros(0, np.int64),) * 3
-    last = raw < 128
-    ends = np.flatnonzero(last)
-    begins = np.concatenate(([0], ends[:-1] + 1))
-    inside = np.arange(len(raw)) - np.repeat(begins, ends - begins + 1)
-    values = np.add.reduceat((raw & 127) << (7 * inside), begins)
-    owner = np.repeat(np.arange(len(segments)), lengths)[ends]
-    heads = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-    rank = np.arange(len(values)) - np.repeat(heads, np.diff(np.append(heads, len(values))))
-    size = values[heads][np.cumsum(np.concatenate(([0], (owner[1:] != owner[:-1]).astype(np.int64))))]
-    entry, extra = (rank >= 1) & (rank <= size), rank > size
-    gap, segment = values[entry], owner[entry]
-    count = np.ones(len(gap), np.int64)
-    count[gap % 2 == 1] = values[extra] + 2
-    gap = gap >> 1
-    run = np.cumsum(gap)
-    first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1]))) if len(segment) else np.zeros(0, np.int64)
-    before = run[first] - gap[first]
-    local = run - np.repeat(before, np.diff(np.append(first, len(gap))))
-    return segment, local, count
-
-
-def kneser_ney(counts: np.ndarray) -> np.ndarray:
-    """Negative log-probability of every trigram code, from the counts of all of them.
-
-    Lower orders use the number of distinct symbols before; each order has
-    three discounts from its counts of counts; the lowest is mixed with the
-    uniform distribution.
-    """
-    u, v, w = np.meshgrid(*[np.arange(SYMBOLS)] * 3, indexing="ij")
-    at = place(u, v, w)
-    third = counts[at].astype(float)
-    second = (third > 0).sum(0).astype(float)
-    first = (second > 0).sum(0).astype(float)
-    p = _order(first[None], np.full((1, SYMBOLS), 1 / SYMBOLS))
-    p = _order(second, np.repeat(p, SYMBOLS, 0))
-    p = _order(third.reshape(-1, SYMBOLS), np.tile(p, (SYMBOLS, 1)))
-    out = np.zeros(CODES)
-    out[at.ravel()] = -np.log(np.maximum(p.ravel(), 1e-12))
-    return out
-
-
-def _order(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """One order's probabilities (contexts, symbols), interpolated with those of the lower one."""
-    seen = [float((counts == k).sum()) for k in range(1, 5)]
-    y = seen[0] / (seen[0] + 2 * seen[1]) if seen[0] else 0.5
-    less = [min(max(k + 1 - (k + 2) * y * seen[k + 1] / seen[k], 0.1), k + 0.9) if seen[k] else 0.5 for k in range(3)]
-    discount = np.choose(np.minimum(counts, 3).astype(int), [0.0, *less])
-    total = counts.sum(1, keepdims=True)
-    held = np.maximum(total, 1)
-    return np.where(total > 0, (counts - discount) / held + discount.sum(1, keepdims=True) / held * lower, lower)
-
-
-def profiles(docs: DataFrame, doc_id: str, text: str, lang: str, trusted: DataFrame) -> DataFrame:
-    """Staged, one row a document row: ``uid``, ``doc_id``, ``lang``, ``trusted``, ``n_bytes`` and ``segments``."""
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
-    ids = trusted.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("known")).distinct()
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    on = F.col("doc_id") == F.col("known")
-    if small:
-        rows = rows.join(F.broadcast(ids), on, "left").withColumn("trusted", F.col("known").isNotNull()).drop("known")
-        keep = ["uid", "doc_id", "lang", "trusted"]
-    else:
-        keep = ["uid", "doc_id", "lang"]
-    fields = [T.StructField("n_bytes", T.LongType()), T.StructField("segments", T.ArrayType(T.BinaryType()))]
-    out = map_texts(rows, "text", keep, fields, lambda: lambda texts: list(packed(texts)))
-    if not small:  # the packed profiles are shuffled, not the texts
-        out = out.join(ids.hint("merge"), on, "left").withColumn("trusted", F.col("known").isNotNull()).drop("known")
-    return staged(out.select("uid", "doc_id", "lang", "trusted", "n_bytes", "segments"), "profiles")
-
-
-def trusted_counts(rows: DataFrame) -> np.ndarray:
-    """Trigram counts of all trusted documents; there are ``CODES`` of them at most."""
-
-    def run(batches):
-        dense = np.zeros(CODES, np.int64)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                lists = batch.column(0).slice(start, 512).to_pylist()
-                segment, local, count = unpacked([s for x in lists for s in x])
-                np.add.at(dense, (segment % SHARDS) << 15 | local, count)
-        at = np.flatnonzero(dense)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(dense[at], pa.int64())], ["code", "n"])
-
-    found = arrow_map(rows.filter("trusted").select("segments"), run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    dense = np.zeros(CODES, np.int64)
-    dense[found["code"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return dense
 
 
-def sharded_sums(rows: DataFrame, model: np.ndarray) -> DataFrame:
-    """``uid`` and ``loss``, the sum of the negative log-probabilities of each row's trigrams, by a join with the model's shards."""
-    spark = rows.sparkSession
-    salts = max(1, math.ceil(rows.count() / SALT_ROWS))
-    parts = model.astype(np.float32).reshape(SHARDS, -1)
-    shards = spark.createDataFrame([(k, parts[k].tobytes()) for k in range(SHARDS)], "shard int, body binary")
-    salted = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(None).cast("long").alias("uid"), "body")
-    mine = rows.select("uid", F.posexplode("segments").alias("shard", "body")).select("shard", F.pmod(F.xxhash64("uid"), F.lit(salts)).cast("int").alias("salt"), "uid", "body")
-    both = mine.unionByName(salted).repartition(2 * SHARDS * salts, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("uid").asc_nulls_first())
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            uid = batch.column(2)
-            bodies = batch.column(3).to_pylist()
-            heads = [k for k, valid in enumerate(uid.is_valid().to_pylist()) if not valid]
-            for a, b in zip([0, *heads], [*heads, batch.num_rows], strict=True):
-                if a in heads:
-                    held = np.frombuffer(bodies[a], np.float32).astype(float)
-                    a += 1
-                for at in range(a, b, 4096):
-                    end = min(at + 4096, b)
-                    segment, local, count = unpacked(bodies[at:end])
-                    loss = np.bincount(segment, held[local] * count, end - at) if len(local) else np.zeros(end - at)
-                    yield pa.RecordBatch.from_arrays([uid.slice(at, end - at), pa.array(loss)], ["uid", "loss"])
-
-    return arrow_map(both, run, "uid long, loss double").groupBy("uid").agg(F.sum("loss").alias("loss"))
-
-
-def classify(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
+def assess(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, low: DataFrame | None = None) -> DataFrame:
     """Perplexity and decision of every row; one row a document row.
 
     ``trusted`` has the ids of trusted documents.  Columns ``doc_id``,
     ``n_bytes``, ``perplexity`` (a byte's, rounded), ``limit`` (the quantile of the
     trusted documents of the language, or of all if it has none; approximate in
-    rank by 1e-4) and ``kept`` (perplexity up to the limit).  A null or empty text
-    has no perplexity and isn't kept; without any trusted text none has a limit
-    and all with text are kept.  A null language is ``und``.  Repeated rows are
-    counted and scored each.
-    """
-    rows = profiles(docs, doc_id, text, lang, trusted)
-    model = kneser_ney(trusted_counts(rows))
-    sums = sharded_sums(rows.filter("n_bytes > 0"), model).select(F.col("uid").alias("of"), "loss")
-    scored = rows.select("uid", "doc_id", "lang", "trusted", "n_bytes").join(sums, F.col("uid") == F.col("of"), "left")
-    scored = staged(scored.select("doc_id", "lang", "trusted", "n_bytes", F.round(F.exp(F.col("loss") / F.col("n_bytes")), 4).alias("perplexity")), "scores")
-    return _decided(scored, quantile)
-
-
-def assess(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, low: DataFrame | None = None) -> DataFrame:
-    """As :func:`classify`, by a model of n-grams of unfolded bytes that is a table and grows with the trusted text.
-
-    The decision rule is the same, but where a language has rows whose ids are
-    in ``low``, it takes that quantile of ``CHOICES`` for which the share of them
-    above it and the quantile have the largest sum, the highest if several do.
-    ``docs`` is read several times and must give
-    the same rows in the same order.
+    rank by 1e-4) and ``kept`` (perplexity up to the limit).  Where a language
+    has rows whose ids are in ``low``, its limit is that quantile of ``CHOICES``
+    for which the share of them above it and the quantile have the largest sum,
+    the highest if several do.  A null or empty text has no perplexity and isn't
+    kept; without any trusted text none has a limit and all with text are kept.
+    A null language is ``und``.  Repeated rows are counted and scored each.
+    ``docs`` is read several times and must give the same rows in the same order.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
     ids = trusted.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("known")).distinct()
+    table = ngrams.model(within(rows, "doc_id", ids, "known", BROADCAST_IDS).select("text"))
     side = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids.hint("merge")
-    on = F.col("doc_id") == F.col("known")
-    table = ngrams.model(rows.join(side, on, "left_semi").select("text"))
-    found = ngrams.scores(rows, table).join(side, on, "left")
+    found = ngrams.scores(rows, table).join(side, F.col("doc_id") == F.col("known"), "left")
     perplexity = F.when(F.col("n_bytes") > 0, F.round(F.exp(F.col("loss") / F.col("n_bytes")), 4))
     scored = found.select("doc_id", "lang", F.col("known").isNotNull().alias("trusted"), "n_bytes", perplexity.alias("perplexity"))
     return _decided(staged(scored, "scores"), quantile, low if low is None else low.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("bad")).distinct())

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallystream.llm import bpe, language, pii, quality, secrets, toxicity
+from tallystream.llm import bpe, language, pii, secrets, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -103,6 +103,77 @@ def test_language(spark):
     assert language.identify(cases.frame(spark, []), net).collect() == []
 
 
+def test_language_sample_is_bounded_and_stands_clashes(spark):
+    rows = [(k % 9, f"wort {k} und noch mehr", "de", 5, "x", 3) for k in range(300)] + [(100 + k % 9, f"word {k} and more", "en", 5, "x", 3) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, id int, label string, wanted int")
+    sample = language.training_sample(docs, "text", "lang", "doc_id", F.col("id") % 4 != 2, 160, 1000)
+    assert len(sample) == sum(i % 4 != 2 for i in {r[0] for r in rows}) and {x for _, x in sample} == {"de", "en"}
+    net = language.fit(docs, usable=F.col("id") % 4 != 2, max_chars=200)
+    assert len(language.identify(docs, net, keep=("doc_id", "id", "label")).collect()) == 600
+
+
+def test_pooled_probabilities_are_those_of_a_naive_network():
+    """A byte and a unit at a time, window by window."""
+    net = language.ByteGru(["a", "b", "c"], hidden=3)
+    w, h = {k: v.astype(float) for k, v in net.weights.items()}, net.hidden
+    texts = ["", "kurz", "é ü 東京 " * 30, "x" * (2 * language.WINDOW), None]
+    found = language.pooled(net, pa.array(texts), block=4)
+    for text, row in zip(texts, found, strict=True):
+        raw, sums = (text or "").encode(), np.zeros(3)
+        for at in range(0, len(raw), language.WINDOW):
+            window = raw[at : at + language.WINDOW].ljust(language.WINDOW, b"\0")
+            states = np.zeros((len(window), 2 * h))
+            for way in range(2):
+                s = np.zeros(h)
+                for t in range(len(window)) if way == 0 else reversed(range(len(window))):
+                    drive = w["embed"][way][window[t]]
+                    gates = np.clip(0.25 * (s @ w["gates"][way] + drive[: 2 * h]) + 0.5, 0, 1)
+                    fresh = np.tanh((gates[:h] * s) @ w["state"][way] + drive[2 * h :])
+                    s = fresh + gates[h:] * (s - fresh)
+                    states[t, way * h : (way + 1) * h] = s
+            p = np.exp(states @ w["out"] + w["bias"])
+            sums += (p / p.sum(1, keepdims=True))[: len(raw) - at].sum(0)
+        assert np.abs(row - sums / max(len(raw), 1)).max() < 1e-4
+
+
+def test_languages_are_held_out(spark, tmp_path):
+    import zlib
+
+    from tallystream.llm import queries
+
+    rows = [(i, t, x, "s") for i, t, x in invented(2, 160)] + [(None, "the tion", "en", "s"), (900, "12 34", "fr", None), (901, None, "de", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.op8_language(spark, str(tmp_path)).collect()}
+    assert len(found) == len(rows)
+    for i, t, _, _ in rows:
+        assert found[i].held_out == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2)
+        assert (found[i].lang_pred == "und") == (not re.search(r"[^\W\d_]", t or "")) and found[i].lang_pred in {"und", "en", "de", "fr"}
+
+
+def test_toxicity_sample_and_order(spark):
+    """Repeated ids give one row each; later categories are fitted on probabilities of models that didn't see the row."""
+    rows = [(k % 40, f"text {k % 40} " + ("vile awful" if k % 40 < 20 else "kind"), 1) for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int")
+    labels = spark.createDataFrame([(k, int(k < 20)) for k in range(40)], "doc_id long, toxic int")
+    assert len(toxicity.training_rows(docs, labels, F.col("toxic") == 1, 100, 1000)) == 40
+    r = np.random.default_rng(2)
+    samples = [(f"{'vile ' * int(r.integers(0, 6)) if k % 2 else ''}{' '.join(r.choice(['aa', 'bb', 'cc', 'dd'], 9))}", bool(k % 2)) for k in range(200)]
+    chain = toxicity.fit_chain(samples)
+    x = chain.inputs([t for t, _ in samples])
+    hits = np.array([t.split().count("vile") for t, _ in samples])
+    assert chain.lexicon >= {"vile"} and np.allclose(np.expm1(x[:, -2] * 2), hits)
+    y = toxicity.level_labels(np.array([c for _, c in samples], float), hits, np.array([len(t.split()) for t, _ in samples]), chain.levels)
+    fold, own = np.arange(200) % 5, np.zeros(200)
+    for f in range(5):
+        w, b = toxicity.logistic(x[fold != f], y[fold != f, 0], 1e-4)
+        own[fold == f] = 1 / (1 + np.exp(-(x[fold == f] @ w + b)))
+    w, b = toxicity.logistic(np.hstack((x, np.log(np.clip(own, 1e-3, 0.999) / (1 - np.clip(own, 1e-3, 0.999)))[:, None])), y[:, 1], 1e-4)
+    assert np.allclose(chain.weights[1], w, atol=1e-6) and abs(chain.biases[1] - b) < 1e-6
+    flags = chain.flags(chain.probabilities(x))
+    assert not (flags[:, 1] & ~flags[:, 0]).any() and (flags[:, 1] != flags[:, 0]).any()
+    assert np.mean(flags == (y > 0)) > 0.9
+
+
 def test_toxicity(spark):
     r = random.Random(3)
     rows = [(i, t + (" you " + r.choice(["idiot", "scum", "moron trash"]) if i % 5 == 0 else ""), i % 5 == 0) for i, t, _ in invented(5, 300)]
@@ -111,7 +182,8 @@ def test_toxicity(spark):
     chain = toxicity.fit(docs, labels, F.col("toxic") == 1)
     found = {x.doc_id: x for x in toxicity.score(docs, chain).collect()}
     assert np.mean([found[i].is_toxic == y for i, _, y in rows if i % 3 == 0]) >= 0.95
-    assert chain.categories == ["insult", "degrading", "toxic"] and len(chain.weights[2]) == len(chain.places) + 2
+    assert chain.categories == ["toxic", "severe", "dense"] and len(chain.weights[2]) == len(chain.places) + 4
+    assert {"moron", "trash"} <= chain.lexicon
     odd = toxicity.score(cases.frame(spark), chain).collect()
     assert len(odd) == len(cases.awkward()) and all(0 <= x.p_toxic <= 1 for x in odd)
     empty = toxicity.fit(docs, labels.limit(0), F.col("toxic") == 1)
@@ -284,58 +356,6 @@ def test_personal_network(spark):
     assert pii.fit(cases.frame(spark, [])) and pii.scan(cases.frame(spark, []), net).collect() == []
 
 
-def test_packed_counts():
-    r = random.Random(3)
-    texts = [None, "", "a", "ab", "abc " * 99, *("".join(r.choice("ab cdé.") for _ in range(r.randrange(200))) for _ in range(99)), ""]
-    for limit in (1 << 23, 40):
-        quality._LONG = limit
-        lengths, segments = quality.packed(pa.array(texts))
-        segment, local, count = quality.unpacked([s for x in segments for s in x])
-        found = collections.defaultdict(collections.Counter)
-        for a, b, c in zip(segment.tolist(), local.tolist(), count.tolist(), strict=True):
-            found[a // 8][(a % 8) << 15 | b] += c
-        for i, t in enumerate(texts):
-            raw = (t or "").encode()
-            assert lengths[i] == len(raw) and found[i] == collections.Counter(quality.trigrams(np.frombuffer(raw, np.uint8)).tolist())
-    quality._LONG = 1 << 23
-
-
-def test_model_is_a_distribution():
-    counts = np.random.default_rng(0).integers(0, 4, quality.CODES)
-    u, v, w = np.meshgrid(*[np.arange(64)] * 3, indexing="ij")
-    for c in (counts, counts * 0):
-        total = np.exp(-quality.kneser_ney(c)[quality.place(u, v, w)]).sum(2)
-        assert np.allclose(total, 1)
-
-
-def test_quality(spark):
-    rows = invented(7, 200)
-    junk = [(1000 + i, "".join(random.Random(i).choices("#$%&|*!", k=200)), x) for i, (_, _, x) in enumerate(rows[:20])]
-    docs = spark.createDataFrame([(i, t, x, 0.1) for i, t, x in rows + junk] + [(i, t, None, 0.1) for i, t, *_ in cases.awkward()], "doc_id long, text string, lang string, perplexity double").repartition(3)
-    good = spark.createDataFrame([(i,) for i, _, _ in rows[:100]] + [(None,)], "doc_id long")
-    found = quality.classify(docs, good).collect()
-    assert len(found) == docs.count()
-    assert not any(r.kept for r in found if r.doc_id and r.doc_id >= 1000)
-    assert np.mean([r.kept for r in found if r.doc_id is not None and r.doc_id < 100 and r.limit]) > 0.8
-    assert all(r.perplexity is None and not r.kept for r in found if r.n_bytes == 0)
-    model = quality.kneser_ney(quality.trusted_counts(quality.profiles(docs, "doc_id", "text", "lang", good)))
-    for r in found:
-        if r.doc_id and 100 <= r.doc_id < 1050:
-            text = next(t for i, t, _ in rows + junk if i == r.doc_id)
-            assert abs(np.exp(model[quality.trigrams(np.frombuffer(text.encode(), np.uint8))].mean()) / r.perplexity - 1) < 1e-3
-    assert quality.classify(docs.limit(0), good).collect() == []
-    assert all(r.kept == (r.n_bytes > 0) for r in quality.classify(docs, good.limit(0)).collect())
-
-
-def test_quality_beyond_the_broadcast(spark, monkeypatch):
-    rows = spark.createDataFrame([(i, t, x) for i, t, x in invented(7, 60)], "doc_id long, text string, lang string")
-    good = rows.filter("doc_id < 40").select("doc_id")
-    one = sorted(map(tuple, quality.classify(rows, good).collect()))
-    monkeypatch.setattr(quality, "BROADCAST_IDS", 1)
-    monkeypatch.setattr(quality, "SALT_ROWS", 7)
-    assert sorted(map(tuple, quality.classify(rows, good).collect())) == one
-
-
 SECRETS = [("assign", re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), 2, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16)]
 
 
