@@ -75,3 +75,24 @@ def by_weight(rows: DataFrame, key: str, side: DataFrame, other: str, weight: st
     cold = keyed.join(F.broadcast(heavy.select(other)), on, "left_anti").join(side, on, "left")
     none = [F.lit(None).cast(f.dataType).alias(f.name) for f in side.schema.fields]
     return hot.unionByName(cold).unionByName(rows.filter(F.col(key).isNull()).select("*", *none)).drop(weight)
+
+
+#: Parts into which the rows of a heavy key are dealt.
+SALTS = 64
+
+
+def salted(rows: DataFrame, key: str, side: DataFrame, other: str, weight: str, total: int, by: Column) -> DataFrame:
+    """The inner join of ``rows`` and ``side`` where ``key`` equals ``other``; ``side`` may have several rows a value.
+
+    ``weight`` is how many of the ``total`` rows have the value.  The rows of
+    the values with more than ``total / HEAVY`` of them, so fewer than ``HEAVY``
+    values, are dealt over ``SALTS`` parts by the hash ``by``, and the side's
+    rows of these values stand in each.
+    """
+    heavy = F.col(weight) * HEAVY > total
+    known = F.broadcast(side.filter(heavy).select(F.col(other).alias("__heavy")).distinct())
+    mine = rows.join(known, F.col(key) == F.col("__heavy"), "left")
+    mine = mine.withColumn("__salt", F.when(F.col("__heavy").isNotNull(), F.pmod(by, F.lit(SALTS))).otherwise(0).cast("int")).drop("__heavy")
+    parts = F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    other_side = side.withColumn("__part", F.explode(parts))
+    return mine.join(other_side, (F.col(key) == F.col(other)) & (F.col("__salt") == F.col("__part"))).drop("__salt", "__part", weight)

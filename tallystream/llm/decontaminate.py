@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallystream.llm._filter import marked, salted
 from tallystream.llm._native import ascii_lower
 from tallystream.llm._scratch import staged
 
@@ -65,6 +66,8 @@ def shingle_places(docs: DataFrame, doc_id: str, text: str, grams: DataFrame, si
     known = grams.select(F.col("hash").alias("known"))
     if small:
         rows = rows.join(F.broadcast(known), F.col("hash") == F.col("known"), "left").filter((F.col("p") == 0) | F.col("known").isNotNull())
+    else:  # only places that the bitmap marks, few beyond the benchmark's, get their words around and are shuffled
+        rows = marked(rows, F.col("hash"), known, "maybe").filter((F.col("p") == 0) | F.col("maybe"))
     at = F.when(F.col("p") > 0, F.pmod(F.col("p") - 1, F.col("n_words")))
     rows = rows.withColumn("at", at).withColumn("first", F.greatest(F.col("at") - window + 1, F.lit(0)))
     around = F.when(F.col("p") > 0, F.slice("w", F.col("first") + 1, F.col("at") - F.col("first") + window))
@@ -77,7 +80,7 @@ def shingle_places(docs: DataFrame, doc_id: str, text: str, grams: DataFrame, si
 
 
 def prefixes(windows: DataFrame, places: DataFrame, sizes: list[int]) -> DataFrame:
-    """The rarest shingle of each window: its columns, ``off`` and ``hash``.
+    """The rarest shingle of each window: its columns, ``off``, ``prefix`` (its hash) and ``places``.
 
     Rarity is the number of places in all documents; a window with a shingle
     that stands nowhere can't occur and is dropped.
@@ -86,13 +89,14 @@ def prefixes(windows: DataFrame, places: DataFrame, sizes: list[int]) -> DataFra
     shingles = window_shingles(windows, sizes)
     ranked = shingles.join(counts, F.col("hash") == F.col("counted"), "left").withColumn("places", F.coalesce("places", F.lit(0)))
     least = ranked.groupBy("item", "win", "len").agg(F.min(F.struct("places", "off", "hash")).alias("rarest"))
-    return least.filter(F.col("rarest.places") > 0).select("item", "win", "len", F.col("rarest.off").alias("off"), F.col("rarest.hash").alias("prefix"))
+    return least.filter(F.col("rarest.places") > 0).select("item", "win", "len", F.col("rarest.off").alias("off"), F.col("rarest.hash").alias("prefix"), "rarest.places")
 
 
 def occurrences(places: DataFrame, prefix: DataFrame) -> DataFrame:
     """Verified occurrences: ``uid``, ``start``, ``end`` (exclusive) and ``item``."""
     start = F.col("at") - F.col("off")
-    joined = places.filter(F.col("hash").isNotNull()).join(prefix, F.col("hash") == F.col("prefix"))
+    found = places.filter(F.col("hash").isNotNull())
+    joined = salted(found, "hash", prefix, "prefix", "places", found.count(), F.xxhash64("uid", "at"))
     bounded = joined.filter((start >= 0) & (start + F.col("len") <= F.col("n_words")) & (start >= F.col("first")))
     exact = bounded.filter(F.slice("around", start - F.col("first") + 1, F.col("len")) == F.col("win"))
     return exact.select("uid", start.alias("start"), (start + F.col("len")).alias("end"), "item")

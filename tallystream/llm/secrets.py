@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallystream.llm._filter import by_weight
 from tallystream.llm._scratch import staged
 
 
@@ -89,9 +90,10 @@ def spans(found: DataFrame) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Each candidate hash with its distinct owners and repositories, over all documents."""
-    held = found.select("hash", "owner", "repo").distinct()  # before the shuffle, once a task
-    return held.groupBy(F.col("hash").alias("counted")).agg(F.count_distinct("owner").alias("n_owners"), F.count("*").alias("n_repos"))
+    """Each candidate hash with its spans, distinct owners and distinct repositories, over all documents."""
+    held = found.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))  # before the shuffle, once a task
+    held = held.groupBy("hash", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("repos"))
+    return held.groupBy(F.col("hash").alias("counted")).agg(F.sum("n").alias("n_spans"), F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
 
 
 def _listed(spans_: Column) -> Column:
@@ -103,20 +105,25 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: Col
     """Secrets in every text; one row a document row.
 
     Columns ``doc_id``, ``n_assign``, ``n_access`` and ``n_hex`` (base spans),
-    ``base_sha256``, ``spans`` (base spans and the added ones), ``n_live`` and
-    ``n_copied`` (listed spans whose value fewer than, or at least,
-    ``copied_owners`` owners or ``copied_repos`` repositories hold).
-    A null or empty text has no spans.  A null owner or repository is one of its
-    own.  Repeated rows each give a row and count once for ownership.
+    ``base_sha256``, ``spans`` (base spans and the added ones), ``held`` (for
+    each of ``spans``, in order, ``class:owners:repositories`` of its value,
+    comma-joined), ``n_live`` and ``n_copied`` (spans of either class).  A value is
+    ``copied`` if at least ``copied_owners`` owners or ``copied_repos``
+    repositories hold it, else ``live``.  A repository is one of its owner's.
+    A null or empty text has no spans.  All rows without owner are one owner's,
+    and those of an owner without repository one repository's.  Repeated rows
+    each give a row and count once for ownership.
     """
     owner = F.col("source") if owner is None else owner
     repo = owner if repo is None else repo
     found = candidates(docs, doc_id, text, owner, repo)
     rows = staged(spans(found).withColumn("hash", F.sha2(F.col("value").cast("binary"), 256)).drop("value"), "spans")
-    classed = rows.join(ownership(rows), F.col("hash") == F.col("counted"))
+    held = staged(ownership(rows), "ownership")
+    total = held.agg(F.sum("n_spans")).collect()[0][0] or 0
+    classed = by_weight(rows, "hash", held, "counted", "n_spans", total)
     copied = (F.col("n_owners") >= copied_owners) | (F.col("n_repos") >= copied_repos)
     base = F.col("kind").isin([i for i, k in enumerate(KINDS) if k.base])
-    classed = classed.select("uid", "kind", "start", "end", base.alias("base"), copied.alias("copied"))
+    classed = classed.select("uid", "kind", "start", "end", base.alias("base"), copied.alias("copied"), "n_owners", "n_repos")
     order = Window.partitionBy("uid").orderBy("start", "kind")
     before = F.max(F.when(F.col("base"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     after = F.min(F.when(F.col("base"), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
@@ -124,14 +131,15 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: Col
     kept = classed.withColumn("apart", apart).filter(F.col("base") | (F.col("apart") & ~F.col("copied")))
     one = lambda c: F.count_if(c)
     per_doc = kept.groupBy(F.col("uid").alias("of")).agg(
-        F.array_sort(F.collect_list(F.struct("start", "kind", "end", "base"))).alias("all"),
+        F.array_sort(F.collect_list(F.struct("start", "kind", "end", "base", "copied", "n_owners", "n_repos"))).alias("all"),
         *[one(F.col("kind") == i).alias(f"n_{k.name}") for i, k in enumerate(KINDS) if k.base],
         one(~F.col("copied")).alias("n_live"), one("copied").alias("n_copied"),
     )
     counts = [f"n_{k.name}" for k in KINDS if k.base]
-    per_doc = per_doc.select("of", *counts, "n_live", "n_copied", _listed(F.filter("all", lambda x: x["base"])).alias("base_spans"), _listed(F.col("all")).alias("spans"))
+    ownership_of = lambda x: F.concat_ws(":", F.when(x["copied"], "copied").otherwise("live"), x["n_owners"].cast("string"), x["n_repos"].cast("string"))
+    per_doc = per_doc.select("of", *counts, "n_live", "n_copied", F.array_join(F.transform("all", ownership_of), ",").alias("held"), _listed(F.filter("all", lambda x: x["base"])).alias("base_spans"), _listed(F.col("all")).alias("spans"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     return found.select("uid", "doc_id").join(per_doc, F.col("uid") == F.col("of"), "left").select(
         "doc_id", *map(zero, counts), F.sha2(F.coalesce("base_spans", F.lit("")).cast("binary"), 256).alias("base_sha256"),
-        F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_copied"),
+        F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("held", F.lit("")).alias("held"), zero("n_live"), zero("n_copied"),
     )

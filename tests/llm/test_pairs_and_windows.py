@@ -180,9 +180,10 @@ def decontaminated(spark, docs, items):
     return sorted((tuple(r) for r in decontaminate.decontaminate(d, b).collect()), key=repr)
 
 
-@pytest.mark.parametrize("bound", [10**6, 1])
+@pytest.mark.parametrize("bound", [10**6, 1, 0])
 def test_decontamination(spark, monkeypatch, bound):
     monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", bound)
+    monkeypatch.setattr(_filter, "HEAVY", 1_000 if bound > 1 else 20)
     r = random.Random(9)
     text = lambda n: " ".join(r.choice("the of A b é x9".split()) for _ in range(n))
     items = [(1, text(12), 0), (2, text(30), 0), (2, text(11), 0), (3, "one two", 0), (4, "Solo", 0), (5, "", 0), (6, None, 0), (None, "no id here but five", 0), (7, "the the the", 0)]

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallystream.llm import bpe, language, pii, secrets, toxicity
+from tallystream.llm import _filter, bpe, language, pii, secrets, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -375,14 +375,31 @@ def test_secrets(spark):
         assert [x.n_assign, x.n_access, x.n_hex] == [sum(s[1] == k for s in spans) for k in range(3)]
         assert set(filter(None, listed.split(","))) <= set(x.spans.split(","))
         assert x.n_live + x.n_copied == len(list(filter(None, x.spans.split(","))))
+        assert len(x.held.split(",")) == len(x.spans.split(",")) and x.held.count("copied") == x.n_copied
+    holders = collections.defaultdict(set)
+    for doc_id, text, owner, repo, _ in rows:
+        for k, (_, p, g, n) in enumerate(SECRETS):
+            for m in p.finditer(text or ""):
+                if len(m[g]) >= n:
+                    holders[m[g]].add((owner, repo))
+    for doc_id, text, *_ in rows:
+        told = dict(zip(found[doc_id].spans.split(","), found[doc_id].held.split(","), strict=True))
+        for k, (name, p, g, n) in enumerate(SECRETS):
+            for m in p.finditer(text or ""):
+                if len(m[g]) >= n:  # other kinds may hold the same value too
+                    label, owners, repos = told[f"{name}:{m.start()}:{m.end()}"].split(":")
+                    assert int(owners) >= len({o for o, _ in holders[m[g]]}) and int(repos) >= len(holders[m[g]])
+                    assert (label == "copied") == (int(owners) >= secrets.COPIED_OWNERS or int(repos) >= secrets.COPIED_REPOS)
     assert secrets.scan(docs.limit(0)).collect() == []
 
 
-def test_ownership(spark):
+def test_ownership(spark, monkeypatch):
+    monkeypatch.setattr(_filter, "HEAVY", 3)
     key = "Zk93jf0aKd03mfkQpw03KdmsQz"
     rows = [(1, f"a {key} b", "s1"), (2, f"AKIA{'A' * 16}", "s1"), (3, f"AKIA{'A' * 16}", "s2"), (4, f"x {key[::-1]}", "s1"), (5, f"x {key[::-1]}", "s2")]
     found = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert found[1].spans == "generic:2:28" and (found[1].n_live, found[1].n_copied) == (1, 0)
     assert found[2].spans == "access:0:20" and (found[2].n_live, found[2].n_copied) == (0, 1)
     assert found[4].spans == "" == found[5].spans
+    assert [found[k].held for k in (1, 2, 3, 4)] == ["live:1:1", "copied:2:2", "copied:2:2", ""]
     assert json.dumps([r.n_copied for r in found.values()])
