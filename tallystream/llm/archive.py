@@ -3,7 +3,8 @@
 An ARC file starts with a version block: a ``filedesc:`` header line, a line
 with the version, and a line that names the header fields of its records.
 Version 1 has five fields and version 2 ten; either ends with the declared
-length of the body.  The converter gives each record a WARC identifier,
+length of the body.  Archives may be packed, as a whole or in gzip members.  The
+converter gives each record a WARC identifier,
 timestamp, type and digests; records whose payload another one holds become
 revisits.  Archives are rows of a table (``archive``, ``content``), of a few
 megabytes each, so any store that Spark reads can hold them.
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallystream.llm._arrow import arrow_map, pieces, utf8
+from tallystream.llm._filter import by_weight, marked, within
 from tallystream.llm._scratch import staged
 
 #: Field names by version (fixed values of the format).
@@ -79,8 +81,41 @@ def arc_record(uri: str, date: str, mime: str, body: bytes, version: int, offset
     return f"{uri} {ip} {date} {mime}{extra} {len(body)}\n".encode() + body + b"\n"
 
 
+def gzip_members(data: bytes) -> Iterator[bytes]:
+    """The content of each member; malformed data raises ValueError where it begins."""
+    while data:
+        member = zlib.decompressobj(31)
+        try:
+            raw = member.decompress(data)
+        except zlib.error as error:
+            raise ValueError("bad gzip member") from error
+        if not member.eof:
+            raise ValueError("the archive ends early")
+        data = member.unused_data
+        yield raw
+
+
+def plain_arc(data: bytes) -> tuple[bytes, ValueError | None]:
+    """An ARC file without its packing, if it has one, and what is wrong with the part that can't be unpacked."""
+    if not data.startswith(b"\x1f\x8b"):
+        return data, None
+    parts, members = [], gzip_members(data)
+    try:
+        parts.extend(members)
+    except ValueError as error:
+        return b"".join(parts), error
+    return b"".join(parts), None
+
+
 def read_arc(data: bytes) -> Iterator[ArcRecord]:
     """The records after the version block; malformed data raises ValueError where it begins."""
+    data, broken = plain_arc(data)
+    yield from _arc_records(data)
+    if broken:
+        raise broken
+
+
+def _arc_records(data: bytes) -> Iterator[ArcRecord]:
     line, at = _line(data, 0)
     head = line.split(" ")
     if not line.startswith("filedesc:") or not head[-1].isdigit():
@@ -164,27 +199,27 @@ def warc_bytes(record: WarcRecord) -> bytes:
 
 def read_warc(data: bytes) -> Iterator[WarcRecord]:
     """The records of a sequence of gzip members; malformed data raises ValueError."""
-    while data:
-        member = zlib.decompressobj(31)
-        try:
-            raw = member.decompress(data)
-        except zlib.error as error:
-            raise ValueError("bad gzip member") from error
-        if not member.eof:
-            raise ValueError("the archive ends early")
-        data = member.unused_data if len(member.unused_data) < len(data) else b""
-        head, _, rest = raw.partition(b"\r\n\r\n")
-        lines = head.decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError("not a WARC record")
-        fields = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
-        length = int(fields.get("Content-Length", "-1"))
-        if not 0 <= length <= len(rest):
-            raise ValueError("bad Content-Length")
-        yield WarcRecord(fields, rest[:length])
-
-
-def warcinfo(archive: str, date: str = "2000-01-01T00:00:00Z") -> WarcRecord:
+    return map(warc_record, gzip_members(data))
+
+
+def warc_record(raw: bytes) -> WarcRecord:
+    """The record in a member's content; a malformed one raises ValueError."""
+    head, _, rest = raw.partition(b"\r\n\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError("not a WARC record")
+    fields = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
+    length = fields.get("Content-Length", "")
+    if not re.fullmatch("[0-9]{1,18}", length) or int(length) > len(rest):
+        raise ValueError("bad Content-Length")
+    return WarcRecord(fields, rest[: int(length)])
+
+
+#: The date of records that describe the archive itself; it is fixed, so that equal input gives equal files.
+MADE = "2000-01-01T00:00:00Z"
+
+
+def warcinfo(archive: str, date: str = MADE) -> WarcRecord:
     """The record that an archive starts with; it describes the converter."""
     body = b"software: tallystream\r\nformat: WARC File Format 1.1\r\ndescription: converted from ARC\r\n"
     fields = {"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(_NAMESPACE, archive)}>", "WARC-Date": date, "WARC-Filename": archive, "Content-Type": "application/warc-fields"}
@@ -231,7 +266,10 @@ def write_arcs(pages: DataFrame, key: str, url: str, payload: str, date: str = "
 def _row(record: WarcRecord, payload: bytes, headers: bytes, with_payload: bool) -> tuple:
     key = http_field(headers, "X-Item-Key")
     revisit = record.fields.get("WARC-Type") == "revisit"
-    length = int(http_field(headers, "Content-Length") or 0) if revisit else len(payload)
+    declared = http_field(headers, "Content-Length") if revisit else None
+    if declared is not None and not re.fullmatch("[0-9]{1,18}", declared):
+        raise ValueError(f"bad Content-Length {declared!r} of a revisit")
+    length = len(payload) if not revisit else None if declared is None else int(declared)
     return (
         record.fields["WARC-Record-ID"], record.fields["WARC-Type"], record.fields["WARC-Target-URI"], record.fields["WARC-Date"],
         None if key is None else unquote(key), headers, payload if with_payload else None, length,
@@ -258,30 +296,35 @@ _RECORD_NAMES = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
 def converted(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """The WARC equivalents of the records of ARC archives, one row each (``RECORD_SCHEMA``).
 
-    What follows a malformed place in an archive is one row with ``error``.
+    A record with a bad field is one row with ``error``, and so is all that
+    follows a place where the length of a record can't be told.
     """
 
     def rows(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    for record in read_arc(content or b""):
+                records = read_arc(content or b"")
+                while True:
+                    try:
+                        record = next(records)
                         made = convert(record, name or "")
                         headers, payload = split_http(record.body)
                         yield _row(made, payload, headers, with_payload)
-                except (ValueError, KeyError) as error:
-                    yield (*[None] * 9, str(error))
+                    except StopIteration:
+                        break
+                    except (ValueError, KeyError) as error:
+                        yield (*[None] * 9, str(error))
 
     return arrow_map(archives.select("archive", "content"), lambda b: _emit(rows(b), _RECORD_NAMES, _RECORD_TYPES), RECORD_SCHEMA)
 
 
 def repeated_payloads(records: DataFrame, key_type: str, min_bytes: int = 0) -> DataFrame:
-    """Digests that several records share, with the largest key and that record's identifier."""
+    """Digests that several records share, how many do, the largest key and that record's identifier."""
     large = records.filter(F.col("error").isNull() & (F.col("payload_bytes") >= min_bytes))
     key = F.col("item_key").cast(key_type)
     # Keys are compared as their type; a record without a key is the smallest.
     top = F.max(F.struct(key.alias("key"), F.col("record_id").alias("id")))
-    return large.groupBy("payload_digest").agg(F.count("*").alias("n"), top.alias("top")).filter("n > 1").select("payload_digest", F.col("top.key").alias("refers_key"), F.col("top.id").alias("refers_id"))
+    return large.groupBy("payload_digest").agg(F.count("*").alias("n"), top.alias("top")).filter("n > 1").select("payload_digest", "n", F.col("top.key").alias("refers_key"), F.col("top.id").alias("refers_id"))
 
 
 def to_warc(archives: DataFrame, key_type: str = "string", min_bytes: int = 0, size: int = 1 << 20) -> DataFrame:
@@ -289,14 +332,31 @@ def to_warc(archives: DataFrame, key_type: str = "string", min_bytes: int = 0, s
 
     Of records with equal payloads of at least ``min_bytes`` the one with the
     largest key stays a response and the others revisit it; records that share
-    the largest key stay responses.  Only digests are shuffled, unless more than
-    ``BROADCAST_ROWS`` of them repeat.
+    the largest key stay responses.  ``archives`` are read several times and must
+    be the same each time.
+
+    Only digests, and beyond ``BROADCAST_ROWS`` of them that repeat the heads of
+    repeated records, are shuffled: then a record stays as it is if a bitmap says
+    that it is no revisit, revisits are written from their heads, and the few
+    records that the bitmap marks by chance are fetched by their identifiers.
     """
-    repeats = staged(repeated_payloads(converted(archives, with_payload=False), key_type, min_bytes), "repeats")
-    side = F.broadcast(repeats) if repeats.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else repeats.hint("merge")
-    records = converted(archives).join(side, "payload_digest", "left")
     key = F.col("item_key").cast(key_type)
+    repeats = staged(repeated_payloads(converted(archives, with_payload=False), key_type, min_bytes), "repeats")
     revisits = F.col("refers_id").isNotNull() & (F.col("payload_bytes") >= min_bytes) & ~key.eqNullSafe(F.col("refers_key"))
+    if repeats.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        records = converted(archives).join(F.broadcast(repeats.drop("n")), "payload_digest", "left")
+    else:
+        heads = staged(converted(archives, with_payload=False), "heads")
+        repeats = repeats.withColumnRenamed("payload_digest", "repeated")
+        told = by_weight(heads, "payload_digest", repeats, "repeated", "n", heads.count()).drop("repeated").filter(revisits)
+        told = staged(told, "revisits")
+        ids = told.select(F.col("record_id").alias("known"))
+        chance = marked(heads.filter("error IS NULL"), F.col("record_id"), ids).filter("maybe").select("record_id")
+        chance = staged(chance.join(ids.hint("merge"), F.col("record_id") == F.col("known"), "left_anti").select(F.col("record_id").alias("known")), "by-chance")
+        whole = converted(archives)
+        stays = marked(whole, F.col("record_id"), ids).filter("NOT maybe").drop("maybe")
+        stays = stays.unionByName(within(whole, "record_id", chance, "known", 0).drop("known"))
+        records = stays.unionByName(told, allowMissingColumns=True)
     chosen = records.select(
         "record_id", "target_uri", "warc_date", "headers", "payload", "payload_digest", "error",
         F.when(revisits, F.col("refers_id")).alias("refers_id"), F.when(revisits, F.col("refers_key").cast("string")).alias("refers_key"), revisits.alias("revisit"), "record_type",
@@ -325,7 +385,8 @@ def to_warc(archives: DataFrame, key_type: str = "string", min_bytes: int = 0, s
 def _written(r: dict, place: str) -> WarcRecord:
     """The WARC record of a converted row; an error becomes a metadata record."""
     if r["error"] is not None:
-        return WarcRecord({"WARC-Type": "metadata", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(_NAMESPACE, place)}>", "Content-Type": "text/plain"}, r["error"].encode())
+        fields = {"WARC-Type": "metadata", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(_NAMESPACE, place)}>", "WARC-Date": MADE, "Content-Type": "text/plain"}
+        return WarcRecord(fields, r["error"].encode())
     block = r["headers"] if r["revisit"] else r["headers"] + r["payload"]
     fields = {
         "WARC-Type": "revisit" if r["revisit"] else r["record_type"], "WARC-Record-ID": r["record_id"], "WARC-Date": r["warc_date"],
@@ -337,33 +398,43 @@ def _written(r: dict, place: str) -> WarcRecord:
     return WarcRecord(fields, block)
 
 
+def _read_row(record: WarcRecord, with_payload: bool) -> tuple | None:
+    """The row of a WARC record; None for one that describes the archive."""
+    kind = record.fields.get("WARC-Type")
+    if kind == "warcinfo":
+        return None
+    if kind == "metadata":
+        return (*[None] * 9, record.block.decode("utf-8", "replace"), None)
+    headers, payload = split_http(record.block)
+    row = _row(record, payload, headers, with_payload)
+    if kind != "revisit" and digest(payload) != row[8]:
+        row = (*row[:9], "digest mismatch")
+    refers = record.fields.get("X-Refers-To-Key")
+    return (*row, None if refers is None else unquote(refers))
+
+
 def warc_records(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records of WARC archives (``RECORD_SCHEMA`` and ``refers_to``, the key that a revisit refers to).
 
-    A payload whose digest isn't the declared one, and a malformed archive, give
-    a row with ``error``.  A revisit has the payload length of its HTTP header.
+    A payload whose digest isn't the declared one, a malformed record, and what
+    follows a broken member give a row with ``error``.  A revisit has the payload
+    length of its HTTP header, null if that tells none.
     """
     names, types = [*_RECORD_NAMES, "refers_to"], [*_RECORD_TYPES, pa.string()]
 
     def rows(batches):
         for batch in batches:
             for content in batch.column(1).to_pylist():
-                try:
-                    for record in read_warc(content or b""):
-                        kind = record.fields.get("WARC-Type")
-                        if kind == "warcinfo":
-                            continue
-                        if kind == "metadata":
-                            yield (*[None] * 9, record.block.decode("utf-8", "replace"), None)
-                            continue
-                        headers, payload = split_http(record.block)
-                        row = _row(record, payload, headers, with_payload)
-                        if kind != "revisit" and digest(payload) != row[8]:
-                            row = (*row[:9], "digest mismatch")
-                        refers = record.fields.get("X-Refers-To-Key")
-                        yield (*row, None if refers is None else unquote(refers))
-                except (ValueError, KeyError) as error:
-                    yield (*[None] * 9, str(error), None)
+                members = gzip_members(content or b"")
+                while True:
+                    try:
+                        row = _read_row(warc_record(next(members)), with_payload)
+                    except StopIteration:
+                        break
+                    except (ValueError, KeyError) as error:
+                        row = (*[None] * 9, str(error), None)
+                    if row is not None:
+                        yield row
 
     return arrow_map(archives.select("archive", "content"), lambda b: _emit(rows(b), names, types), RECORD_SCHEMA + ", refers_to string")
 
@@ -377,7 +448,8 @@ def archived_pages(pages: DataFrame, key: str = "page_id", url: str = "url", pay
     payload; equal keys are all responses if they are the largest.
     """
     kind = pages.schema[key].dataType.simpleString()
-    out = warc_records(to_warc(write_arcs(pages, key, url, payload), kind), with_payload=False)
+    arcs = staged(write_arcs(pages, key, url, payload), "arc")  # read several times, by names and places that must stay
+    out = warc_records(to_warc(arcs, kind), with_payload=False)
     failed = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("unreadable record: "), F.col("error"))).cast("string"))
     return out.select(
         F.coalesce(failed, F.col("item_key")).cast(kind).alias(key), "payload_bytes", "payload_digest", "record_type",

@@ -1,6 +1,8 @@
 """GIF files and legacy archives: round trips and awkward cases."""
 
 import base64
+import collections
+import gzip
 import hashlib
 import random
 import zlib
@@ -158,3 +160,40 @@ def test_errors_stay_with_the_archive(spark):
     good = archive.arc_header("a", 1, "20010203040506") + archive.arc_record("u", "20010203040506", "t", b"b", 1)
     out = archive.warc_records(archive.to_warc(spark.createDataFrame([("a", good + b"broken\n")], archive.ARCHIVE_SCHEMA))).collect()
     assert sorted((r.record_type or "", r.error is None) for r in out) == [("", False), ("resource", True)]
+
+
+def test_one_bad_record_is_one_error_row(spark):
+    """Bad dates and lengths lose no later record; a torn member loses what follows it."""
+    record = lambda uri, body, date="20010203040506": archive.arc_record(uri, date, "t", body, 1)
+    data = archive.arc_header("a", 1, "20010203040506") + record("one", b"1") + record("two", b"2", "not-a-date") + record("three", b"3")
+    packed = b"".join(gzip.compress(x) for x in (archive.arc_header("a", 1, "20010203040506"), record("one", b"1"), record("two", b"2", "99"), record("three", b"3")))
+    table = spark.createDataFrame([("a", data), ("b", packed), ("c", gzip.compress(data)), ("d", packed[:-9])], archive.ARCHIVE_SCHEMA)
+    found = collections.defaultdict(list)
+    for r in archive.converted(table).collect():
+        found[r.target_uri].append(r)
+    assert {k: len(v) for k, v in found.items()} == {"one": 4, "three": 3, None: 5}
+    assert sum("bad date" in r.error for r in found[None]) == 4 and sum("ends early" in r.error for r in found[None]) == 1
+    assert len({r.record_id for r in found["one"]}) == 4
+    revisit = {"WARC-Type": "revisit", "WARC-Record-ID": "<x>", "WARC-Date": archive.MADE, "WARC-Target-URI": "u", "WARC-Payload-Digest": "sha1:A"}
+    parts = [archive.WarcRecord(revisit, b"HTTP/1.1 200 OK\r\nContent-Length: many\r\n\r\n"), archive.WarcRecord(revisit, b"HTTP/1.1 200 OK\r\n\r\n"), archive.WarcRecord(revisit, b"HTTP/1.1 200 OK\r\nContent-Length: 7\r\n\r\n")]
+    whole = b"".join(map(archive.warc_bytes, parts)) + gzip.compress(b"WARC/1.1\r\nContent-Length: x\r\n\r\n") + archive.warc_bytes(parts[2])
+    rows = archive.warc_records(spark.createDataFrame([("w", whole)], archive.ARCHIVE_SCHEMA)).collect()
+    assert [(r.payload_bytes, r.error is None) for r in rows] == [(None, False), (None, True), (7, True), (None, False), (7, True)]
+
+
+def test_references_name_records(spark):
+    pages = spark.createDataFrame([(k, f"http://{k}", f"page {k % 7}") for k in range(60)], "page_id long, url string, html string").repartition(5)
+    for bound in (0, 10**6):
+        archive.BROADCAST_ROWS, before = bound, archive.BROADCAST_ROWS
+        try:
+            arcs = archive.staged(archive.write_arcs(pages, "page_id", "url", "html"), "arc")
+            records = [x for a in archive.to_warc(arcs, "bigint").collect() for x in archive.read_warc(a.content)]
+        finally:
+            archive.BROADCAST_ROWS = before
+        ids = {x.fields["WARC-Record-ID"]: x for x in records if x.fields["WARC-Type"] == "response"}
+        revisits = [x for x in records if x.fields["WARC-Type"] == "revisit"]
+        assert len(ids) == 7 and len(revisits) == 53
+        for x in revisits:
+            assert ids[x.fields["WARC-Refers-To"]].fields["WARC-Payload-Digest"] == x.fields["WARC-Payload-Digest"]
+            assert archive.split_http(x.block)[1] == b""
+    assert all("WARC-Date" in x.fields for x in records)
