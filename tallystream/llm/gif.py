@@ -21,11 +21,13 @@ from tallystream.llm._arrow import arrow_map, map_texts
 from tallystream.llm._scratch import staged
 
 #: Pixels of a stored payload's row, and rows of a frame at most.
-WIDTH, ROWS = 64, 512
+WIDTH, ROWS = 64, 128
 #: Hundredths of a second that a stored frame is shown.
 DELAY = 4
 #: The grey palette, in which a pixel's index is its brightness.
 GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).reshape(256, 3)
+#: The palette of stored payloads: red is the index, so that it can be read back, and the others spread the colours.
+COLOURS = np.stack((np.arange(256), np.arange(256) * 5 % 256, 255 - np.arange(256)), 1).astype(np.uint8)
 MAX_CODES = 4096
 
 
@@ -313,27 +315,50 @@ def payload_of(text: bytes) -> bytes:
 
 
 def store(payload: bytes) -> bytes:
-    """The payload as an animation: a grey pixel for each byte, ``WIDTH`` a row, up to ``ROWS`` rows a frame."""
+    """The payload as an animation: a pixel for each byte, ``WIDTH`` a row, up to ``ROWS`` rows a frame.
+
+    Frames go through the disposal methods in turn.  Where a frame leaves an
+    index unused, that index is transparent, and stands for what is shown there
+    already.
+    """
     pixels = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
     parts = [pixels[k : k + ROWS] for k in range(0, len(pixels), ROWS)]
-    return write(WIDTH, len(parts[0]), [Frame(0, 0, p, GREY, DELAY, 0, None) for p in parts])
-
-
-def features(data: bytes) -> tuple[bytes, str]:
-    """The payload read back from the canvases, and its feature string.
+    frames, under = [], None  # the red values below the next frame; -1 is nothing
+    for n, part in enumerate(parts):
+        disposal, clear, indexes = n % 4, None, part
+        if len(parts) > 1:
+            under = np.full(parts[0].shape, -1, np.int16) if under is None else under
+            same = under[: len(part)] == part
+            free = np.flatnonzero(np.bincount(part.ravel(), minlength=256) == 0)
+            if len(free) and same.any():
+                clear = int(free[0])
+                indexes = np.where(same, np.uint8(clear), part)
+            if disposal == 2:
+                under[: len(part)] = -1
+            elif disposal != 3:
+                under[: len(part)] = part
+        frames.append(Frame(0, 0, indexes, COLOURS, DELAY, disposal, clear))
+    return write(WIDTH, len(parts[0]), frames, COLOURS)
+
+
+def features(data: bytes, bins: int = 4) -> tuple[bytes, str, list[tuple[int, int, int, np.ndarray]]]:
+    """The payload read back from the canvases, its feature string, and its timed frames.
 
     The feature is the number of frames, the duration, and the pixels of the
-    frames' rectangles in each of 16 brightness ranges.
+    frames' rectangles in each of 16 ranges of red.  A frame has its start, delay,
+    height, and the colour histogram of its rectangle as it is shown.
     """
     width, height, frames = read(data)
-    parts, bright, clock = [], np.zeros(16, np.int64), 0
+    parts, bright, clock, timed = [], np.zeros(16, np.int64), 0, []
     for f, start, canvas in shown(width, height, frames):
         h, w = f.indexes.shape
-        red = canvas[f.top : f.top + h, f.left : f.left + w, 0]
+        area = canvas[f.top : f.top + h, f.left : f.left + w]
+        red = area[..., 0]
         parts.append(red.tobytes())
         bright += np.bincount(red.ravel() >> 4, minlength=16)
         clock = start + f.delay
-    return b"".join(parts), ",".join(map(str, [len(frames), clock, *bright.tolist()]))
+        timed.append((start, f.delay, h, histogram(area, bins)))
+    return b"".join(parts), ",".join(map(str, [len(frames), clock, *bright.tolist()])), timed
 
 
 def store_texts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -350,7 +375,8 @@ def store_texts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
 def frames_of(media: DataFrame, content: str = "media", keep: tuple[str, ...] = ("doc_id",), bins: int = 4) -> DataFrame:
     """One row a timed frame: ``keep``, ``frame``, ``start_cs``, ``delay_cs``, ``width``, ``height``, ``rgba`` and ``histogram``.
 
-    A null or malformed file gives one row with a null frame and ``error``.
+    A null or malformed file, or one without a frame, gives one row with a null
+    frame and ``error``.
     """
     chosen = media.select(*keep, content)
     schema = T.StructType([*chosen.schema.fields[:-1], *T._parse_datatype_string("frame int, start_cs int, delay_cs int, width int, height int, rgba binary, histogram array<bigint>, error string").fields])
@@ -363,6 +389,8 @@ def frames_of(media: DataFrame, content: str = "media", keep: tuple[str, ...] =
                 rows = []
                 try:
                     width, height, frames = read(batch.column(len(keep))[k].as_py() or b"")
+                    if not frames:
+                        raise ValueError("no frame")
                     for n, (f, start, canvas) in enumerate(shown(width, height, frames)):
                         rows.append((n, start, f.delay, width, height, canvas.tobytes(), histogram(canvas, bins).tolist(), None))
                 except ValueError as error:
@@ -378,28 +406,43 @@ def media_columns(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
 
     Columns ``keep``, ``n_bytes``, ``payload_bytes``, ``payload_sha256``,
     ``tail_crc32`` (of the last 64 payload bytes), ``media_bytes``,
-    ``media_sha256`` and ``feature``.  The files lie in a table in the shared
-    folder, from which they are decoded.  Equal texts give equal values; a null
-    text is stored as an empty one, which is one row of zeros.
+    ``media_sha256``, ``feature``, and ``frames``: for each timed frame its start
+    and delay in hundredths of a second, its height, and its colour histogram,
+    as the numbers of the ``bins ** 3`` colours that occur and their pixels.
+    The files lie in a table in the shared folder, from which they are decoded.
+    Equal texts give equal values; a null text is stored as an empty one, which
+    is one row of zeros.
     """
     media = staged(store_texts(docs, text, keep), "media")
-    fields = [T.StructField(n, t) for n, t in (("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()))]
+    frame = "struct<start_cs:int,delay_cs:int,height:int,colours:array<int>,pixels:array<int>>"
+    fields = T._parse_datatype_string(f"payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames array<{frame}>").fields
     chosen = media.select(*keep, "n_bytes", "media")
     schema = T.StructType([*chosen.schema.fields[:-1], *fields])
 
     def run(batches):
         import pyarrow as pa
 
+        numbers = pa.list_(pa.int32())
+        names = ["start_cs", "delay_cs", "height", "colours", "pixels"]
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
                 out: list[list] = [[], [], [], [], [], []]
+                timed: list[list] = [[], [], [], [], []]
+                ends = [0]
                 for data in part.column(len(keep) + 1).to_pylist():
-                    payload, feature = features(data)
+                    payload, feature, frames = features(data)
                     row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature)
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
+                    for begin, delay, height, counts in frames:
+                        some = np.flatnonzero(counts)
+                        for column, value in zip(timed, (begin, delay, height, some, counts[some]), strict=True):
+                            column.append(value)
+                    ends.append(len(timed[0]))
                 columns = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], schema.names)
+                inner = pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(timed, [pa.int32()] * 3 + [numbers] * 2, strict=True)], names)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns, lists], schema.names)
 
     return arrow_map(chosen, run, schema)

@@ -98,14 +98,40 @@ def test_media_columns(spark):
         payload = raw + b"\0" * ((-len(raw)) % 64 if raw else 64)
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert r.media_sha256 == hashlib.sha256(gif.store(payload)).hexdigest()
+        parts = [payload[k : k + 64 * gif.ROWS] for k in range(0, len(payload), 64 * gif.ROWS)]
+        bright = collections.Counter(b >> 4 for b in payload)
+        assert r.feature == ",".join(map(str, [len(parts), gif.DELAY * len(parts), *(bright[k] for k in range(16))]))
+        assert [(f.start_cs, f.delay_cs, f.height) for f in r.frames] == [(gif.DELAY * n, gif.DELAY, len(x) // 64) for n, x in enumerate(parts)]
+        for f, x in zip(r.frames, parts, strict=True):
+            colours = collections.Counter((b >> 6) * 16 + (5 * b % 256 >> 6) * 4 + (255 - b >> 6) for b in x)
+            assert dict(zip(f.colours, f.pixels, strict=True)) == colours
     assert gif.media_columns(cases.frame(spark, [])).collect() == []
 
 
 def test_frames(spark):
-    media = spark.createDataFrame([(1, gif.store(b"x" * 64 * 600)), (2, b"junk"), (3, None)], "doc_id long, media binary")
+    media = spark.createDataFrame([(1, gif.store(b"x" * 64 * 200)), (2, b"junk"), (3, None), (4, gif.write(3, 2, []))], "doc_id long, media binary")
     rows = gif.frames_of(media).orderBy("doc_id", "frame").collect()
-    assert [(r.doc_id, r.frame, r.start_cs, r.error is None) for r in rows] == [(1, 0, 0, True), (1, 1, 4, True), (2, None, None, False), (3, None, None, False)]
-    assert sum(rows[0].histogram) == 64 * 512 and len(rows[0].rgba) == 64 * 512 * 4
+    assert [(r.doc_id, r.frame, r.start_cs, r.error is None) for r in rows] == [(1, 0, 0, True), (1, 1, 4, True), (2, None, None, False), (3, None, None, False), (4, None, None, False)]
+    assert sum(rows[0].histogram) == 64 * gif.ROWS and len(rows[0].rgba) == 64 * gif.ROWS * 4
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([bytes(64), b"ab" * 32, bytes(range(64)), bytes(range(192, 256))]), min_size=1, max_size=1200))
+def test_stored_payloads_come_back(rows):
+    """Over all disposal methods, and with pixels that stand for what is shown already."""
+    payload = b"".join(rows)
+    frames = gif.read(gif.store(payload))[2]
+    assert gif.features(gif.store(payload))[0] == payload
+    assert [f.disposal for f in frames] == [n % 4 for n in range(len(frames))]
+
+
+def test_stored_frames_are_transparent_where_nothing_changes():
+    payload = b"ab" * 32 * gif.ROWS * 6
+    frames = gif.read(gif.store(payload))[2]
+    assert [f.transparent is not None for f in frames] == [False, True, True, False, False, True]  # cleared after the third, and so also after the fourth
+    assert all((f.indexes == f.transparent).all() for f in frames if f.transparent is not None)
+    every = bytes(range(256)) * 16 * gif.ROWS
+    assert gif.features(gif.store(every))[0] == every and {f.transparent for f in gif.read(gif.store(every))[2]} == {None}
 
 
 def test_arc_versions_and_lengths():
