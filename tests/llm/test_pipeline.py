@@ -6,6 +6,7 @@ from pathlib import Path
 
 import cases
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -48,6 +49,22 @@ def test_stages(spark, folder, tmp_path):
     assert all(r.lossless for r in tokens)
 
 
+def test_stages_beyond_the_broadcast(spark, folder, monkeypatch):
+    """The same rows, and no text in a shuffle but of rows that a bitmap marks."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("row_key", F.lit("own"))
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.drop_contaminated):
+        found = []
+        for bound in (10**6, 0):
+            monkeypatch.setattr(corpus_pipeline, "BROADCAST_KEYS", bound)
+            out = stage(spark, docs, folder)
+            found.append(sorted(map(repr, out.collect())))
+            assert out.columns == docs.columns
+        assert found[0] == found[1] and 0 < len(found[0]) < docs.count()
+    logical = out._jdf.queryExecution().optimizedPlan().toString()
+    asked = [x for x in logical.split("Join LeftAnti") if "rightHint=(strategy=merge)" in x[:120]]
+    assert asked and "__bits" in asked[-1]
+
+
 def test_run_is_the_stages(spark, folder):
     shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
     before = set(shared.glob("tallystream-*"))
