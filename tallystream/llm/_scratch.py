@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,13 +32,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     that later steps read several times are computed once.  It stays until its
     :func:`scope` ends, or :func:`release` or the folder's own cleaning removes it.
     """
+    return _write(df, name, _OPEN)
+
+
+def _write(df: DataFrame, name: str, scopes: list[list[str]]) -> DataFrame:
     folder = f"{shared_folder(df.sparkSession)}/tallystream-{uuid.uuid4().hex}"
-    for opened in _OPEN:
+    for opened in scopes:
         opened.append(folder)
     df.write.parquet(f"{folder}/{name}")
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, written and read again; all that it staged on the way is removed."""
+    outer = list(_OPEN)
+    with scope(spark):
+        return _write(make(), "result", outer)
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Removes at its end what was staged within it, which must not be read any more."""

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystream.llm import archive, bpe, decontaminate, gif, language, neardup, pii, quality, secrets, toxicity
+from tallystream.llm._scratch import settled
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -15,17 +19,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidied(query: Callable) -> Callable:
+    """The query, which leaves nothing in the shared folder but its result."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return settled(spark, lambda: query(spark, sf_dir))
+
+    return run
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity categories of every whole document; one row each."""
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels"), F.col("toxic") == 1))
 
 
+@tidied
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of benchmark items in every whole document; one row each."""
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@tidied
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents, on two-word shingles; one row each."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), k=2).drop("group")
@@ -37,11 +53,13 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(docs, pii.fit(docs))
 
 
+@tidied
 def op5_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through ARC and WARC archives and back; one row each."""
     return archive.archived_pages(_table(spark, sf_dir, "pages"))
 
 
+@tidied
 def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document stored as an animation and read back; one row each."""
     return gif.media_columns(_table(spark, sf_dir, "documents"))
@@ -64,6 +82,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+@tidied
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every whole document and whether its language's limit keeps it; one row each.  A quarter of the low labels is held out."""
     labels = _table(spark, sf_dir, "labels")
@@ -71,6 +90,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents"), good, low=low)
 
 
+@tidied
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole document; one row each.  A source is an owner, and its documents of a language a repository."""
     docs = _table(spark, sf_dir, "documents")

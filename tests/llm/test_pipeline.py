@@ -74,6 +74,19 @@ def test_run_is_the_stages(spark, folder):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_queries_leave_only_their_results(spark, folder):
+    from tallystream.llm import queries
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    spark.createDataFrame([(1, "http://a", "<p>a</p>"), (2, "http://b", "<p>a</p>")], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    for name in ("op2_decontaminate", "op3_neardup", "op5_archive", "op6_gif", "op9_quality", "op10_secrets"):
+        before = set(shared.glob("tallystream-*"))
+        out = queries.QUERIES[name](spark, folder)
+        assert [p.name for x in set(shared.glob("tallystream-*")) - before for p in x.iterdir()] == ["result"], name
+        assert out.count() == (2 if name == "op5_archive" else spark.read.parquet(f"{folder}/documents.parquet").count())
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
