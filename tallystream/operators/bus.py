@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallystream.functions import matching
+from tallystream.operators.ordered import as_of
 
 MAX_REPLAY = 10_000
+#: Milliseconds of events that are sorted in one task.
+BUCKET_MS = 3_600_000
 #: Messages that wait for a channel subscription at most.
 RING = 1_024
 
@@ -80,15 +83,9 @@ def replay(archive: DataFrame, start_ms: int, end_ms: int, condition: EventFilte
     return (rows.filter(condition.column()) if condition else rows).orderBy("position").limit(limit)
 
 
-def plan_in_force(events: DataFrame, changes: DataFrame) -> DataFrame:
-    """Events with the ``version`` of the routes when they came: the last change up to their time, 0 before any.
-
-    Changes (``at_ms``, ``version``) are few; their intervals are joined by range.
-    """
-    following = F.lead("at_ms").over(Window.orderBy("version"))  # one row a change of the route plan
-    spans = changes.select(F.col("at_ms").alias("_from"), following.alias("_to"), "version")
-    inside = (F.col("time_ms") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("time_ms") < F.col("_to")))
-    return events.join(F.broadcast(spans), inside, "left").drop("_from", "_to").withColumn("version", F.coalesce("version", F.lit(0)))
+def plan_in_force(events: DataFrame, changes: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """Events with the ``version`` of the routes when they came: the last change (``at_ms``, ``version``) up to their time, 0 before any."""
+    return as_of(events, "time_ms", changes, "at_ms", "version", bucket_ms).withColumn("version", F.coalesce("version", F.lit(0)))
 
 
 def channel_fan_out(messages: DataFrame, subscribers: dict[str, tuple[list[str], list[str]]], order: str, ring: int = RING) -> DataFrame:
@@ -113,8 +110,11 @@ def channel_fan_out(messages: DataFrame, subscribers: dict[str, tuple[list[str],
 def executed(routes: DataFrame, resources: DataFrame) -> DataFrame:
     """The ``status`` of each route by its target: ``queue:name`` and ``stream:name`` must exist, others wait outside."""
     known = resources.select(F.concat_ws(":", "kind", "name").alias("_known")).distinct()
-    rows = routes.join(F.broadcast(known), F.col("target") == F.col("_known"), "left")
     inside = F.col("target").startswith("queue:") | F.col("target").startswith("stream:")
+    # Other targets, which most routes may share, get keys of their own, so that they don't meet in one task.
+    plain = [c for c, t in routes.dtypes if not t.startswith(("map", "variant"))]
+    key = F.when(inside, F.col("target")).otherwise(F.concat(F.lit("\0"), F.xxhash64(*plain).cast("string")))
+    rows = routes.join(known, key == F.col("_known"), "left")
     status = F.when(inside & F.col("_known").isNotNull(), "delivered").when(inside, "target_missing").when(F.col("target") == "pull", "pull_available").otherwise("pending_external_delivery")
     return rows.withColumn("status", status).drop("_known")
 
@@ -128,6 +128,24 @@ def candidates(deliveries: DataFrame, now_ms: int, window: int) -> DataFrame:
     return rows.filter(F.col("place") <= window - F.coalesce("_busy", F.lit(0))).drop("_s", "_busy")
 
 
+def delivery(deliveries: DataFrame, delivery_id: str) -> DataFrame:
+    """The delivery of an id, if there is one."""
+    return deliveries.filter(F.col("delivery_id") == delivery_id)
+
+
+def subscriptions_after(commands: DataFrame) -> DataFrame:
+    """Subscriptions after all upserts and removals (``name``, ``seq``, ``filter``, null for a removal), with the version of each."""
+    last = commands.groupBy("name").agg(F.max_by(F.struct("filter"), "seq").alias("last"), F.count_if(F.col("filter").isNotNull()).alias("upserts"))
+    return last.select("name", F.col("last.filter").alias("filter"), "upserts").filter("filter IS NOT NULL")
+
+
+def lease_sweep(deliveries: DataFrame, now_ms: int, max_attempts: int, limit: int) -> DataFrame:
+    """Deliveries whose lease is over, by deadline and id, with the state they get: ``pending`` again, or ``dead_lettered`` after the last attempt."""
+    late = deliveries.filter((F.col("state") == "in_flight") & (F.col("lease_until_ms") <= now_ms))
+    after = F.when(F.col("attempt") >= max_attempts, "dead_lettered").otherwise("pending")
+    return late.orderBy("lease_until_ms", "delivery_id").limit(limit).withColumn("state_after", after)
+
+
 def counts(deliveries: DataFrame, states: tuple[str, ...] = ("pending", "in_flight", "acknowledged", "dead_lettered")) -> DataFrame:
     """Deliveries in each state, in one row."""
     return deliveries.agg(*[F.count_if(F.col("state") == s).alias(s) for s in states])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,17 +52,24 @@ def health(resources: DataFrame) -> DataFrame:
     return resources.agg(F.count("*").alias("resources"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.lit("ok").alias("status"))
 
 
+#: Voters of a cluster at most.
+MAX_VOTERS = 64
+
+
 def admitted(nodes: DataFrame, requests: DataFrame) -> DataFrame:
     """Placement requests (``request``, ``region``, ``node_class``, ``min_zones``, ``added``) with ``decision``.
 
     All voters must be in the region and of the class (null allows any), span
-    the zones, and have room; the first reason that fails is given.
+    the zones, and have room; the first reason that fails is given.  The voters
+    of a cluster are at most ``MAX_VOTERS`` and become constants of the plan.
     """
-    rows = requests.crossJoin(F.broadcast(nodes))  # a cluster's voters are a handful
-    ok = lambda wanted, has: F.coalesce(F.col(wanted) == F.col(has), F.lit(True))
-    sums = rows.groupBy("request", "min_zones", "added").agg(
-        F.bool_and(ok("region", "node_region") & ok("node_class", "class")).alias("eligible"), F.count_distinct("zone").alias("zones"), F.min("available").alias("room")
-    )
+    found = nodes.select("node_region", "zone", "class", "available").limit(MAX_VOTERS + 1).collect()
+    if not 1 <= len(found) <= MAX_VOTERS:
+        raise ValueError(f"a cluster has 1 to {MAX_VOTERS} voters")
+    ok = lambda wanted, has: F.coalesce(F.col(wanted) == F.lit(has), F.lit(True)) if has is not None else F.lit(True)
+    eligible = reduce(lambda a, b: a & b, [ok("region", region) & ok("node_class", kind) for region, kind in {(r["node_region"], r["class"]) for r in found}])
+    zones, room = len({r["zone"] for r in found} - {None}), min((r["available"] for r in found if r["available"] is not None), default=None)
+    sums = requests.withColumn("eligible", eligible).withColumn("zones", F.lit(zones).cast("bigint")).withColumn("room", F.lit(room).cast(nodes.schema["available"].dataType))
     reason = F.when(~F.col("eligible"), "fixed_voters_ineligible").when(F.col("zones") < F.col("min_zones"), "insufficient_zones").when((F.col("added") > 0) & (F.col("room") < F.col("added")), "consensus_group_capacity").otherwise("admitted")
     return sums.select("request", "zones", "room", reason.alias("decision"))
 

@@ -51,3 +51,23 @@ def first_per(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     rank = Window.partitionBy(key).orderBy(*order)
     keyed = df.filter(F.col(key).isNotNull()).withColumn("_rank", F.row_number().over(rank)).filter("_rank = 1").drop("_rank")
     return keyed.unionByName(df.filter(F.col(key).isNull()))
+
+
+def as_of(rows: DataFrame, at: str, changes: DataFrame, changed_at: str, value: str, bucket_ms: int) -> DataFrame:
+    """Adds ``value``: that of the last change up to each row's time ``at``, null before any.
+
+    Of changes at one time the largest value is the last.  Both sides are put
+    together and only sorted within buckets of time; the last change of earlier
+    buckets is added from a table of one row a bucket.
+    """
+    kind = changes.schema[value].dataType
+    mine = rows.withColumn("_at", F.col(at)).withColumn("_value", F.lit(None).cast(kind))
+    theirs = changes.filter(F.col(changed_at).isNotNull()).select(F.col(changed_at).cast(rows.schema[at].dataType).alias("_at"), F.col(value).alias("_value"), F.lit(True).alias("_change"))
+    both = mine.withColumn("_change", F.lit(False)).unionByName(theirs, allowMissingColumns=True).withColumn("_bucket", F.floor(F.col("_at") / bucket_ms))
+    local = Window.partitionBy("_bucket").orderBy("_at", F.desc("_change"), "_value").rowsBetween(Window.unboundedPreceding, 0)
+    last = both.groupBy("_bucket").agg(F.max(F.when(F.col("_change"), F.struct("_at", "_value"))).alias("_end"))
+    across = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    before = last.select(F.col("_bucket").alias("_b"), F.last("_end", ignorenulls=True).over(across)["_value"].alias("_before"))
+    found = both.withColumn("_inside", F.last("_value", ignorenulls=True).over(local)).filter(~F.col("_change"))
+    out = found.join(before, F.col("_bucket") == F.col("_b"), "left").withColumn(value, F.coalesce("_inside", "_before"))
+    return out.drop("_at", "_value", "_change", "_bucket", "_inside", "_b", "_before")

@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 
 from tallystream.functions.hashes import partition_for
 from tallystream.operators.ordered import dense_number, first_per, running_totals
+from tallystream.sources.envelopes import ENVELOPE
+from tallystream.sources.tiers import digests
 
 #: Milliseconds of log whose rows are numbered in one task.
 BUCKET_MS = 3_600_000
+#: Fields of a record, in the order of its canonical JSON.
+RECORD_FIELDS = ("partition", "offset", "appended_at_ms", *ENVELOPE.names)
+#: Records of an atomic batch, of a tier object, and of a replicated batch at most.
+MAX_BATCH, MAX_TIER, MAX_REPLICATED = 1_000, 1_024, 128
 
 
 class Conflict(ValueError):
@@ -36,24 +42,51 @@ def commit_positions(rows: DataFrame, order: tuple[str, ...] = ("time_ms", "even
 
 
 def bounds(records: DataFrame) -> DataFrame:
-    """Base and end offset, rows and payload bytes of each partition."""
+    """Base and end offset, rows and bytes of each partition of a log that nothing was removed from.
+
+    What removes records moves them with :func:`bounds_after`, as what is left
+    doesn't tell where a partition begins, or ends when nothing is left.
+    """
     return records.groupBy("partition").agg(
-        F.min("offset").alias("base_offset"), (F.max("offset") + 1).alias("end_offset"), F.count("*").alias("records"), F.sum(payload_bytes()).alias("bytes")
+        F.min("offset").alias("base_offset"), (F.max("offset") + 1).alias("end_offset"), F.count("*").alias("records"), F.sum(record_bytes(records)).alias("bytes")
     )
 
 
-def payload_bytes() -> Column:
-    """Bytes of a record's payload; none for null."""
-    return F.coalesce(F.octet_length("payload"), F.lit(0)).cast("bigint")
+def bounds_after(limits: DataFrame, marked: DataFrame, compaction: bool = False) -> DataFrame:
+    """The bounds of each partition after what isn't ``kept`` is removed.
+
+    Retention moves the base to the first record that stays, or to the end if
+    none does; compaction leaves it.  The end never moves.
+    """
+    left = marked.filter("kept").groupBy(F.col("partition").alias("_p")).agg(F.min("offset").alias("_first"), F.count("*").alias("_records"), F.sum(record_bytes(marked)).alias("_bytes"))
+    rows = limits.join(left, F.col("partition") == F.col("_p"), "left")
+    base = F.col("base_offset") if compaction else F.greatest("base_offset", F.coalesce("_first", "end_offset"))
+    zero = F.lit(0).cast("bigint")
+    return rows.select("partition", base.alias("base_offset"), "end_offset", F.coalesce("_records", zero).alias("records"), F.coalesce("_bytes", zero).alias("bytes"))
+
+
+def record_bytes(records: DataFrame) -> Column:
+    """Bytes of a record's canonical JSON: the fields of an envelope and record that ``records`` has and that aren't null, the payload as it is."""
+    names = [c for c in RECORD_FIELDS if c in records.columns and c != "payload"]
+    rest = F.octet_length(F.to_json(F.struct(*names)))
+    return (rest + F.coalesce(F.octet_length("payload") + len(',"payload":'), F.lit(0))).cast("bigint")
+
+
+def known_bounds(limits: DataFrame) -> dict[int, tuple[int, int]]:
+    """Base and end of each partition, of which a log has a bounded number, by partition."""
+    return {r["partition"]: (r["base_offset"], r["end_offset"]) for r in limits.select("partition", "base_offset", "end_offset").collect()}
 
 
-def fetch(records: DataFrame, partition: int, offset: int, limit: int) -> DataFrame:
-    """Up to ``limit`` records of a partition from an offset on; an offset before the base raises Conflict."""
-    one = records.filter(F.col("partition") == partition)
-    base = one.agg(F.min("offset")).first()[0]
-    if base is not None and offset < base:
-        raise Conflict(f"offset {offset} is before {base}")
-    return one.filter(F.col("offset") >= offset).orderBy("offset").limit(limit)
+def fetch(records: DataFrame, limits: dict[int, tuple[int, int]], partition: int, offset: int, limit: int) -> DataFrame:
+    """Up to ``limit`` records of a partition from an offset on; an offset before the base raises Conflict.
+
+    ``limits`` are the log's :func:`known_bounds`; an unknown partition raises ValueError.
+    """
+    if partition not in limits:
+        raise ValueError(f"no partition {partition}")
+    if offset < limits[partition][0]:
+        raise Conflict(f"offset {offset} is before {limits[partition][0]}")
+    return records.filter((F.col("partition") == partition) & (F.col("offset") >= offset)).orderBy("offset").limit(limit)
 
 
 def fetch_each(records: DataFrame, starts: DataFrame, limit: int) -> DataFrame:
@@ -63,7 +96,7 @@ def fetch_each(records: DataFrame, starts: DataFrame, limit: int) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= limit).drop("_rank", "start")
 
 
-def fetch_for_group(records: DataFrame, offsets: DataFrame, group: str, limit: int, owner: tuple[str, int] | None = None, claimed: tuple[str, int] | None = None) -> DataFrame:
+def fetch_for_group(records: DataFrame, limits: DataFrame, offsets: DataFrame, group: str, limit: int, owner: tuple[str, int] | None = None, claimed: tuple[str, int] | None = None) -> DataFrame:
     """Records of every partition from a group's committed offset, or the base, on.
 
     If ``claimed`` names who owns the group and of which generation, ``owner``
@@ -72,9 +105,16 @@ def fetch_for_group(records: DataFrame, offsets: DataFrame, group: str, limit: i
     if claimed is not None and owner != claimed:
         raise Conflict(f"{group} is owned by {claimed}")
     mine = offsets.filter(F.col("group") == group).select("partition", "committed")
-    base = records.groupBy("partition").agg(F.min("offset").alias("base"))
-    starts = base.join(mine, "partition", "left").select("partition", F.greatest(F.coalesce("committed", "base"), "base").alias("start"))
-    return fetch_each(records, F.broadcast(starts), limit)  # a row a partition
+    starts = limits.join(mine, "partition", "left").select("partition", F.greatest(F.coalesce("committed", "base_offset"), "base_offset").alias("start"))
+    return fetch_each(records, starts, limit)
+
+
+def apart(key: Column, *of: str) -> Column:
+    """A join key that is never null: rows without key get one of their own, from ``of``, that matches nothing.
+
+    Otherwise all of them would meet in one task of a shuffled outer join.
+    """
+    return F.coalesce(key, F.concat_ws(":", F.lit("\0"), *of))
 
 
 def visible(records: DataFrame, transactions: DataFrame, committed: bool = True) -> DataFrame:
@@ -82,7 +122,8 @@ def visible(records: DataFrame, transactions: DataFrame, committed: bool = True)
     if not committed:
         return records
     done = transactions.filter("status = 'committed'").select(F.col("transaction_id").alias("_done")).distinct()
-    return records.join(done, F.col("transaction_id") == F.col("_done"), "left").filter("transaction_id IS NULL OR _done IS NOT NULL").drop("_done")
+    key = apart(F.col("transaction_id"), "partition", "offset")
+    return records.join(done, key == F.col("_done"), "left").filter("transaction_id IS NULL OR _done IS NOT NULL").drop("_done")
 
 
 def tiered(hot: DataFrame, cold: DataFrame) -> DataFrame:
@@ -93,16 +134,18 @@ def tiered(hot: DataFrame, cold: DataFrame) -> DataFrame:
 
 
 def tier_prefix(records: DataFrame, pending: DataFrame, before: int, most: int) -> DataFrame:
-    """The longest prefix of each partition below ``before`` that a pending transaction doesn't stop, up to ``most`` records."""
+    """The longest prefix of each partition below ``before`` that a pending transaction doesn't stop, up to ``most`` records (1 to 1,024)."""
+    if not 1 <= most <= MAX_TIER:
+        raise ValueError("a tier object has 1 to 1,024 records")
     stop = records.join(pending.select("transaction_id").distinct(), "transaction_id", "left_semi").groupBy("partition").agg(F.min("offset").alias("stop"))
-    rows = records.join(F.broadcast(stop), "partition", "left").filter(F.col("offset") < F.least(F.lit(before), F.coalesce("stop", F.lit(before))))
+    rows = records.join(stop, "partition", "left").filter(F.col("offset") < F.least(F.lit(before), F.coalesce("stop", F.lit(before))))
     rank = Window.partitionBy("partition").orderBy("offset")
     return rows.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= most).drop("_rank", "stop")
 
 
 @dataclass(frozen=True)
 class Retention:
-    """What a partition keeps: so many records, payload bytes, and milliseconds; None is no limit."""
+    """What a partition keeps: so many records, bytes of records, and milliseconds; None is no limit."""
 
     max_records: int | None = None
     max_bytes: int | None = None
@@ -115,7 +158,7 @@ def retained(records: DataFrame, policy: Retention, now_ms: int, bucket_ms: int
     Equal to retention after every append if append times don't decrease.
     """
     bucket = F.floor(F.col("appended_at_ms") / bucket_ms) if bucket_ms else None
-    limits = {"_records": (F.lit(1), policy.max_records), "_bytes": (payload_bytes(), policy.max_bytes)}
+    limits = {"_records": (F.lit(1), policy.max_records), "_bytes": (record_bytes(records), policy.max_bytes)}
     limits = {c: x for c, x in limits.items() if x[1] is not None}
     rows = running_totals(records, ["partition"], ["offset"], {c: value for c, (value, _) in limits.items()}, bucket, newest_first=True)
     kept = F.lit(True)
@@ -128,13 +171,21 @@ def retained(records: DataFrame, policy: Retention, now_ms: int, bucket_ms: int
 
 def retention_report(marked: DataFrame) -> DataFrame:
     """Removed and retained records and bytes of each partition, and of all where ``partition`` is null."""
-    size = payload_bytes()
+    size = record_bytes(marked)
     return marked.rollup("partition").agg(
         F.count_if(~F.col("kept")).alias("removed_records"), F.coalesce(F.sum(F.when(~F.col("kept"), size)), F.lit(0)).alias("removed_bytes"),
         F.count_if("kept").alias("retained_records"), F.coalesce(F.sum(F.when(F.col("kept"), size)), F.lit(0)).alias("retained_bytes"),
     )
 
 
+def compaction_report(marked: DataFrame) -> DataFrame:
+    """Records, bytes and tombstones that compaction removes from each partition."""
+    gone = ~F.col("kept")
+    return marked.groupBy("partition").agg(
+        F.count_if(gone).alias("removed"), F.coalesce(F.sum(F.when(gone, record_bytes(marked))), F.lit(0)).alias("removed_bytes"), F.count_if(gone & F.col("payload").isNull()).alias("removed_tombstones")
+    )
+
+
 def compacted(records: DataFrame, transactions: DataFrame, now_ms: int, tombstone_ms: int) -> DataFrame:
     """Adds ``kept`` after compaction by key.
 
@@ -143,11 +194,12 @@ def compacted(records: DataFrame, transactions: DataFrame, now_ms: int, tombston
     transaction was aborted, and those of pending transactions always.
     """
     status = transactions.select(F.col("transaction_id").alias("_tx"), F.col("status").alias("_status"))
-    rows = records.join(F.broadcast(status), F.col("transaction_id") == F.col("_tx"), "left")
+    rows = records.join(status, apart(F.col("transaction_id"), "partition", "offset") == F.col("_tx"), "left")
     seen = F.col("transaction_id").isNull() | F.coalesce(F.col("_status") == "committed", F.lit(False))
-    latest = rows.filter(seen & (F.coalesce("key", F.lit("")) != "")).groupBy(F.col("partition").alias("_p"), F.col("key").alias("_k")).agg(F.max("offset").alias("_latest"))
-    rows = rows.join(latest, (F.col("partition") == F.col("_p")) & (F.col("key") == F.col("_k")), "left")
     keyless = F.coalesce("key", F.lit("")) == ""
+    latest = rows.filter(seen & ~keyless).groupBy(F.col("partition").alias("_p"), F.col("key").alias("_k")).agg(F.max("offset").alias("_latest"))
+    key = apart(F.when(~keyless, F.col("key")), "offset")
+    rows = rows.join(latest, (F.col("partition") == F.col("_p")) & (key == F.col("_k")), "left")
     live = F.col("payload").isNotNull() | (F.col("appended_at_ms") + tombstone_ms > now_ms)
     kept = (
         F.when(F.coalesce(F.col("_status") == "pending", F.lit(False)), F.lit(True))
@@ -208,6 +260,56 @@ def replicated(batch: DataFrame, source_cluster: str, local_cluster: str, checkp
     return rows.withColumn("extensions", F.map_concat(own, extra)).withColumn("dedupe_id", F.coalesce("dedupe_id", default))
 
 
+def replication_outcomes(batch: DataFrame, checkpoints: DataFrame, local_cluster: str) -> DataFrame:
+    """What becomes of a foreign batch, one row a source partition.
+
+    Columns ``partition``, ``first_offset``, ``next_offset``, ``digest`` (of the
+    records) and ``outcome``: ``duplicate`` if the checkpoint (``partition``,
+    ``next_offset``, ``last_digest``) has this digest, ``conflict`` if the batch
+    doesn't begin where the checkpoint is (0 for a new source), ``invalid`` if
+    offsets aren't contiguous or there are over 128 of them, ``loop`` if a
+    record has passed here, else ``accepted``.  A partition's records are taken
+    all or none.
+    """
+    loop = F.array_contains("traversed_clusters", local_cluster)
+    rows = batch.groupBy("partition").agg(F.count_distinct("offset").alias("_distinct"), F.bool_or(F.coalesce(loop, F.lit(False))).alias("_loop"))
+    rows = digests(batch).join(rows, "partition").join(checkpoints.select("partition", F.col("next_offset").alias("_at"), "last_digest"), "partition", "left")
+    whole = (F.col("end_offset") - F.col("first_offset") == F.col("records")) & (F.col("_distinct") == F.col("records")) & (F.col("records") <= MAX_REPLICATED)
+    outcome = (
+        F.when(F.coalesce(F.col("digest") == F.col("last_digest"), F.lit(False)), "duplicate")
+        .when(F.col("first_offset") != F.coalesce("_at", F.lit(0)), "conflict")
+        .when(~whole, "invalid").when(F.col("_loop"), "loop").otherwise("accepted")
+    )
+    return rows.select("partition", "first_offset", F.col("end_offset").alias("next_offset"), "digest", outcome.alias("outcome"))
+
+
+def accepted(batch: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The records of the partitions that :func:`replication_outcomes` accepts."""
+    return batch.join(outcomes.filter("outcome = 'accepted'").select("partition"), "partition", "left_semi")
+
+
+def batch_receipts(rows: DataFrame, partitions: int, order: tuple[str, ...] = ("time_ms", "event_id"), bucket_ms: int | None = BUCKET_MS) -> DataFrame:
+    """Atomic batches of envelopes (``batch``, ``client_sequence``) as records with a receipt each.
+
+    A batch with no record or over 1,000, or with a sequence twice or missing,
+    is left out as a whole.  Columns of :func:`append` and those of the batch.
+    """
+    whole = rows.groupBy(F.col("batch").alias("_batch")).agg(F.count("*").alias("_n"), F.count_distinct("client_sequence").alias("_distinct"))
+    whole = whole.filter((F.col("_n") <= MAX_BATCH) & (F.col("_n") == F.col("_distinct"))).select("_batch")
+    return append(rows.join(whole, F.col("batch") == F.col("_batch"), "left_semi"), partitions, order, bucket_ms=bucket_ms)
+
+
+def expired_owners(owned: DataFrame, sessions: DataFrame, now_ms: int) -> DataFrame:
+    """Owned partitions (``partition``, ``member``) whose member has no session that is still alive (``expires_at_ms`` after now)."""
+    alive = sessions.filter(F.col("expires_at_ms") > now_ms).select("member").distinct()
+    return owned.join(alive, "member", "left_anti")
+
+
+def due(schedules: DataFrame, now_ms: int, limit: int) -> DataFrame:
+    """Schedules whose time has come (``name``, ``next_at_ms``), by time and name."""
+    return schedules.filter(F.col("next_at_ms") <= now_ms).orderBy("next_at_ms", "name").limit(limit)
+
+
 def transaction_status(commands: DataFrame) -> DataFrame:
     """The status of each transaction from its commands: the first end decides, else it is pending."""
     ends = F.min(F.when(F.col("action").isin("commit", "abort"), F.struct("seq", "action")))
@@ -233,3 +335,19 @@ def hybrid_clock(ticks: DataFrame, node: str, order: str, physical: str) -> Data
     rows = ticks.withColumn("clock_ms", F.max(physical).over(window))
     run = Window.partitionBy(node, "clock_ms").orderBy(order)
     return rows.withColumn("logical", (F.row_number().over(run) - 1).cast("bigint"))
+
+
+def hybrid_clock_observed(ticks: DataFrame, node: str, order: str, physical: str, remote_ms: str, remote_logical: str) -> DataFrame:
+    """As :func:`hybrid_clock`, of ticks that may observe a remote clock (null: a tick of its own).
+
+    The time is the largest so far, own or remote.  While it stays, the counter
+    is one more than before, and than the remote counter if that clock has the
+    same time; a new time of the own clock begins at 0.
+    """
+    window = Window.partitionBy(node).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = ticks.withColumn("clock_ms", F.max(F.greatest(F.col(physical), F.col(remote_ms))).over(window))
+    run = Window.partitionBy(node, "clock_ms").orderBy(order)
+    rows = rows.withColumn("_n", F.row_number().over(run))
+    start = F.when(F.col(remote_ms) == F.col("clock_ms"), F.col(remote_logical) + 1).when(F.col("_n") == 1, F.lit(0))
+    run = run.rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("logical", (F.col("_n") + F.max(start - F.col("_n")).over(run)).cast("bigint")).drop("_n")

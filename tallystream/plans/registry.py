@@ -41,5 +41,9 @@ RECORDS = (
 parts AS (SELECT DISTINCT key, {fnv_sql("key", 8)} AS partition FROM (SELECT DISTINCT key FROM env)),
 rec AS (SELECT env.*, partition, time_ms AS appended_at_ms, row_number() OVER (PARTITION BY partition ORDER BY time_ms, event_id) - 1 AS "offset" FROM env JOIN parts USING (key))"""
 )
+#: Bytes of a record's canonical JSON.
+RECORD_BYTES = """(strlen('{"partition":' || partition || ',"offset":' || "offset" || ',"appended_at_ms":' || appended_at_ms || ',"id":"' || id || '","source":"events","type":"' || type || '","time_ms":' || time_ms ||
+',"key":"' || key || '","headers":{"tenant":"' || tenant || '"},"content_type":"application/json","priority":' || priority || ',"dedupe_id":"' || dedupe_id || '"' || coalesce(',"transaction_id":"' || transaction_id || '"', '') ||
+',"extensions":{}}') + coalesce(strlen(payload) + 11, 0))"""
 #: Transactions tx1 to tx6: every third is pending, aborted or committed; tx6 isn't registered.
 TRANSACTIONS = "tx AS (SELECT 'tx' || i AS transaction_id, CASE i % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'committed' ELSE 'aborted' END AS status FROM range(1, 6) t(i))"

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 MAX_COMPRESSED, MAX_EXPANDED = 360 * 1024, 4 * 1024 * 1024
 #: Records of a batch at most.
 MAX_BATCH = 1_000
+#: Offsets of a block of a digest.
+BLOCK = 4_096
 
 
 def write_tier(records: DataFrame, path: str, partition: str = "partition") -> DataFrame:
@@ -22,10 +24,33 @@ def write_tier(records: DataFrame, path: str, partition: str = "partition") -> D
     return manifest(rows, partition)
 
 
+def canonical(records: DataFrame) -> Column:
+    """JSON of all columns in the order of their names, nulls too; maps are lists of entries in the order of their keys."""
+    kinds = dict(records.dtypes)
+    parts = [F.array_sort(F.map_entries(c)).alias(c) if kinds[c].startswith("map<") else F.col(c) for c in sorted(records.columns)]
+    return F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
+
+
+def digests(records: DataFrame, partition: str = "partition") -> DataFrame:
+    """First and end offset, rows and a SHA-256 digest of each partition's records in offset order.
+
+    The digest is that of the comma-joined digests of blocks of offsets, and a
+    block's that of the comma-joined digests of its records, so no task holds
+    more than a block, or a partition's blocks.
+    """
+    rows = records.select(partition, "offset", F.floor(F.col("offset") / BLOCK).alias("_block"), F.sha2(canonical(records), 256).alias("_sha"))
+    listed = lambda key, c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, c))), lambda x: x[c]), ","), 256)
+    blocks = rows.groupBy(partition, "_block").agg(F.min("offset").alias("_first"), F.max("offset").alias("_last"), F.count("*").alias("_n"), listed("offset", "_sha").alias("_digest"))
+    return blocks.groupBy(partition).agg(F.min("_first").alias("first_offset"), (F.max("_last") + 1).alias("end_offset"), F.sum("_n").alias("records"), listed("_block", "_digest").alias("digest"))
+
+
 def manifest(records: DataFrame, partition: str = "partition") -> DataFrame:
-    """First and end offset, rows and a digest of each partition's records, independent of their order."""
-    row = F.xxhash64(*sorted(c for c in records.columns if c != "headers" and c != "extensions"))
-    return records.groupBy(partition).agg(F.min("offset").alias("first_offset"), (F.max("offset") + 1).alias("end_offset"), F.count("*").alias("records"), F.bit_xor(row).alias("digest"))
+    """The :func:`digests` of a tier, whose offsets must differ; one that occurs twice is an error."""
+    twice = records.groupBy(F.col(partition).alias("_p"), F.floor(F.col("offset") / BLOCK).alias("_block")).agg((F.count_distinct("offset") < F.count("*")).alias("_twice"))
+    twice = twice.groupBy("_p").agg(F.bool_or("_twice").alias("_twice"))
+    rows = digests(records, partition).join(twice, F.col(partition).eqNullSafe(F.col("_p")))
+    digest = F.when(F.col("_twice"), F.raise_error(F.lit("an offset occurs twice")).cast("string")).otherwise(F.col("digest"))
+    return rows.select(partition, "first_offset", "end_offset", "records", digest.alias("digest"))
 
 
 def verified_tier(spark: SparkSession, path: str, expected: DataFrame, partition: str = "partition") -> DataFrame:
@@ -43,14 +68,22 @@ def capture_lines(records: DataFrame, columns: list[str]) -> DataFrame:
     return records.select("partition", "offset", F.concat(F.lit("{"), fields, F.lit("}")).alias("line"))
 
 
+def capture_array(records: DataFrame, columns: list[str]) -> DataFrame:
+    """As :func:`capture_lines`, whose lines in offset order are one JSON array a partition."""
+    ends = records.groupBy(F.col("partition").alias("_p")).agg(F.min("offset").alias("_first"), F.max("offset").alias("_last"))
+    rows = capture_lines(records, columns).join(ends, F.col("partition") == F.col("_p"))
+    before, after = F.when(F.col("offset") == F.col("_first"), "[").otherwise(","), F.when(F.col("offset") == F.col("_last"), "]").otherwise("")
+    return rows.select("partition", "offset", F.concat(before, "line", after).alias("line"))
+
+
 def _json(column: Column) -> Column:
     text = F.to_json(F.array(column))
     return F.when(column.isNull(), F.lit("null")).otherwise(text.substr(F.lit(2), F.length(text) - 2))
 
 
-def write_capture(records: DataFrame, path: str, columns: list[str]) -> None:
-    """Writes records in JSON Lines, one folder a partition, in offset order."""
-    capture_lines(records, columns).repartition("partition").sortWithinPartitions("partition", "offset").select("partition", "line").write.partitionBy("partition").text(path)
+def write_capture(records: DataFrame, path: str, columns: list[str], array: bool = False) -> None:
+    """Writes records in JSON Lines, or as one JSON array, one folder and file a partition, in offset order."""
+    (capture_array if array else capture_lines)(records, columns).repartition("partition").sortWithinPartitions("partition", "offset").select("partition", "line").write.partitionBy("partition").text(path)
 
 
 def _expand(codec: str, body: bytes) -> bytes:

@@ -69,28 +69,71 @@ class Workspace:
 
     # --- streams
 
-    def append(self, name: str, envelopes: DataFrame) -> int:
-        """Appends valid envelopes, numbered after what is there, and returns how many; an invalid one is an error."""
+    def _limits(self, name: str) -> tuple[int, str, DataFrame]:
+        """The version of a stream's bounds, the folder of its records, and the bounds, a row a partition."""
         folder = self._folder("stream", name)
+        kinds = "partition int, base_offset long, end_offset long, records long, bytes long"
+        if not self._exists(f"{folder}/bounds"):
+            partitions = int(self._config("stream", name).get("partitions", 1))
+            return 0, f"{folder}/records", self.spark.createDataFrame([(p, 0, 0, 0, 0) for p in range(partitions)], kinds)
+        rows = self.spark.read.schema(f"version long, folder string, {kinds}").json(f"{folder}/bounds")
+        last = rows.agg(F.max_by(F.struct("version", "folder"), "version").alias("last")).first()["last"]
+        return last["version"], last["folder"], rows.filter(F.col("version") == last["version"]).drop("version", "folder")
+
+    def _set_limits(self, name: str, version: int, records: str, limits: DataFrame) -> None:
+        rows = limits.select(F.lit(version).alias("version"), F.lit(records).alias("folder"), "*")
+        rows.coalesce(1).write.mode("append").json(f"{self._folder('stream', name)}/bounds")
+
+    def append(self, name: str, envelopes: DataFrame) -> int:
+        """Appends valid envelopes, numbered from each partition's end on, and returns how many; an invalid one is an error."""
         if not validated(envelopes).filter("problem IS NOT NULL").isEmpty():
             raise ValueError("an envelope is invalid")
+        version, folder, limits = self._limits(name)
+        ends = limits.select("partition", F.col("end_offset").alias("_end"))
         rows = stream.append(envelopes, int(self._config("stream", name).get("partitions", 1)))
-        if self._exists(f"{folder}/records"):
-            ends = stream.bounds(self.records(name)).select("partition", "end_offset")  # a row a partition
-            rows = rows.join(F.broadcast(ends), "partition", "left").withColumn("offset", F.col("offset") + F.coalesce("end_offset", F.lit(0))).drop("end_offset")
-        rows = rows.persist()
+        rows = rows.join(ends, "partition", "left").withColumn("offset", F.col("offset") + F.coalesce("_end", F.lit(0))).drop("_end").persist()
         count = rows.count()
-        rows.write.mode("append").parquet(f"{folder}/records")
+        rows.write.mode("append").parquet(folder)
+        added = rows.groupBy("partition").agg(F.count("*").alias("_n"), F.sum(stream.record_bytes(rows)).alias("_bytes"))
+        more = lambda c: F.coalesce(c, F.lit(0))
+        after = limits.join(added, "partition", "left").select(
+            "partition", "base_offset", (F.col("end_offset") + more("_n")).alias("end_offset"), (F.col("records") + more("_n")).alias("records"), (F.col("bytes") + more("_bytes")).alias("bytes")
+        )
+        self._set_limits(name, version + 1, folder, after)
         rows.unpersist()
         return count
 
+    def bounds(self, name: str) -> DataFrame:
+        """Base and end offset, rows and bytes of each partition, those without records too."""
+        return self._limits(name)[2]
+
     def records(self, name: str) -> DataFrame:
-        """All records of a stream."""
-        return self.spark.read.parquet(f"{self._folder('stream', name)}/records")
+        """The records that a stream holds."""
+        _, folder, limits = self._limits(name)
+        base = limits.select("partition", "base_offset")
+        return self.spark.read.parquet(folder).join(base, "partition").filter("offset >= base_offset").drop("base_offset")
+
+    def retain(self, name: str, policy: stream.Retention, now_ms: int) -> DataFrame:
+        """Removes what a policy doesn't keep, and returns the bounds after it; the files stay until the stream is compacted."""
+        version, folder, limits = self._limits(name)
+        after = stream.bounds_after(limits, stream.retained(self.records(name), policy, now_ms))
+        self._set_limits(name, version + 1, folder, after)
+        return self.bounds(name)
+
+    def compact(self, name: str, transactions: DataFrame, now_ms: int, tombstone_ms: int) -> DataFrame:
+        """Writes the records that compaction by key keeps anew, and returns its report; bounds don't move."""
+        version, folder, limits = self._limits(name)
+        marked = stream.compacted(self.records(name), transactions, now_ms, tombstone_ms).persist()
+        after, target = stream.bounds_after(limits, marked, compaction=True), f"{self._folder('stream', name)}/records-{version + 1}"
+        report = stream.compaction_report(marked).collect()
+        marked.filter("kept").drop("kept").write.parquet(target)
+        self._set_limits(name, version + 1, target, after)
+        marked.unpersist()
+        return self.spark.createDataFrame(report, "partition int, removed long, removed_bytes long, removed_tombstones long")
 
     def fetch(self, name: str, partition: int, offset: int, limit: int) -> DataFrame:
         """Records of a partition from an offset on."""
-        return stream.fetch(self.records(name), partition, offset, limit)
+        return stream.fetch(self.records(name), stream.known_bounds(self.bounds(name)), partition, offset, limit)
 
     def poll(self, name: str, partition: int, offset: int, limit: int, wait_ms: int = 1_000) -> list:
         """Records from an offset on, waited for up to ``wait_ms`` (1 to 30,000); none if the time runs out."""
@@ -98,18 +141,19 @@ class Workspace:
             raise ValueError("a wait is 1 to 30,000 ms")
         end = time.monotonic() + wait_ms / 1_000
         while True:
-            found = self.fetch(name, partition, offset, limit).collect() if self._exists(f"{self._folder('stream', name)}/records") else []
+            found = self.fetch(name, partition, offset, limit).collect() if self._exists(self._limits(name)[1]) else []
             if found or time.monotonic() >= end:
                 return found
             time.sleep(min(0.1, max(0.0, end - time.monotonic())))
 
     def consume(self, name: str) -> DataFrame:
         """A stream's records as they come, for Structured Streaming."""
-        return self.spark.readStream.schema(self.records(name).schema).parquet(f"{self._folder('stream', name)}/records")
+        folder = self._limits(name)[1]
+        return self.spark.readStream.schema(self.spark.read.parquet(folder).schema).parquet(folder)
 
     def lag(self, name: str, offsets: DataFrame) -> DataFrame:
         """Lag of groups (``group``, ``partition``, ``committed``)."""
-        return stream.lag(stream.bounds(self.records(name)), offsets)
+        return stream.lag(self.bounds(name), offsets)
 
     # --- queues, caches and subscriptions
 

@@ -1,5 +1,6 @@
 """Operators over logs, subscriptions, state and queues, on small examples."""
 
+import json
 import random
 
 import pytest
@@ -44,10 +45,13 @@ def test_commit_positions(spark):
 
 def test_fetch_and_lag(spark):
     records = log(spark, [(0, o, f"r{o}", "k", "{}", None, o) for o in range(5, 9)])
-    assert [r.offset for r in stream.fetch(records, 0, 6, 2).collect()] == [6, 7]
-    assert stream.fetch(records, 0, 99, 2).collect() == []
+    limits = stream.known_bounds(stream.bounds(records))
+    assert [r.offset for r in stream.fetch(records, limits, 0, 6, 2).collect()] == [6, 7]
+    assert stream.fetch(records, limits, 0, 99, 2).collect() == []
     with pytest.raises(stream.Conflict):
-        stream.fetch(records, 0, 4, 2)
+        stream.fetch(records, limits, 0, 4, 2)
+    with pytest.raises(ValueError):
+        stream.fetch(records, limits, 1, 4, 2)
     offsets = spark.createDataFrame([("g", 0, 6), ("h", 0, None), ("i", 0, 2), ("j", 0, 9)], "group string, partition int, committed long")
     found = {r.group: (r.lag, r.out_of_range) for r in stream.lag(stream.bounds(records), offsets).collect()}
     assert found == {"g": (3, False), "h": (4, False), "i": (4, True), "j": (0, False)}
@@ -56,11 +60,12 @@ def test_fetch_and_lag(spark):
 def test_group_fetch_and_lookups(spark):
     records = log(spark, [(p, o, f"{p}{o}", "k", "{}", None, o) for p in range(2) for o in range(3, 8)])
     offsets = spark.createDataFrame([("g", 0, 6), ("h", 1, 1)], "group string, partition int, committed long")
-    found = stream.fetch_for_group(records, offsets, "g", 2)
+    limits = stream.bounds(records)
+    found = stream.fetch_for_group(records, limits, offsets, "g", 2)
     assert sorted(r.id for r in found.collect()) == ["06", "07", "13", "14"]
-    assert stream.fetch_for_group(records, offsets, "h", 1).filter("partition = 1").first().id == "13"
+    assert stream.fetch_for_group(records, limits, offsets, "h", 1).filter("partition = 1").first().id == "13"
     with pytest.raises(stream.Conflict):
-        stream.fetch_for_group(records, offsets, "g", 2, ("m", 1), ("m", 2))
+        stream.fetch_for_group(records, limits, offsets, "g", 2, ("m", 1), ("m", 2))
     messages = spark.createDataFrame([("a", "dead_lettered"), ("b", "ready")], "id string, state string")
     letters = spark.createDataFrame([("a", 1), ("a", 5), ("b", 2)], "id string, dead_at_ms long")
     assert queue.dead_letter(messages, letters, "a").first().dead_at_ms == 5 and queue.dead_letter(messages, letters, "b").first() is None
@@ -73,6 +78,39 @@ def test_group_fetch_and_lookups(spark):
     assert [r.key for r in cache.of_class(entries, "cold").collect()] == ["a", "b"]
 
 
+def size(row):
+    """Bytes of the canonical JSON of a record of :func:`log`."""
+    names = ("partition", "offset", "appended_at_ms", "id", "key", "transaction_id")
+    fields = dict(zip(("partition", "offset", "id", "key", "payload", "transaction_id", "appended_at_ms"), row, strict=True))
+    rest = json.dumps({c: fields[c] for c in names if fields[c] is not None}, separators=(",", ":"))
+    return len(rest) + (len(fields["payload"]) + 11 if fields["payload"] is not None else 0)
+
+
+def test_bounds_outlive_records(spark):
+    """Cases of truncated, aged, combined and emptied logs."""
+    rows = [(0, 0, "one", "k", "1", None, 100), (0, 1, "two", "k", "2", None, 109), (1, 0, "x", "k", None, None, 100)]
+    records = log(spark, rows)
+    limits = stream.bounds(records)
+    assert stream.known_bounds(limits) == {0: (0, 2), 1: (0, 1)}
+    assert {r.partition: r.bytes for r in limits.collect()} == {0: size(rows[0]) + size(rows[1]), 1: size(rows[2])}
+    marked = stream.retained(records, stream.Retention(max_age_ms=10), 110)
+    after = stream.bounds_after(limits, marked)
+    assert sorted(map(tuple, after.collect())) == [(0, 1, 2, 1, size(rows[1])), (1, 1, 1, 0, 0)]
+    known, left = stream.known_bounds(after), marked.filter("kept")
+    assert [r.id for r in stream.fetch(left, known, 0, 1, 10).collect()] == ["two"] and stream.fetch(left, known, 1, 1, 10).collect() == []
+    for partition in (0, 1):
+        with pytest.raises(stream.Conflict):
+            stream.fetch(left, known, partition, 0, 10)
+    offsets = spark.createDataFrame([("w", 0, 0), ("w", 1, 0)], "group string, partition int, committed long")
+    assert sorted((r.partition, r.lag, r.out_of_range) for r in stream.lag(after, offsets).collect()) == [(0, 1, True), (1, 0, True)]
+    gone = stream.compacted(records, spark.createDataFrame([], "transaction_id string, status string"), 110, 10)
+    kept = stream.bounds_after(limits, gone, compaction=True)
+    assert stream.known_bounds(kept) == {0: (0, 2), 1: (0, 1)}
+    assert [r.id for r in stream.fetch(gone.filter("kept"), stream.known_bounds(kept), 0, 0, 10).collect()] == ["two"]
+    again = stream.bounds_after(after, marked.withColumn("kept", F.lit(False)))
+    assert stream.known_bounds(again) == {0: (2, 2), 1: (1, 1)}
+
+
 @pytest.mark.parametrize("bucket", [None, 5])
 def test_retention_equals_appending(spark, bucket):
     r = random.Random(7)
@@ -80,11 +118,12 @@ def test_retention_equals_appending(spark, bucket):
     for o in range(120):
         now += r.randrange(3)
         rows.append((o % 2, o // 2, f"r{o}", "k", "x" * r.randrange(6) or None, None, now))
-    for policy in (stream.Retention(5), stream.Retention(None, 12), stream.Retention(None, None, 9), stream.Retention(7, 20, 30)):
+    for policy in (stream.Retention(5), stream.Retention(None, 400), stream.Retention(None, None, 9), stream.Retention(7, 600, 30)):
         found = {(x.partition, x.offset) for x in stream.retained(log(spark, rows), policy, now, bucket).filter("kept").collect()}
         kept: dict[int, list] = {0: [], 1: []}
-        for p, o, _, _, payload, _, at in rows:
-            kept[p].append((o, len(payload or ""), at))
+        for row in rows:
+            p, o, at = row[0], row[1], row[6]
+            kept[p].append((o, size(row), at))
             for part in kept.values():
                 while part and (
                     (policy.max_records is not None and len(part) > policy.max_records)
@@ -123,9 +162,21 @@ def test_tiers(spark, tmp_path):
     both = stream.tiered(records.filter("offset >= 2").withColumn("from", F.lit("hot")), cold.withColumn("from", F.lit("cold")))
     assert sorted((r.partition, r.offset, r["from"]) for r in both.collect()) == [(p, o, "hot" if o >= 2 else "cold") for p in range(2) for o in range(6)]
     with pytest.raises(ValueError):
-        tiers.verified_tier(spark, f"{tmp_path}/tier", manifest.withColumn("digest", F.col("digest") + 1))
+        tiers.verified_tier(spark, f"{tmp_path}/tier", manifest.withColumn("digest", F.lit("0" * 64)))
+    tagged = records.withColumn("headers", F.create_map(F.lit("b"), F.lit("1"), F.lit("a"), F.col("id")))
+    first = tiers.manifest(tagged).collect()
+    assert tiers.manifest(tagged.withColumn("headers", F.create_map(F.lit("a"), F.col("id"), F.lit("b"), F.lit("1")))).collect() == first
+    changed = F.when(F.col("id") == "13", F.create_map(F.lit("b"), F.lit("2"))).otherwise(F.col("headers"))
+    assert [a.digest == b.digest for a, b in zip(sorted(first), sorted(tiers.manifest(tagged.withColumn("headers", changed)).collect()), strict=True)] == [True, False]
+    with pytest.raises(Exception, match="twice"):
+        tiers.manifest(records.union(records.filter("id = '03'"))).collect()
+    with pytest.raises(ValueError):
+        stream.tier_prefix(records, records.select("transaction_id"), 9, 1_025)
     tiers.write_capture(records, f"{tmp_path}/capture", ["id", "transaction_id"])
     assert spark.read.text(f"{tmp_path}/capture/partition=1").first()[0] == '{"id":"10","transaction_id":null}'
+    tiers.write_capture(records, f"{tmp_path}/array", ["id"], array=True)
+    (part,) = (tmp_path / "array" / "partition=1").glob("*.txt")
+    assert json.loads(part.read_text()) == [{"id": f"1{k}"} for k in range(6)]
 
 
 @pytest.mark.parametrize("codec", ["none", "gzip", "lz4", "snappy", "zstd"])
@@ -145,6 +196,46 @@ def test_replication(spark):
     assert found[5].extensions == {"a": "1", "origin_cluster": "west", "origin_partition": "0", "origin_offset": "5", "traversed": "x,west"}
 
 
+def test_replication_outcomes(spark):
+    schema = "partition int, offset long, id string, traversed_clusters array<string>"
+    batch = lambda p, offsets, passed=(): [(p, o, f"{p}.{o}", list(passed)) for o in offsets]
+    rows = [*batch(0, [0, 1, 2]), *batch(1, [5, 6]), *batch(2, [0, 2]), *batch(3, [0], ["here"]), *batch(4, [3]), *batch(5, [0, 1]), *batch(6, range(129)), *batch(7, [0, 0])]
+    table = spark.createDataFrame(rows, schema)
+    none = spark.createDataFrame([], "partition int, next_offset long, last_digest string")
+    found = {r.partition: r for r in stream.replication_outcomes(table, none, "here").collect()}
+    assert {p: r.outcome for p, r in found.items()} == {0: "accepted", 1: "conflict", 2: "invalid", 3: "loop", 4: "conflict", 5: "accepted", 6: "invalid", 7: "invalid"}
+    after = spark.createDataFrame([(0, 3, found[0].digest), (1, 5, "x"), (4, 2, "y"), (5, 2, "z")], "partition int, next_offset long, last_digest string")
+    again = stream.replication_outcomes(table, after, "here")
+    assert {r.partition: r.outcome for r in again.collect() if r.partition in (0, 1, 4, 5)} == {0: "duplicate", 1: "accepted", 4: "conflict", 5: "conflict"}
+    assert sorted(r.id for r in stream.accepted(table, again).collect()) == ["1.5", "1.6"]
+    changed = table.withColumn("id", F.when(F.col("id") == "0.1", "other").otherwise(F.col("id")))
+    assert stream.replication_outcomes(changed, after, "here").filter("partition = 0").first().outcome == "conflict"
+
+
+@pytest.mark.parametrize("bucket", [5, 1000])
+def test_plans_as_of(spark, bucket):
+    r = random.Random(6)
+    changes = [(v, r.randrange(100)) for v in range(1, 12)] + [(99, None)]
+    times = [r.choice([None, *range(-5, 110)]) for _ in range(150)]
+    found = ordered.as_of(spark.createDataFrame([(k, t) for k, t in enumerate(times)], "k long, time_ms long"), "time_ms", spark.createDataFrame(changes, "version long, at_ms long"), "at_ms", "version", bucket)
+    assert found.columns == ["k", "time_ms", "version"] and found.count() == 150
+    for x in found.collect():
+        before = [(a, v) for v, a in changes if a is not None and x.time_ms is not None and a <= x.time_ms]
+        assert x.version == (max(before)[1] if before else None)
+
+
+def test_clocks_that_observe(spark):
+    r = random.Random(2)
+    ticks = [(n, r.randrange(6), r.choice([None, r.randrange(7)]), r.randrange(4)) for n in range(80)]
+    found = stream.hybrid_clock_observed(spark.createDataFrame([(0, *t) for t in ticks], "node int, n long, own long, remote long, counter long"), "node", "n", "own", "remote", "counter").orderBy("n").collect()
+    at, logical = -1, 0
+    for (_, own, remote, counter), row in zip(ticks, found, strict=True):
+        new = max(at, own, -1 if remote is None else remote)
+        behind = [c for t, c in ((at, logical), (remote, counter)) if t == new]
+        at, logical = new, 1 + max(behind) if behind else 0
+        assert (row.clock_ms, row.logical) == (at, logical)
+
+
 def bus_event(spark, **change):
     row = {"type": "order.created", "source": "checkout", "subject": "s", "headers": {"tenant": "acme"}, "payload": '{"order":{"total":42},"private":"remove","none":null}', "time_ms": 10} | change
     return spark.createDataFrame([row], "type string, source string, subject string, headers map<string,string>, payload string, time_ms long")
