@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +31,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64), raw[offsets[0] : offsets[-1]]
 
 
+def _give_back() -> None:
+    """Returns a worker's free memory to the system, as the worker stays for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not the GNU C library
+
+
 def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``df.mapInArrow(run, schema)``, with smaller batches than Spark's.
 
@@ -36,10 +48,15 @@ def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
     texts gain nothing from large ones.  A setting that isn't Spark's default is
     left as it is.
     """
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
     conf = df.sparkSession.conf
     if (conf.get(_SETTING, None) or "").rstrip("bB") == str(_DEFAULT):
         conf.set(_SETTING, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy, schema)
 
 
 def pieces(batch: pa.RecordBatch, column: int, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
