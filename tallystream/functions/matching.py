@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Separators of text tokens: anything that isn't a letter or number.
 SEPARATOR = r"[^\p{L}\p{N}]+"
-NAME = r"^[A-Za-z0-9._-]{1,128}$"
+NAME = r"\A[A-Za-z0-9._-]{1,128}\z"
 EARTH_RADIUS_METERS = 6_371_000.0
 
 

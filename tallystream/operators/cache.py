@@ -95,6 +95,16 @@ def live(entries: DataFrame, now_ms: int) -> DataFrame:
     return entries.filter(F.col("expires_at_ms").isNull() | (F.col("expires_at_ms") > now_ms))
 
 
+def get(entries: DataFrame, key: str, now_ms: int) -> DataFrame:
+    """The entry of a key that a reader sees now, if there is one."""
+    return live(entries.filter(F.col("key") == key), now_ms)
+
+
+def journal(log: DataFrame, since: int, limit: int = 1_000) -> DataFrame:
+    """A command log (``version``, ``seq``) from a version on, in order."""
+    return log.filter(F.col("version") >= since).orderBy("version", "seq").limit(limit)
+
+
 def deadline(now: Column, ttl: Column, default_ttl_ms: int | None) -> Column:
     """When an entry written now expires; a time to live of 0 or less is an error."""
     used = F.coalesce(ttl, F.lit(default_ttl_ms).cast("bigint"))

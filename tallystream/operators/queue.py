@@ -79,3 +79,13 @@ def reconciled_letters(history: DataFrame, letters: DataFrame) -> DataFrame:
     old = history.join(known, F.col("id") == F.col("_id"), "left").withColumn("current", F.col("_id").isNotNull()).drop("_id").withColumn("fresh", F.lit(False))
     new = letters.join(history.select("id").distinct(), "id", "left_anti").select(*[c for c in history.columns]).withColumn("current", F.lit(True)).withColumn("fresh", F.lit(True))
     return old.unionByName(new)
+
+
+def message(messages: DataFrame, message_id: str) -> DataFrame:
+    """The message of an id, whatever its state, if there is one."""
+    return messages.filter(F.col("id") == message_id)
+
+
+def pending_forwards(letters: DataFrame, forwarded: DataFrame, limit: int) -> DataFrame:
+    """Dead letters that haven't been forwarded, in the order in which they died."""
+    return letters.join(forwarded.select("id").distinct(), "id", "left_anti").orderBy("dead_at_ms", "id").limit(limit)

@@ -169,6 +169,16 @@ def retained(records: DataFrame, policy: Retention, now_ms: int, bucket_ms: int
     return rows.withColumn("kept", kept).drop("_records", "_bytes")
 
 
+def reconfigured(records: DataFrame, policies: list[Retention], now_ms: int, bucket_ms: int | None = BUCKET_MS) -> DataFrame:
+    """Adds ``kept`` after one policy took the place of another, in turn, each maintained at ``now_ms``: what one removed stays removed."""
+    kept = F.lit(True)
+    rows = records
+    for n, policy in enumerate(policies):
+        rows = retained(rows, policy, now_ms, bucket_ms).withColumnRenamed("kept", f"_kept_{n}")
+        kept = kept & F.col(f"_kept_{n}")
+    return rows.withColumn("kept", kept).drop(*[f"_kept_{n}" for n in range(len(policies))])
+
+
 def retention_report(marked: DataFrame) -> DataFrame:
     """Removed and retained records and bytes of each partition, and of all where ``partition`` is null."""
     size = record_bytes(marked)
@@ -220,6 +230,25 @@ def lag(limits: DataFrame, offsets: DataFrame) -> DataFrame:
     )
 
 
+def commits(commands: DataFrame, limits: DataFrame) -> DataFrame:
+    """Offset commands (``group``, ``partition``, ``seq``, ``op`` commit or reset, ``offset``) with ``accepted``.
+
+    A reset is accepted between the bounds, a commit between what is committed
+    (the base at first) and the end.  Between two accepted resets what is
+    committed is the largest offset so far that lies between the bounds, so no
+    fold is needed.
+    """
+    rows = commands.join(limits.select("partition", "base_offset", "end_offset"), "partition", "left")
+    rows = rows.withColumn("_inside", F.coalesce(F.col("offset").between(F.col("base_offset"), F.col("end_offset")), F.lit(False)))
+    reset = F.col("_inside") & (F.col("op") == "reset")
+    order = Window.partitionBy("group", "partition").orderBy("seq")
+    rows = rows.withColumn("_part", F.sum(reset.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    within = Window.partitionBy("group", "partition", "_part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.max(F.when(F.col("_inside"), F.col("offset"))).over(within)
+    accepted = F.col("_inside") & (reset | (F.col("offset") >= F.coalesce(before, "base_offset")))
+    return rows.withColumn("accepted", accepted).drop("_inside", "_part", "base_offset", "end_offset")
+
+
 def superstream(members: dict[str, DataFrame], limit: int) -> DataFrame:
     """The first records of several logs by time, member, partition and offset."""
     rows = None

@@ -9,7 +9,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystream.operators import bus, stream
+from tallystream.operators import bus, cache, stream
 from tallystream.sources.envelopes import validated
 from tallystream.streaming import drivers, folds
 
@@ -181,7 +181,7 @@ class Workspace:
     def journal(self, kind: str, name: str, since: int = 0, limit: int = 1_000) -> DataFrame:
         """Commands and answers from a version on."""
         log = self.spark.read.parquet(f"{self._folder(kind, name)}/log")
-        return log.filter(F.col("version") >= since).orderBy("version", "seq").limit(limit)
+        return cache.journal(log, since, limit)
 
     def apply_log(self, kind: str, log: DataFrame) -> DataFrame:
         """Answers of a whole command log (``shard``, ``seq``, ``command``) of many resources, computed on the executors."""

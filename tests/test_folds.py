@@ -287,3 +287,19 @@ def test_batch_and_stream_agree(spark, tmp_path):
         query.awaitTermination()
     assert sorted(answers) == batch
     assert drivers.run_batch(log.filter(F.lit(False)), make).collect() == []
+
+
+def test_offset_commits_are_those_of_the_fold(spark):
+    from pyspark.sql import functions as F
+
+    from tallystream.operators import stream
+
+    r = random.Random(8)
+    commands = [(r.randrange(2), r.randrange(3), n, r.choice(["commit", "commit", "reset"]), r.randrange(14)) for n in range(300)]
+    limits = {"0": [2, 11], "1": [0, 13]}
+    table = spark.createDataFrame(commands, "group long, partition long, seq long, op string, offset long")
+    known = spark.createDataFrame([(int(p), *x) for p, x in limits.items()], "partition long, base_offset long, end_offset long")
+    found = {x.seq: x.accepted for x in stream.commits(table, known).select("seq", F.col("accepted")).collect()}
+    groups = {g: folds.OffsetFold(limits) for g in (0, 1)}
+    for g, p, n, op, offset in commands:
+        assert found[n] == groups[g].apply({"op": op, "now_ms": 0, "partition": p, "offset": offset})["ok"], n
