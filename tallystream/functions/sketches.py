@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import deque
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -13,8 +14,6 @@ from tallystream.functions import hashes
 #: Bias factors of small register counts (fixed values).
 ALPHA = {16: 0.673, 32: 0.697, 64: 0.709}
 MAX_BITMAP_BITS = 1_048_576
-#: Relocations before a cuckoo insertion gives up.
-MAX_KICKS = 256
 
 
 def register_of(value: Column, precision: int) -> tuple[Column, Column]:
@@ -90,7 +89,7 @@ def bloom_contains(df: DataFrame, value: Column, bloom: DataFrame, bits: int, co
 
 @dataclass
 class CuckooFilter:
-    """A cuckoo filter with deterministic relocation; inserting depends on order."""
+    """A cuckoo filter; a value that finds both buckets full takes the place of an entry at the start of the shortest way to room."""
 
     buckets: int = 32
     slots: int = 4
@@ -115,25 +114,37 @@ class CuckooFilter:
         mark, first, second = self._places(value)
         if mark in self.table[first] or mark in self.table[second]:
             return False
-        for bucket in (first, second):
-            if len(self.table[bucket]) < self.slots:
-                self.table[bucket].append(mark)
-                return True
-        moved: dict[int, list[int]] = {}
-        at = first
-        for kick in range(MAX_KICKS):
-            entries = moved.setdefault(at, list(self.table[at]))
-            entries.sort()
-            slot = kick % len(entries)
-            entries[slot], mark = mark, entries[slot]
-            at = self._other(at, mark)
-            target = moved.setdefault(at, list(self.table[at]))
-            if len(target) < self.slots:
-                target.append(mark)
-                for bucket, kept in moved.items():
-                    self.table[bucket] = kept
-                return True
-        raise OverflowError("the filter is full")
+        path = self._path_to_room((first, second))
+        if path is None:
+            raise OverflowError("the filter is full")
+        # From the free place back, each entry on the way moves on, and the value takes the first one's place.
+        for (bucket, moving), (following, _) in zip(reversed(path[:-1]), reversed(path[1:]), strict=True):
+            self.table[bucket].remove(moving)
+            self.table[following].append(moving)
+        self.table[path[0][0]].append(mark)
+        return True
+
+    def _path_to_room(self, starts: tuple[int, int]) -> list[tuple[int, int]] | None:
+        """The shortest way to a bucket with room, as buckets and the entry that moves on from each; None if there is none.
+
+        Buckets are searched breadth first, entries in the order of their marks, so the way depends on the table only.
+        """
+        reached: dict[int, tuple[int, int] | None] = dict.fromkeys(starts)
+        queue = deque(reached)
+        while queue:
+            at = queue.popleft()
+            if len(self.table[at]) < self.slots:
+                path, back = [(at, 0)], reached[at]
+                while back is not None:
+                    path.append(back)
+                    back = reached[back[0]]
+                return path[::-1]
+            for moving in sorted(set(self.table[at])):
+                following = self._other(at, moving)
+                if following not in reached:
+                    reached[following] = (at, moving)
+                    queue.append(following)
+        return None
 
     def contains(self, value: bytes) -> bool:
         """Whether the value may have been added."""
