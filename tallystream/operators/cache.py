@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallystream.functions import hashes
-from tallystream.operators.ordered import running_total
+from tallystream.operators.ordered import PER_BUCKET, carried, number_bucket, running_total
 
 #: Bytes that an entry is charged beyond its key and value.
 ENTRY_BYTES = 40
@@ -23,10 +23,10 @@ def last_writes(changes: DataFrame) -> DataFrame:
     return last.select("key", "last.value", "last.revision", "versions").filter("value IS NOT NULL")
 
 
-def change_images(changes: DataFrame) -> DataFrame:
+def change_images(changes: DataFrame, per_bucket: int | None = PER_BUCKET) -> DataFrame:
     """Changes with the value ``before`` each; those that change nothing are left out."""
-    before = F.lag("value").over(Window.partitionBy("key").orderBy("revision"))
-    return changes.withColumn("before", before).filter(~F.col("before").eqNullSafe(F.col("value")))
+    rows = carried(changes, ["key"], "revision", F.col("value"), "before", per_bucket, latest=True)
+    return rows.filter(~F.col("before").eqNullSafe(F.col("value")))
 
 
 def at_revision(current: DataFrame, images: DataFrame, revision: int) -> DataFrame:
@@ -77,10 +77,14 @@ def victims(entries: DataFrame, policy: str, count: int, revision: int = 0) -> D
     return pool.orderBy(*eviction_rank(policy, revision), "key").limit(count)
 
 
-def byte_victims(entries: DataFrame, rank: list[str], budgets: dict[str, int]) -> DataFrame:
-    """The entries that leave until each class keeps to its budget: in rank order, as long as what is left is too much."""
+def byte_victims(entries: DataFrame, rank: list[str], budgets: dict[str, int], per_bucket: int | None = PER_BUCKET) -> DataFrame:
+    """The entries that leave until each class keeps to its budget: in rank order, as long as what is left is too much.
+
+    The first of ``rank`` is a number, or ``per_bucket`` is None and a class one task's.
+    """
+    bucket = None if per_bucket is None else number_bucket(rank[0], per_bucket)
     total = entries.groupBy("storage_class").agg(F.sum(entry_bytes().cast("bigint")).alias("_all"))
-    rows = running_total(entries, ["storage_class"], [*rank, "key"], entry_bytes().cast("bigint"), "_gone").join(total, "storage_class")
+    rows = running_total(entries, ["storage_class"], [*rank, "key"], entry_bytes().cast("bigint"), "_gone", bucket).join(total, "storage_class")
     budget = F.coalesce(*[F.when(F.col("storage_class") == c, F.lit(b)) for c, b in budgets.items()])
     return rows.filter(F.col("_all") - (F.col("_gone") - entry_bytes()) > budget).drop("_all", "_gone")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallystream.functions.hashes import partition_for
-from tallystream.operators.ordered import dense_number, first_per, running_totals
+from tallystream.operators.ordered import PER_BUCKET, carried, dense_number, first_per, number_bucket, running_total, running_totals
 from tallystream.sources.envelopes import ENVELOPE
 from tallystream.sources.tiers import digests
 
@@ -230,23 +230,22 @@ def lag(limits: DataFrame, offsets: DataFrame) -> DataFrame:
     )
 
 
-def commits(commands: DataFrame, limits: DataFrame) -> DataFrame:
+def commits(commands: DataFrame, limits: DataFrame, per_bucket: int | None = PER_BUCKET) -> DataFrame:
     """Offset commands (``group``, ``partition``, ``seq``, ``op`` commit or reset, ``offset``) with ``accepted``.
 
     A reset is accepted between the bounds, a commit between what is committed
     (the base at first) and the end.  Between two accepted resets what is
     committed is the largest offset so far that lies between the bounds, so no
-    fold is needed.
+    fold is needed.  Without a group or a partition none is accepted.
     """
     rows = commands.join(limits.select("partition", "base_offset", "end_offset"), "partition", "left")
-    rows = rows.withColumn("_inside", F.coalesce(F.col("offset").between(F.col("base_offset"), F.col("end_offset")), F.lit(False)))
-    reset = F.col("_inside") & (F.col("op") == "reset")
-    order = Window.partitionBy("group", "partition").orderBy("seq")
-    rows = rows.withColumn("_part", F.sum(reset.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    within = Window.partitionBy("group", "partition", "_part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.max(F.when(F.col("_inside"), F.col("offset"))).over(within)
-    accepted = F.col("_inside") & (reset | (F.col("offset") >= F.coalesce(before, "base_offset")))
-    return rows.withColumn("accepted", accepted).drop("_inside", "_part", "base_offset", "end_offset")
+    rows = rows.withColumn("_inside", F.coalesce(F.col("offset").between(F.col("base_offset"), F.col("end_offset")), F.lit(False)) & F.col("group").isNotNull())
+    reset = F.col("_inside") & F.coalesce(F.col("op") == "reset", F.lit(False))
+    bucket = None if per_bucket is None else number_bucket("seq", per_bucket)
+    rows = running_total(rows, ["group", "partition"], ["seq"], reset.cast("int"), "_part", bucket)
+    rows = carried(rows, ["group", "partition", "_part"], "seq", F.when(F.col("_inside"), F.col("offset")), "_most", per_bucket)
+    accepted = F.col("_inside") & (reset | (F.col("offset") >= F.coalesce("_most", "base_offset")))
+    return rows.withColumn("accepted", accepted).drop("_inside", "_part", "_most", "base_offset", "end_offset")
 
 
 def superstream(members: dict[str, DataFrame], limit: int) -> DataFrame:
@@ -347,34 +346,32 @@ def transaction_status(commands: DataFrame) -> DataFrame:
     return rows.select("transaction_id", status.alias("status"), "records")
 
 
-def sequence_report(appends: DataFrame) -> DataFrame:
+def sequence_report(appends: DataFrame, per_bucket: int | None = PER_BUCKET) -> DataFrame:
     """How each producer's appends follow each other within a term: ``first``, ``next``, ``repeat`` or ``gap``.
 
     For reports only; what is accepted is decided by the producer fold.
     """
-    window = Window.partitionBy("producer", "term").orderBy("seq")
-    before = F.max("sequence").over(window.rowsBetween(Window.unboundedPreceding, -1))
+    rows = carried(appends, ["producer", "term"], "seq", F.col("sequence"), "_most", per_bucket)
+    before = F.col("_most")
     kind = F.when(before.isNull(), "first").when(F.col("sequence") == before + 1, "next").when(F.col("sequence") <= before, "repeat").otherwise("gap")
-    return appends.withColumn("kind", kind)
+    return rows.withColumn("kind", kind).drop("_most")
 
 
-def hybrid_clock(ticks: DataFrame, node: str, order: str, physical: str) -> DataFrame:
+def hybrid_clock(ticks: DataFrame, node: str, order: str, physical: str, per_bucket: int | None = PER_BUCKET) -> DataFrame:
     """Adds ``clock_ms`` and ``logical`` of a hybrid logical clock's ticks: the largest time so far, and the ticks since it grew."""
-    window = Window.partitionBy(node).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = ticks.withColumn("clock_ms", F.max(physical).over(window))
+    rows = carried(ticks, [node], order, F.col(physical), "clock_ms", per_bucket, inclusive=True)
     run = Window.partitionBy(node, "clock_ms").orderBy(order)
     return rows.withColumn("logical", (F.row_number().over(run) - 1).cast("bigint"))
 
 
-def hybrid_clock_observed(ticks: DataFrame, node: str, order: str, physical: str, remote_ms: str, remote_logical: str) -> DataFrame:
+def hybrid_clock_observed(ticks: DataFrame, node: str, order: str, physical: str, remote_ms: str, remote_logical: str, per_bucket: int | None = PER_BUCKET) -> DataFrame:
     """As :func:`hybrid_clock`, of ticks that may observe a remote clock (null: a tick of its own).
 
     The time is the largest so far, own or remote.  While it stays, the counter
     is one more than before, and than the remote counter if that clock has the
     same time; a new time of the own clock begins at 0.
     """
-    window = Window.partitionBy(node).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = ticks.withColumn("clock_ms", F.max(F.greatest(F.col(physical), F.col(remote_ms))).over(window))
+    rows = carried(ticks, [node], order, F.greatest(F.col(physical), F.col(remote_ms)), "clock_ms", per_bucket, inclusive=True)
     run = Window.partitionBy(node, "clock_ms").orderBy(order)
     rows = rows.withColumn("_n", F.row_number().over(run))
     start = F.when(F.col(remote_ms) == F.col("clock_ms"), F.col(remote_logical) + 1).when(F.col("_n") == 1, F.lit(0))

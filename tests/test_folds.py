@@ -289,7 +289,8 @@ def test_batch_and_stream_agree(spark, tmp_path):
     assert drivers.run_batch(log.filter(F.lit(False)), make).collect() == []
 
 
-def test_offset_commits_are_those_of_the_fold(spark):
+@pytest.mark.parametrize("per_bucket", [None, 11, 1 << 20])
+def test_offset_commits_are_those_of_the_fold(spark, per_bucket):
     from pyspark.sql import functions as F
 
     from tallystream.operators import stream
@@ -299,7 +300,9 @@ def test_offset_commits_are_those_of_the_fold(spark):
     limits = {"0": [2, 11], "1": [0, 13]}
     table = spark.createDataFrame(commands, "group long, partition long, seq long, op string, offset long")
     known = spark.createDataFrame([(int(p), *x) for p, x in limits.items()], "partition long, base_offset long, end_offset long")
-    found = {x.seq: x.accepted for x in stream.commits(table, known).select("seq", F.col("accepted")).collect()}
+    found = {x.seq: x.accepted for x in stream.commits(table, known, per_bucket).select("seq", F.col("accepted")).collect()}
     groups = {g: folds.OffsetFold(limits) for g in (0, 1)}
     for g, p, n, op, offset in commands:
         assert found[n] == groups[g].apply({"op": op, "now_ms": 0, "partition": p, "offset": offset})["ok"], n
+    lost = spark.createDataFrame([(None, 0, 1, "commit", 5), (0, None, 2, "reset", 5), (0, 9, 3, "commit", 5), (0, 0, 4, None, 5)], table.schema)
+    assert {x.seq: x.accepted for x in stream.commits(lost, known, per_bucket).collect()} == {1: False, 2: False, 3: False, 4: True}

@@ -224,10 +224,11 @@ def test_plans_as_of(spark, bucket):
         assert x.version == (max(before)[1] if before else None)
 
 
-def test_clocks_that_observe(spark):
+@pytest.mark.parametrize("per_bucket", [None, 7, 1 << 20])
+def test_clocks_that_observe(spark, per_bucket):
     r = random.Random(2)
     ticks = [(n, r.randrange(6), r.choice([None, r.randrange(7)]), r.randrange(4)) for n in range(80)]
-    found = stream.hybrid_clock_observed(spark.createDataFrame([(0, *t) for t in ticks], "node int, n long, own long, remote long, counter long"), "node", "n", "own", "remote", "counter").orderBy("n").collect()
+    found = stream.hybrid_clock_observed(spark.createDataFrame([(0, *t) for t in ticks], "node int, n long, own long, remote long, counter long"), "node", "n", "own", "remote", "counter", per_bucket).orderBy("n").collect()
     at, logical = -1, 0
     for (_, own, remote, counter), row in zip(ticks, found, strict=True):
         new = max(at, own, -1 if remote is None else remote)
@@ -260,11 +261,12 @@ def test_replay_bounds(spark):
         bus.replay(archive, 0, 1, limit=0)
 
 
-def test_keyed_history(spark):
+@pytest.mark.parametrize("per_bucket", [None, 9, 1 << 20])
+def test_keyed_history(spark, per_bucket):
     r = random.Random(5)
     rows = [(f"k{r.randrange(6)}", n, r.choice([None, "x", "y", "z"])) for n in range(1, 80)]
     changes = spark.createDataFrame(rows, "key string, revision long, value string")
-    images = cache.change_images(changes)
+    images = cache.change_images(changes, per_bucket)
 
     def state(until):
         out = {}
@@ -314,6 +316,55 @@ def test_running_totals(spark):
         assert sorted(map(tuple, one)) == sorted(map(tuple, two))
 
 
+def test_carried_values(spark):
+    r = random.Random(3)
+    rows = [(r.choice("aab"), n, r.choice([None, *range(20)])) for n in [None, *r.sample(range(-40, 200), 90)]]
+    df = spark.createDataFrame(rows, "k string, n long, v long").repartition(5)
+    for latest in (False, True):
+        for inclusive in (False, True):
+            want, seen = {}, {}
+            for k, n, v in sorted(rows, key=lambda x: (x[1] is not None, x[1])):
+                before = seen.setdefault(k, [])
+                known = before + [v] if inclusive else list(before)
+                want[n] = (known[-1] if known else None) if latest else max((x for x in known if x is not None), default=None)
+                before.append(v)
+            for per_bucket in (None, 1, 13, 1 << 20):
+                found = ordered.carried(df, ["k"], "n", F.col("v"), "c", per_bucket, latest, inclusive)
+                assert sorted(found.columns) == ["c", "k", "n", "v"]
+                assert {x.n: x.c for x in found.collect()} == want, (latest, inclusive, per_bucket)
+
+
+def test_byte_victims_by_buckets(spark):
+    r = random.Random(4)
+    rows = [(f"k{n:02}", "x" * r.randrange(60), r.choice(["memory", "cold"]), r.choice([None, *range(30)])) for n in range(60)]
+    entries = spark.createDataFrame(rows, "key string, value string, storage_class string, last_access_revision long")
+    budgets = {"memory": 900, "cold": 400}
+    gone = set()
+    for name, budget in budgets.items():
+        mine = sorted((x for x in rows if x[2] == name), key=lambda x: (x[3] is not None, x[3], x[0]))
+        left = sum(len(k) + len(v) + cache.ENTRY_BYTES for k, v, _, _ in mine)
+        for k, v, _, _ in mine:
+            if left > budget:
+                gone.add(k)
+                left -= len(k) + len(v) + cache.ENTRY_BYTES
+    for per_bucket in (None, 4, 1 << 20):
+        assert {x.key for x in cache.byte_victims(entries, ["last_access_revision"], budgets, per_bucket).collect()} == gone
+
+
+@pytest.mark.parametrize("per_bucket", [None, 4, 1 << 20])
+def test_sequences_by_buckets(spark, per_bucket):
+    r = random.Random(9)
+    rows = [(n, r.choice("pq"), 1, r.randrange(12)) for n in range(60)]
+    found = stream.sequence_report(spark.createDataFrame(rows, "seq long, producer string, term long, sequence long"), per_bucket)
+    most: dict[str, int] = {}
+    want = {}
+    for n, p, _, s in rows:
+        last = most.get(p)
+        want[n] = "first" if last is None else "next" if s == last + 1 else "repeat" if s <= last else "gap"
+        most[p] = max(s, most.get(p, s))
+    assert {x.seq: x.kind for x in found.collect()} == want
+
+
 def test_placement_and_grants(spark):
     nodes = spark.createDataFrame([("w", "z1", "std", 5), ("w", "z2", "std", 3)], "node_region string, zone string, class string, available int")
     requests = spark.createDataFrame([("ok", "w", None, 2, 3), ("full", None, None, 1, 4), ("zones", None, "std", 3, 0), ("class", None, "big", 1, 0)], "request string, region string, node_class string, min_zones int, added int")
