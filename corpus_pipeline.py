@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 
 from tallystream.llm import bpe, decontaminate, language, neardup, pii
 from tallystream.llm._filter import by_weight, within, without
-from tallystream.llm._sample import least_by_hash
 from tallystream.llm._scratch import remove, scope, shared_folder, staged
 from tallystream.llm.queries import RANKS, held_out
 
 #: Times the chance of a guess that a document's best language must reach.
 OVER_CHANCE = 1.1
-#: Share of correctly recognised held-out documents that may score below the least score, and documents of a label to take it from.
-LEAST_SHARE, LEAST_SAMPLE = 0.002, 400
+#: Share of correctly recognised held-out documents that may score below the least score.
+LEAST_SHARE = 0.002
 #: Row keys up to which a stage's rejects are broadcast, at under 60 bytes each.
 BROADCAST_KEYS = 200_000
 
@@ -31,21 +30,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn(KEY, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text").cast("string"), F.coalesce(F.char_length("text"), F.lit(-1)).cast("string")))
 
 
-def least_score(docs: DataFrame, net: language.ByteGru) -> float:
-    """The score that a document's best language must reach.
+def least_score(found: DataFrame, labels: list[str]) -> float:
+    """The score that a document's best language must reach, from identified documents.
 
-    It is a low quantile of the scores of held-out documents whose label is
+    It is a low quantile of the scores of all held-out documents whose label is
     found, but ``OVER_CHANCE`` times that of a guess at least, which is all
-    where too few of them are found to tell; with one label it is 0.
+    where too few of them are found to tell; with one label it is 0.  Scores
+    have 4 digits, so the exact quantile takes a bounded table of counts.
     """
-    if len(net.labels) < 2:
+    if len(labels) < 2:
         return 0.0
-    ids = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("label")).filter(held_out("id") & F.col("label").isNotNull())
-    keys = least_by_hash(ids, "label", LEAST_SAMPLE).select("id").distinct()
-    known = docs.join(F.broadcast(keys), F.col("doc_id") == F.col("id"), "left_semi")
-    found = language.identify(known, net, keep=("doc_id", "lang")).filter("lang = lang_pred")
-    n, low = found.agg(F.count("*"), F.percentile_approx("score", LEAST_SHARE, 10_000)).collect()[0]
-    return max(OVER_CHANCE / len(net.labels), low if n * LEAST_SHARE >= 1 else 0.0)
+    right = found.filter(held_out() & (F.col("lang") == F.col("lang_pred")))
+    n, low = right.agg(F.count("*"), F.expr(f"percentile_disc({LEAST_SHARE}) WITHIN GROUP (ORDER BY score)")).collect()[0]
+    return max(OVER_CHANCE / len(labels), low if n * LEAST_SHARE >= 1 else 0.0)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +52,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     scores below :func:`least_score`.  A prediction other than ``lang`` rejects none.
     """
     net = language.fit(docs, usable=~held_out("id"))
-    found = language.identify(docs, net, keep=("doc_id", "text", "lang", "source", "n_chars"))
-    least = least_score(docs, net)
+    found = staged(language.identify(docs, net, keep=("doc_id", "text", "lang", "source", "n_chars")), "languages")
+    least = least_score(found, net.labels)
     kept = found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= least))
     return kept.select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
 

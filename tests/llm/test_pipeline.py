@@ -111,3 +111,18 @@ def test_other_languages_go(spark, tmp_path):
     kept = {x.doc_id for x in corpus_pipeline.keep_languages(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()}
     assert sum(i < 9000 for i in kept) >= 2970
     assert sum(i >= 9000 for i in kept) <= 2, sum(i >= 9000 for i in kept)
+
+
+def test_least_score_is_that_of_all_held_out(spark, monkeypatch):
+    """The exact quantile of every held-out document whose label is found, however many a label has."""
+    from tallystream.llm import language, queries
+
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.when(F.col("id") % 3 == 0, "de").otherwise("en").alias("lang"), F.lit("s").alias("source"), F.lit(4).alias("n_chars"))
+    scored = docs.withColumn("lang_pred", F.when(F.col("doc_id") % 10 == 0, "de").otherwise(F.col("lang"))).withColumn("score", F.lit(0.6) + F.col("doc_id") % 3989 / 10_000)
+    monkeypatch.setattr(language, "fit", lambda *_, **__: language.ByteGru(["de", "en"]))
+    monkeypatch.setattr(language, "identify", lambda rows, *_, **__: scored.join(rows.select("doc_id"), "doc_id", "left_semi"))
+    right = sorted(r.score for r in scored.filter(queries.held_out() & (F.col("lang") == F.col("lang_pred"))).collect())
+    least = right[-(-len(right) * 2 // 1000) - 1]  # the least score that 0.002 of them don't exceed
+    kept = {r.doc_id for r in corpus_pipeline.keep_languages(spark, docs, "").collect()}
+    assert len(right) > 5000 and kept == {r.doc_id for r in scored.filter(F.col("score") >= least).collect()}
+    assert 0 < docs.count() - len(kept) < 100
