@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystream.llm import bpe, decontaminate, language, neardup, pii
+from tallystream.llm._arrow import give_back_heap
 from tallystream.llm._filter import by_weight, within, without
 from tallystream.llm._scratch import remove, scope, shared_folder, staged
 from tallystream.llm.queries import RANKS, held_out
@@ -25,6 +28,17 @@ BROADCAST_KEYS = 200_000
 KEY = "__row_key"
 
 
+def lean(stage: Callable) -> Callable:
+    """The stage, which begins with executors whose heaps hold no garbage of earlier ones."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back_heap(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """Documents with ``KEY``, which tells rows apart by id and text; equal rows share it."""
     return docs.withColumn(KEY, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text").cast("string"), F.coalesce(F.char_length("text"), F.lit(-1)).cast("string")))
@@ -45,6 +59,7 @@ def least_score(found: DataFrame, labels: list[str]) -> float:
     return max(OVER_CHANCE / len(labels), low if n * LEAST_SHARE >= 1 else 0.0)
 
 
+@lean
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; a missing ``lang`` becomes the predicted one.
 
@@ -58,6 +73,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return kept.select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
 
 
+@lean
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that near-equal sets of five-word shingles link: the one with the least id.
 
@@ -79,6 +95,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return without(kept, KEY, repeated, BROADCAST_KEYS).unionByName(once).drop(KEY)
 
 
+@lean
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     keyed = _keyed(docs)
@@ -87,12 +104,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return without(keyed, KEY, gone, BROADCAST_KEYS).drop(KEY)
 
 
+@lean
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind; ``n_chars`` is the new length."""
     clean = pii.redact(docs, pii.fit(docs), keep=("doc_id", "lang", "source"))
     return clean.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
+@lean
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each document's ids and of the bytes they decode to."""
     return bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"))

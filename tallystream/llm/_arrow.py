@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,16 @@ def _give_back() -> None:
         pass  # not the GNU C library
 
 
+def give_back_heap(spark: SparkSession) -> None:
+    """Lets executors collect their garbage and return free heap to the system, for what runs beside the heap.
+
+    A heap that one step has made large otherwise stays so for all later ones.
+    There is a task for each core; an executor that gets none keeps its heap.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).collect()
+
+
 def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``df.mapInArrow(run, schema)``, with smaller batches than Spark's.
 

@@ -1,5 +1,6 @@
 """The pipeline's stages on awkward rows, and the registered queries."""
 
+import gc
 import random
 import re
 from pathlib import Path
@@ -126,3 +127,25 @@ def test_least_score_is_that_of_all_held_out(spark, monkeypatch):
     kept = {r.doc_id for r in corpus_pipeline.keep_languages(spark, docs, "").collect()}
     assert len(right) > 5000 and kept == {r.doc_id for r in scored.filter(F.col("score") >= least).collect()}
     assert 0 < docs.count() - len(kept) < 100
+
+
+def test_stages_begin_with_free_heaps(spark, monkeypatch):
+    from tallystream.llm import _arrow
+
+    jvm = spark.sparkContext._jvm
+    thing = jvm.java.lang.Object()
+    known = jvm.java.lang.ref.WeakReference(thing)
+    jvm.System.gc()
+    assert known.get() is not None
+    del thing
+    gc.collect()
+    _arrow.give_back_heap(spark)
+    assert known.get() is None
+
+    def stop(_):
+        raise InterruptedError
+
+    monkeypatch.setattr(corpus_pipeline, "give_back_heap", stop)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(InterruptedError):
+            stage(spark, None, "")
